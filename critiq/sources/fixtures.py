@@ -322,3 +322,61 @@ def with_views(sql: str, *views: str) -> str:
         if v not in names:
             names.append(v)
     return "WITH " + ",\n".join(VIEW_SQL[n].strip() for n in names) + "\n" + sql
+
+
+# ---------------------------------------------------------------- rv_raw
+# Category texts of rv_raw by doc_id % 6 (4 adds the language).
+RAW_CATEGORIES = {1: "", 2: "Restaurants, Pizza, Bars", 3: "Food, Nightlife",
+                  5: "Coffee & Tea, Bakeries"}
+
+
+def rv_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents x labels shaped as raw provider rows (for the ETL operators)."""
+    d = table(spark, sf_dir, "documents")
+    lab = table(spark, sf_dir, "labels")
+    df = d.join(lab, "doc_id", "left")
+    i = F.col("doc_id")
+    m6 = i % 6
+    cats = (F.when(m6 == 0, F.lit(None).cast("string")).when(m6 == 1, F.lit(RAW_CATEGORIES[1]))
+            .when(m6 == 2, F.lit(RAW_CATEGORIES[2])).when(m6 == 3, F.lit(RAW_CATEGORIES[3]))
+            .when(m6 == 4, F.concat(F.lit("Restaurants, "), F.col("lang"), F.lit(" Kitchen")))
+            .otherwise(F.lit(RAW_CATEGORIES[5])))
+    stars = (F.when(i % 50 == 7, F.lit(0.0)).when(F.col("toxic") == 1, F.lit(1.0))
+             .when((F.col("quality") == 1) & (i % 3 == 0), F.lit(4.0))
+             .when(F.col("quality") == 1, F.lit(5.0)).when(F.col("quality") == 0, F.lit(3.0)))
+    ts = F.timestamp_add("HOUR", (i * 7).cast("int"), F.lit("2019-01-01 00:00:00").cast("timestamp"))
+    date = F.when(i % 10 == 9, F.lit("garbage")).otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
+    return df.select(
+        F.col("source").alias("business_id"), F.concat(F.lit("Shop "), F.col("source")).alias("name"),
+        F.col("lang").alias("city"), F.upper(F.col("lang")).alias("state"),
+        cats.alias("categories"), F.concat(F.col("source"), F.lit(" street")).alias("address"),
+        F.col("text"), date.alias("date"),
+        F.concat(F.lit("u"), (i % 37).cast("string")).alias("user_id"),
+        stars.cast("double").alias("stars_y"),
+        (F.lit(2.5) + (i % 5).cast("double") * F.lit(0.5)).alias("stars_x"),
+        (i % 4).cast("int").alias("useful"), (i % 3).cast("int").alias("funny"),
+        (F.lit(10) + i % 90).cast("int").alias("review_count"),
+    )
+
+
+RV_RAW_SQL = """
+rv_raw AS (
+  SELECT source AS business_id, 'Shop ' || source AS name, lang AS city, upper(lang) AS state,
+    CASE d.doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'Restaurants, Pizza, Bars'
+      WHEN 3 THEN 'Food, Nightlife' WHEN 4 THEN 'Restaurants, ' || lang || ' Kitchen'
+      ELSE 'Coffee & Tea, Bakeries' END AS categories,
+    source || ' street' AS address, text,
+    CASE WHEN d.doc_id % 10 = 9 THEN 'garbage'
+      ELSE strftime(TIMESTAMP '2019-01-01 00:00:00' + to_hours(CAST(d.doc_id * 7 AS BIGINT)), '%Y-%m-%d %H:%M:%S') END AS date,
+    'u' || CAST(d.doc_id % 37 AS VARCHAR) AS user_id,
+    CASE WHEN d.doc_id % 50 = 7 THEN 0.0e0 WHEN toxic = 1 THEN 1.0e0
+      WHEN quality = 1 AND d.doc_id % 3 = 0 THEN 4.0e0 WHEN quality = 1 THEN 5.0e0
+      WHEN quality = 0 THEN 3.0e0 END AS stars_y,
+    2.5e0 + CAST(d.doc_id % 5 AS DOUBLE) * 0.5e0 AS stars_x,
+    CAST(d.doc_id % 4 AS INTEGER) AS useful, CAST(d.doc_id % 3 AS INTEGER) AS funny,
+    CAST(10 + d.doc_id % 90 AS INTEGER) AS review_count
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+)"""
+
+VIEW_SQL["rv_raw"] = RV_RAW_SQL
+BUILDERS["rv_raw"] = rv_raw
