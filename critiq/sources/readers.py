@@ -16,14 +16,18 @@ JSON_WRAPPERS = ("reviews", "data")   # fixed values: keys tried, in order
 
 
 def from_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             multiline: bool = True, align: bool = True) -> DataFrame:
+             multiline: bool = True, align: bool = True, null_value: str | None = None) -> DataFrame:
     """Header CSV, UTF-8 with or without BOM, quoted fields with line breaks.
+    Empty fields read as null (as a pandas reader does) unless ``null_value``
+    names an explicit null marker, in which case "" stays an empty string.
 
     ``multiLine`` files are not splittable; for large inputs convert once to
     parquet (``sinks.write_table``) and read that instead.
     """
     r = (spark.read.option("header", True).option("multiLine", multiline)
          .option("escape", '"').option("encoding", "UTF-8"))
+    if null_value is not None:
+        r = r.option("nullValue", null_value).option("emptyValue", "")
     r = r.schema(schema) if schema is not None else r.option("inferSchema", False)
     df = r.csv(path)
     # a UTF-8 BOM may survive on the first header name
