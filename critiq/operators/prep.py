@@ -112,7 +112,7 @@ def add_derived(df: DataFrame) -> DataFrame:
         out["content_len"] = F.length("review_content")
     if has(df, "images"):
         out["has_image"] = ws_trim(F.coalesce(F.col("images"), F.lit(""))) != ""
-    if has(df, "review_time") and isinstance(df.schema["review_time"].dataType, T.TimestampType):
+    if has(df, "review_time") and isinstance(df.schema["review_time"].dataType, (T.TimestampType, T.TimestampNTZType)):
         t = F.col("review_time")
         out.update(review_year=F.year(t), review_month=F.month(t),
                    review_weekday=F.weekday(t), review_hour=F.hour(t),

@@ -43,6 +43,6 @@ def align_columns(df: DataFrame) -> DataFrame:
     Pure projection: no job, no shuffle.
     """
     present = set(df.columns)
-    std = [F.col(c) if c in present else F.lit(None).cast(t).alias(c) for c, t in STANDARD_COLUMNS]
-    extras = [F.col(c) for c in df.columns if c not in STANDARD_NAMES]
+    std = [F.col(f"`{c}`") if c in present else F.lit(None).cast(t).alias(c) for c, t in STANDARD_COLUMNS]
+    extras = [F.col(f"`{c}`") for c in df.columns if c not in STANDARD_NAMES]
     return df.select(*std, *extras)

@@ -19,6 +19,8 @@ from critiq.operators.common import is_neg
 def windowed_negative_rates(stream: DataFrame, days: int = 14, slide: str = "1 day",
                             watermark: str = "1 day") -> DataFrame:
     """Per shop and sliding window: reviews, negatives and their rate."""
+    if stream.schema["review_time"].dataType.typeName() != "timestamp":
+        stream = stream.withColumn("review_time", F.col("review_time").cast("timestamp"))
     return (stream.withWatermark("review_time", watermark)
             .groupBy("shop_id", F.window("review_time", f"{days} days", slide))
             .agg(F.count(F.lit(1)).alias("reviews"), F.sum(is_neg(F.col("sentiment_label"))).alias("negatives"))
