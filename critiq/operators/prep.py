@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from critiq.functions.num import clip, rnd, to_double, with_scalars
-from critiq.functions.text import clean_text as _clean, ws_trim
+from critiq.functions.text import clean_text as _clean, has_text
 from critiq.operators.common import has
 
 # Sentiment names and labels; keys of the packed sub-scores.
@@ -111,7 +111,7 @@ def add_derived(df: DataFrame) -> DataFrame:
     if has(df, "review_content"):
         out["content_len"] = F.length("review_content")
     if has(df, "images"):
-        out["has_image"] = ws_trim(F.coalesce(F.col("images"), F.lit(""))) != ""
+        out["has_image"] = has_text(F.col("images"))
     if has(df, "review_time") and isinstance(df.schema["review_time"].dataType, (T.TimestampType, T.TimestampNTZType)):
         t = F.col("review_time")
         out.update(review_year=F.year(t), review_month=F.month(t),
@@ -119,7 +119,7 @@ def add_derived(df: DataFrame) -> DataFrame:
                    is_weekend=F.coalesce(F.weekday(t).isin(5, 6), F.lit(False)))
     if has(df, "dishes"):
         parts = F.split(F.coalesce(F.col("dishes"), F.lit("")), r"\|")
-        out["dish_count"] = F.size(F.filter(parts, lambda x: ws_trim(x) != ""))
+        out["dish_count"] = F.size(F.filter(parts, lambda x: has_text(x)))
     df = df.withColumns(out)
     q = F.lit(True)
     if has(df, "content_len"):

@@ -19,8 +19,7 @@ def _trim(x: str) -> str:
 
 
 def _clean(x: str) -> str:
-    t = _trim(f"coalesce({x}, '')")
-    t = f"regexp_replace({t}, '{WS_CLASS}+', ' ', 'g')"
+    t = f"trim(regexp_replace(coalesce({x}, ''), '{WS_CLASS}+', ' ', 'g'))"
     return f"regexp_replace({t}, '{ZERO_WIDTH_CLASS}', '', 'g')"
 
 

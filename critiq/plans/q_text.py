@@ -234,3 +234,15 @@ SELECT row_word, col_word, CAST(sum(cooccurrence) AS BIGINT) AS cooccurrence FRO
 WHERE row_word IN (SELECT w FROM ws) AND col_word IN (SELECT w FROM ws) GROUP BY 1, 2""", "rv_docs"))
 def q_cooccurrence_matrix(spark, sf_dir):
     return tx.cooccurrence_matrix(tx.cooccurrence(rv_docs(spark, sf_dir), vocab_size=50, top_k=30))
+
+
+@register("language_guess", with_views("""
+SELECT platform, CASE WHEN length(regexp_replace(coalesce(review_content, ''), '[^一-龥]', '', 'g'))
+                           > length(coalesce(review_content, '')) * 0.3e0 THEN 'zh' ELSE 'en' END AS lang,
+       CAST(count(*) AS BIGINT) AS count
+FROM rv_docs GROUP BY 1, 2""", "rv_docs"))
+def q_language_guess(spark, sf_dir):
+    from pyspark.sql import functions as F
+    d = rv_docs(spark, sf_dir)
+    return d.groupBy("platform", tx.detect_lang(F.col("review_content")).alias("lang")).agg(
+        F.count(F.lit(1)).cast("long").alias("count"))

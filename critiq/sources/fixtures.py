@@ -83,17 +83,16 @@ def rv_orders(spark: SparkSession, sf_dir: str, with_text: bool = False) -> Data
     df = df.select(*cols)
     df = df.withColumn("sentiment_label", label_from_score(F.col("review_score")))
     df = df.withColumn("sentiment", sentiment_name(F.col("sentiment_label")))
+    # Only doc ids 0..199 can match ``l_partkey % 200``; doc_id is the key of
+    # documents, so this slice has at most 200 rows at any scale and is
+    # broadcast instead of shuffling lineitem for the join.
+    d = table(spark, sf_dir, "documents").where(F.col("doc_id") < 200)
+    d = d.select("doc_id", "n_chars", *(["text"] if with_text else []))
+    out = [c for c in df.columns if c != "l_partkey"]
     if with_text:
-        d = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-        df = df.join(d, (F.col("l_partkey") % 200) == d.doc_id, "left").select(
-            *[c for c in df.columns if c != "l_partkey"],
-            F.col("text").alias("review_content"),
-            F.col("n_chars").cast("int").alias("content_len"))
-    else:
-        d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-        df = df.join(d, (F.col("l_partkey") % 200) == d.doc_id, "left").select(
-            *[c for c in df.columns if c != "l_partkey"],
-            F.col("n_chars").cast("int").alias("content_len"))
+        out.append(F.col("text").alias("review_content"))
+    out.append(F.col("n_chars").cast("int").alias("content_len"))
+    df = df.join(F.broadcast(d), (F.col("l_partkey") % 200) == d.doc_id, "left").select(*out)
     return df
 
 
