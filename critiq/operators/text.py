@@ -68,27 +68,51 @@ def detect_lang(text: Column) -> Column:
     return F.when(cjk > F.length(t) * F.lit(0.3), F.lit("zh")).otherwise(F.lit("en"))
 
 
+def _en_runs(text: Column, min_len: int) -> Column:
+    """Maximal runs of [a-z'] with at least ``min_len`` characters.  A run
+    shorter than that can never match, and matching is greedy, so this is
+    the same as extracting every run and dropping the short ones."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[a-z']{{{min_len},}}"), 0)
+
+
+def _zh_runs(text: Column, min_len: int) -> Column:
+    cleaned = F.regexp_replace(F.coalesce(text, F.lit("")), f"[^{CJK}a-zA-Z]", " ")
+    return F.filter(F.split(F.trim(cleaned), " +"), lambda w: F.length(w) >= min_len)
+
+
+def _stops(lang: str, stop_words) -> list[str]:
+    if stop_words is not None:
+        return list(stop_words)
+    return EN_STOP_WORDS if lang == "en" else ZH_STOP_WORDS
+
+
 def tokens(text: Column, lang: str = "en", stop_words: list[str] | None = None,
            min_len: int | None = None) -> Column:
-    """Token array of one text.  en: lower-case ``[a-z']+`` runs, at least 3
-    characters, minus stop words.  zh: non-CJK-non-letter -> space, split on
-    white space, at least 2 characters, minus stop words."""
-    t = F.coalesce(text, F.lit(""))
-    if lang == "en":
-        stops = EN_STOP_WORDS if stop_words is None else stop_words
-        n = 3 if min_len is None else min_len
-        raw = F.regexp_extract_all(F.lower(t), F.lit(EN_TOKEN), 0)
-    else:
-        stops = ZH_STOP_WORDS if stop_words is None else stop_words
-        n = 2 if min_len is None else min_len
-        cleaned = F.regexp_replace(t, f"[^{CJK}a-zA-Z]", " ")
-        raw = F.filter(F.split(F.trim(cleaned), " +"), lambda w: w != "")
-    return F.filter(raw, lambda w: (F.length(w) >= n) & ~w.isin(*stops))
+    """Token array of one text (duplicates kept).  en: lower-case ``[a-z']``
+    runs of at least 3 characters, minus stop words.  zh: non-CJK-non-letter
+    -> space, split on white space, at least 2 characters, minus stop words."""
+    n = (3 if lang == "en" else 2) if min_len is None else min_len
+    raw = _en_runs(text, n) if lang == "en" else _zh_runs(text, n)
+    stops = _stops(lang, stop_words)
+    return F.filter(raw, lambda w: ~w.isin(*stops))
+
+
+def distinct_tokens(text: Column, lang: str = "en", stop_words=None, min_len: int | None = None) -> Column:
+    """Distinct tokens of one text; ``array_except`` drops stop words and
+    duplicates with a hash set, no lambda."""
+    n = (3 if lang == "en" else 2) if min_len is None else min_len
+    raw = _en_runs(text, n) if lang == "en" else _zh_runs(text, n)
+    return F.array_except(raw, F.array(*[F.lit(w) for w in _stops(lang, stop_words)]).cast("array<string>"))
 
 
 def token_rows(df: DataFrame, keys: list[str], lang: str = "en", stop_words=None) -> DataFrame:
-    """(keys..., word) rows; only the key columns travel with the tokens."""
-    return df.select(*keys, F.explode(tokens(F.col("review_content"), lang, stop_words)).alias("word"))
+    """(keys..., word) rows; only the key columns travel with the tokens.
+    The stop-word test runs after the explode as a plain (code-generated)
+    ``NOT IN`` filter."""
+    n = 3 if lang == "en" else 2
+    raw = _en_runs(F.col("review_content"), n) if lang == "en" else _zh_runs(F.col("review_content"), n)
+    out = df.select(*keys, F.explode(raw).alias("word"))
+    return out.where(~F.col("word").isin(*_stops(lang, stop_words)))
 
 
 def _dims(lang: str, lexicon: dict | None) -> dict:
@@ -345,7 +369,10 @@ def tfidf_terms(df: DataFrame, id_col: str = "review_id", min_df: int = 1, digit
     t = d.select(F.col(id_col).alias("doc"),
                  F.explode(F.regexp_extract_all(F.lower(F.col("review_content")), F.lit(TFIDF_TOKEN), 0)).alias("term"))
     tf = t.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
+    # count(tf) keeps the tf column alive, so this branch shares the (doc,
+    # term) aggregate and its exchange with the weight branch (one
+    # tokenisation, one shuffle of the token counts)
+    dfreq = tf.groupBy("term").agg(F.count("tf").alias("df")).where(F.col("df") >= min_df)
     n = d.agg(F.count(F.lit(1)).alias("_n"))
     idf = with_scalars(dfreq, n).select(
         "term", (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
@@ -364,9 +391,13 @@ def _gram_partial(m: int):
         for pdf in batches:
             if len(pdf) == 0:
                 continue
+            lens = pdf["idx"].map(len).to_numpy()
+            if lens.sum() == 0:
+                continue
+            rows = np.repeat(np.arange(len(pdf)), lens)
+            cols = np.concatenate([np.asarray(a, dtype=np.int64) for a in pdf["idx"] if len(a)])
             x = np.zeros((len(pdf), m), dtype=np.int64)
-            for r, idx in enumerate(pdf["idx"]):
-                x[r, np.asarray(idx, dtype=np.int64)] = 1
+            x[rows, cols] = 1
             g += x.T @ x
         i, j = np.nonzero(np.triu(g, 1))
         yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "c": g[i, j]})
@@ -379,30 +410,29 @@ def cooccurrence(df: DataFrame, vocab_size: int = 50, top_k: int = 30, lang: str
     ``vocab_size`` tokens found in the most reviews, count the reviews that
     contain each unordered pair; return the ``top_k`` pairs.
 
-    No pair rows are emitted per review: each review becomes an indicator
-    row over the bounded vocabulary, every task adds up X^T X for its rows
-    (numpy, Arrow batches), and the partial m x m counts are summed by one
-    small shuffle.
+    Plan: the vocabulary is a bounded top-m (ordered limit) folded into one
+    row and broadcast; every review maps its distinct tokens to vocabulary
+    positions in place (no (review, word) shuffle), each task adds X^T X of
+    its indicator rows with numpy, and only m x m partial counts are
+    shuffled.  No pair rows are emitted per review.
     """
     d = df.where(F.col("review_content").isNotNull())
-    per_doc = d.select(F.col(id_col).alias("doc"),
-                       F.array_distinct(tokens(F.col("review_content"), lang, stop_words)).alias("toks"))
-    pairs = per_doc.select("doc", F.explode("toks").alias("word"))
-    freq = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("_dfreq"))
-    vocab = freq.orderBy(F.col("_dfreq").desc(), F.col("word")).limit(vocab_size)
-    # the vocabulary has at most vocab_size rows: a bounded broadcast
-    from pyspark.sql import Window
-    vocab = vocab.select("word", (F.row_number().over(Window.orderBy(F.col("_dfreq").desc(), F.col("word"))) - 1).cast("int").alias("vi"))
-    hit = pairs.join(F.broadcast(vocab), "word")
-    idx = hit.groupBy("doc").agg(F.collect_list("vi").alias("idx"))
-    part = idx.mapInPandas(_gram_partial(vocab_size), "i int, j int, c long")
-    tot = part.groupBy("i", "j").agg(F.sum("c").alias("cooccurrence"))
-    va, vb = vocab.select(F.col("vi").alias("i"), F.col("word").alias("word_a")), \
-        vocab.select(F.col("vi").alias("j"), F.col("word").alias("word_b"))
-    named = tot.join(F.broadcast(va), "i").join(F.broadcast(vb), "j")
-    a = F.least("word_a", "word_b")
-    b = F.greatest("word_a", "word_b")
-    named = named.select(a.alias("word_a"), b.alias("word_b"), F.col("cooccurrence").cast("long"))
+    toks = distinct_tokens(F.col("review_content"), lang, stop_words)
+    freq = d.select(F.explode(toks).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("_dfreq"))
+    top = freq.orderBy(F.col("_dfreq").desc(), F.col("word")).limit(vocab_size)
+    # one row holding the (at most vocab_size) words in rank order
+    vocab = top.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_dfreq")).alias("o"), F.col("word").alias("w")))),
+                                lambda s: s["w"]).alias("_vocab"))
+    per_doc = d.select(toks.alias("_t")).crossJoin(F.broadcast(vocab))
+    # at most vocab_size words per review reach the lambda
+    idx = per_doc.select(F.transform(F.array_intersect("_t", "_vocab"),
+                                     lambda w: (F.array_position(F.col("_vocab"), w) - 1).cast("int")).alias("idx"))
+    part = idx.where(F.size("idx") >= 2).mapInPandas(_gram_partial(vocab_size), "i int, j int, c long")
+    tot = part.groupBy("i", "j").agg(F.sum("c").cast("long").alias("cooccurrence"))
+    named = tot.crossJoin(F.broadcast(vocab)).select(
+        F.element_at("_vocab", F.col("i") + 1).alias("_a"), F.element_at("_vocab", F.col("j") + 1).alias("_b"),
+        "cooccurrence")
+    named = named.select(F.least("_a", "_b").alias("word_a"), F.greatest("_a", "_b").alias("word_b"), "cooccurrence")
     return named.orderBy(F.col("cooccurrence").desc(), F.col("word_a"), F.col("word_b")).limit(top_k)
 
 
