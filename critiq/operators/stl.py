@@ -27,32 +27,33 @@ def default_spans(period: int, seasonal: int = 7) -> tuple[int, int, int]:
 
 
 def loess(y: np.ndarray, span: int, rw: np.ndarray, xs: np.ndarray, degree: int = 1) -> np.ndarray:
-    """Local (linear) regression of y on 0..n-1, evaluated at ``xs``;
-    tricube neighbourhood weights of the ``span`` nearest points times the
-    robustness weights ``rw``."""
+    """Local (linear) regression of y on 0..n-1, evaluated at every point of
+    ``xs`` at once; tricube neighbourhood weights of the ``span`` nearest
+    points times the robustness weights ``rw``."""
     n = len(y)
     x = np.arange(n, dtype=float)
-    out = np.empty(len(xs), dtype=float)
-    for j, x0 in enumerate(xs):
-        d = np.abs(x - x0)
-        if span <= n:
-            h = np.partition(d, span - 1)[span - 1]
-        else:
-            h = d.max() + (span - n) / 2.0
-        h = max(h, 1e-12)
-        u = d / h
-        w = np.where(u < 1.0, (1.0 - u ** 3) ** 3, 0.0) * rw
-        sw = w.sum()
-        if sw <= 0.0:
-            out[j] = y[int(np.argmin(d))]
-            continue
-        w = w / sw
-        if degree >= 1:
-            a = (w * x).sum()
-            b = (w * (x - a) ** 2).sum()
-            if np.sqrt(b) > 1e-3 * (n - 1):
-                w = w * ((x - a) * (x0 - a) / b + 1.0)
-        out[j] = (w * y).sum()
+    xs = np.asarray(xs, dtype=float)
+    d = np.abs(xs[:, None] - x[None, :])
+    if span <= n:
+        h = np.partition(d, span - 1, axis=1)[:, span - 1]
+    else:
+        h = d.max(axis=1) + (span - n) / 2.0
+    h = np.maximum(h, 1e-12)
+    u = d / h[:, None]
+    w = np.where(u < 1.0, (1.0 - u ** 3) ** 3, 0.0) * rw[None, :]
+    sw = w.sum(axis=1)
+    w = w / np.where(sw > 0.0, sw, 1.0)[:, None]
+    if degree >= 1:
+        a = (w * x[None, :]).sum(axis=1)
+        dx = x[None, :] - a[:, None]
+        b = (w * dx ** 2).sum(axis=1)
+        ok = np.sqrt(b) > 1e-3 * (n - 1)
+        adj = dx * (xs - a)[:, None] / np.where(ok, b, 1.0)[:, None] + 1.0
+        w = np.where(ok[:, None], w * adj, w)
+    out = (w * y[None, :]).sum(axis=1)
+    empty = sw <= 0.0
+    if empty.any():
+        out[empty] = y[np.argmin(d[empty], axis=1)]
     return out
 
 
