@@ -7,8 +7,6 @@ aggregate; a shop holding a third of all rows only makes one final row.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,15 +45,29 @@ def eda_summary(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
 
 
 # ----------------------------------------------------------------- TAB-2/3
-def _shop_stats(df: DataFrame, extras: list[str]) -> DataFrame:
+def _shop_groups(df: DataFrame, extras: list[str]) -> DataFrame:
+    """One aggregation per (shop_id, shop_name), null keys kept as groups so
+    that the score sums still cover every row (for the global mean)."""
     order = review_order(df)
-    g = df.where(F.col("shop_id").isNotNull() & F.col("shop_name").isNotNull())
+    score = to_double("review_score")
     aggs = [F.count("review_id").cast("long").alias("review_count"),
-            F.avg(to_double("review_score")).alias("avg_score")]
+            F.avg(score).alias("avg_score"),
+            F.sum(score).alias("_s"), F.count(score).alias("_c")]
     aggs += [first_by_time(c, order).alias(c) for c in extras if c in df.columns]
     if has(df, "sentiment_label"):
         aggs.append(F.sum(is_neg(F.col("sentiment_label"))).cast("long").alias("neg_count"))
-    return g.groupBy("shop_id", "shop_name").agg(*aggs)
+    return df.groupBy("shop_id", "shop_name").agg(*aggs)
+
+
+def _with_global_mean(groups: DataFrame, min_reviews: int) -> DataFrame:
+    """Shops with enough reviews plus ``_mu``, the mean score over all rows.
+
+    The mean comes from the per-shop partial sums (a table with one row per
+    shop), so the fact table is scanned once for both."""
+    mu = groups.agg((F.sum("_s") / F.sum("_c")).alias("_mu"))
+    keep = groups.where(F.col("shop_id").isNotNull() & F.col("shop_name").isNotNull()
+                        & (F.col("review_count") >= min_reviews)).drop("_s", "_c")
+    return with_scalars(keep, mu)
 
 
 def _bayes_cols(stats: DataFrame, m: int) -> DataFrame:
@@ -69,10 +81,6 @@ def _bayes_cols(stats: DataFrame, m: int) -> DataFrame:
     return out
 
 
-def _global_mean(df: DataFrame) -> DataFrame:
-    return df.agg(F.avg(to_double("review_score")).alias("_mu"))
-
-
 def bayesian_ranking(df: DataFrame, min_reviews: int = 5,
                      prior_weight: int = BAYES_PRIOR_WEIGHT) -> DataFrame:
     """Bayesian shrinkage toward the global mean, dense-ranked descending.
@@ -80,8 +88,8 @@ def bayesian_ranking(df: DataFrame, min_reviews: int = 5,
     Columns: shop_id, shop_name, review_count, avg_score, city, district,
     category (those present), neg_count, bayes_score, neg_rate, bayes_rank.
     """
-    stats = _shop_stats(df, ["city", "district", "category"]).where(F.col("review_count") >= min_reviews)
-    out = _bayes_cols(with_scalars(stats, _global_mean(df)), prior_weight).drop("_mu")
+    stats = _with_global_mean(_shop_groups(df, ["city", "district", "category"]), min_reviews)
+    out = _bayes_cols(stats, prior_weight).drop("_mu")
     return dense_rank_desc(out, "bayes_score", "bayes_rank")
 
 
@@ -93,8 +101,8 @@ def wilson_ranking(df: DataFrame, min_reviews: int = 5, z: float = WILSON_Z,
     ``rank_drift = bayes_rank - wilson_rank``: positive means Wilson places
     the shop better.
     """
-    stats = _shop_stats(df, ["city", "category"]).where(F.col("review_count") >= min_reviews)
-    s = _bayes_cols(with_scalars(stats, _global_mean(df)), prior_weight).drop("_mu")
+    stats = _with_global_mean(_shop_groups(df, ["city", "category"]), min_reviews)
+    s = _bayes_cols(stats, prior_weight).drop("_mu")
     n = F.col("review_count").cast("double")
     z2 = z * z
     p = clip((F.col("avg_score") - F.lit(1.0)) / F.lit(4.0), 0.0, 1.0)
