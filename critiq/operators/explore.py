@@ -45,8 +45,9 @@ def length_box(df: DataFrame, by: str = "sentiment", col: str = "content_len", c
     d = df.where(F.col(by).isNotNull()).select(by, F.least(F.greatest(F.col(col).cast("double"), F.lit(0.0)), F.lit(cap)).alias("_x"))
     q = d.groupBy(by).agg(F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
     q = q.select(by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
-    # one row per group: the join side is as small as the number of groups
-    j = d.join(F.broadcast(q), by)
+    # one row per group; AQE broadcasts it when the group count is small and
+    # keeps a shuffle join when ``by`` has many values
+    j = d.join(q, by)
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - F.lit(1.5) * iqr, F.col("q3") + F.lit(1.5) * iqr
     return j.groupBy(by, "q1", "median", "q3").agg(
