@@ -79,3 +79,25 @@ def test_job_run(spark, tmp_out):
     md = open([os.path.join(tmp_out, "out", "report_md", f) for f in os.listdir(os.path.join(tmp_out, "out", "report_md"))
                if f.startswith("part-")][0]).read()
     assert md.startswith("# Review Analysis Report")
+
+
+def test_lenient_csv(spark, tmp_out):
+    from critiq.sources.readers import from_csv_lenient
+    p = os.path.join(tmp_out, "raw.csv")
+    with open(p, "w") as f:
+        f.write("text,stars_y,useful\nfine,4.0,1\n,5.0,2\nno stars,,3\nbad row,notanumber,x\n")
+    schema = "text string, stars_y double, useful int"
+    df = from_csv_lenient(spark, p, schema=spark.createDataFrame([], schema).schema)
+    assert [r.text for r in df.collect()] == ["fine"]
+
+
+def test_profile(spark):
+    from critiq.sources import profile
+    df = spark.createDataFrame([("a", "x", 1.0), ("b", None, 3.0), ("a", None, None)],
+                               "platform string, sentiment string, review_score double")
+    v = {(r.column, r.value): (r["count"], r.pct) for r in profile.value_shares(df).collect()}
+    assert v[("platform", "a")] == (2, 66.7) and v[("sentiment", "x")] == (1, 33.3)
+    n = {r.column: r.null_count for r in profile.null_counts(df).collect()}
+    assert n == {"sentiment": 2, "review_score": 1}
+    s = profile.score_stats(df).first()
+    assert (s.rows, s.columns, s.mean_score, s.median_score) == (3, 3, 2.0, 2.0)

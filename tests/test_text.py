@@ -87,3 +87,18 @@ def test_cooccurrence_brute_force(spark):
             for j in range(i + 1, len(ws)):
                 exp[(ws[i], ws[j])] += 1
     assert out == dict(exp)
+
+
+def test_zh_tokens_and_language(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([("味道 很好，服务 热情 的 ok",), ("plain english words",)], "t string")
+    toks = [r[0] for r in df.select(tx.tokens(F.col("t"), "zh")).collect()]
+    assert toks[0] == ["味道", "很好", "服务", "热情", "ok"]
+    lang = [r[0] for r in df.select(tx.detect_lang(F.col("t"))).collect()]
+    assert lang == ["zh", "en"]
+
+
+def test_zh_dimension_substring(spark):
+    df = spark.createDataFrame([("1", "味道好极了", -1), ("2", "环境一般", 1)], "review_id string, review_content string, sentiment_label int")
+    out = {r.dimension: r.mentions for r in tx.dimension_coverage(df, lang="zh").collect()}
+    assert out["口味"] == 1 and out["环境"] == 1 and out["服务"] == 0
