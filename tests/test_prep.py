@@ -47,3 +47,17 @@ def test_align(spark):
     out = align_columns(df)
     assert out.columns == STANDARD_NAMES + ["extra"]
     assert dict(out.dtypes)["review_time"] == "timestamp"
+
+
+def test_white_space_classes_agree_on_bmp(spark):
+    """The Java form, the explicit (SQL) form and Python's isspace agree."""
+    from pyspark.sql import functions as F
+    from critiq.functions.text import JAVA_WS_CLASS, WS_CLASS
+    cps = [c for c in range(1, 0x10000) if not 0xD800 <= c <= 0xDFFF]
+    s = "".join(chr(c) for c in cps)
+    df = spark.createDataFrame([(s,)], "t string")
+    a, b = df.select(F.regexp_replace("t", JAVA_WS_CLASS, "#").alias("a"),
+                     F.regexp_replace("t", WS_CLASS, "#").alias("b")).first()
+    assert a == b
+    py = "".join("#" if ch.isspace() else ch for ch in s)
+    assert a == py
