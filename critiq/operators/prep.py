@@ -27,11 +27,11 @@ FILL_MEAN = ["taste_score", "environment_score", "service_score"]
 
 def to_timestamp(df: DataFrame, c: str) -> Column:
     dt = df.schema[c].dataType
-    if isinstance(dt, T.TimestampType):
-        return F.col(c)
-    if isinstance(dt, (T.DateType, T.TimestampNTZType)):
-        return F.col(c).cast("timestamp")
-    return F.try_to_timestamp(F.col(c).cast("string"))
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return F.col(c)        # NTZ kept: no session-time-zone dependence
+    if isinstance(dt, T.DateType):
+        return F.col(c).cast("timestamp_ntz")
+    return F.col(c).cast("string").try_cast("timestamp_ntz")
 
 
 def to_bool(df: DataFrame, c: str) -> Column:

@@ -22,9 +22,11 @@ from critiq.operators.common import is_neg
 def prep_time(df: DataFrame) -> DataFrame:
     """Parse ``review_time`` leniently and drop rows without a time."""
     dt = df.schema["review_time"].dataType
-    if not isinstance(dt, T.TimestampType):
-        t = (F.col("review_time").cast("timestamp") if isinstance(dt, (T.DateType, T.TimestampNTZType))
-             else F.try_to_timestamp(F.col("review_time").cast("string")))
+    # TIMESTAMP_NTZ stays as it is: hour, date and day differences are then
+    # independent of the session time zone
+    if not isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        t = (F.col("review_time").cast("timestamp_ntz") if isinstance(dt, T.DateType)
+             else F.col("review_time").cast("string").try_cast("timestamp_ntz"))
         df = df.withColumn("review_time", t)
     return df.where(F.col("review_time").isNotNull())
 

@@ -75,7 +75,7 @@ def raw_to_reviews(raw: DataFrame, platform: str = "web") -> DataFrame:
     sy = F.col("stars_y").cast("double")
     stars = F.when(sy.isNull() | F.isnan(sy) | (sy == 0), F.lit(DEFAULT_STARS)).otherwise(sy)
     name, label = sentiment_of(stars)
-    ts = F.try_to_timestamp(F.col("date").cast("string"))
+    ts = F.col("date").cast("string").try_cast("timestamp_ntz")
     rid = F.substring(F.md5(F.concat(F.coalesce(F.col("business_id").cast("string"), F.lit("")),
                                      F.coalesce(F.col("user_id").cast("string"), F.lit("")),
                                      F.coalesce(F.col("date").cast("string"), F.lit("")))), 1, 16)
@@ -106,7 +106,7 @@ def shop_dimension(raw: DataFrame, platform: str = "web") -> DataFrame:
     """One row per business id: the attributes of its first review by
     (time, review id).  ``min_by`` on a struct is an algebraic aggregate, so
     a shop with a huge share of the rows costs one partial row per task."""
-    ts = F.coalesce(F.try_to_timestamp(F.col("date").cast("string")), F.lit(FAR_FUTURE).cast("timestamp"))
+    ts = F.coalesce(F.col("date").cast("string").try_cast("timestamp_ntz"), F.lit(FAR_FUTURE).cast("timestamp_ntz"))
     rid = F.substring(F.md5(F.concat(F.coalesce(F.col("business_id").cast("string"), F.lit("")),
                                      F.coalesce(F.col("user_id").cast("string"), F.lit("")),
                                      F.coalesce(F.col("date").cast("string"), F.lit("")))), 1, 16)

@@ -343,7 +343,7 @@ def rv_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     stars = (F.when(i % 50 == 7, F.lit(0.0)).when(F.col("toxic") == 1, F.lit(1.0))
              .when((F.col("quality") == 1) & (i % 3 == 0), F.lit(4.0))
              .when(F.col("quality") == 1, F.lit(5.0)).when(F.col("quality") == 0, F.lit(3.0)))
-    ts = F.timestamp_add("HOUR", (i * 7).cast("int"), F.lit("2019-01-01 00:00:00").cast("timestamp"))
+    ts = F.timestamp_add("HOUR", (i * 7).cast("int"), F.lit("2019-01-01 00:00:00").cast("timestamp_ntz"))
     date = F.when(i % 10 == 9, F.lit("garbage")).otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
     return df.select(
         F.col("source").alias("business_id"), F.concat(F.lit("Shop "), F.col("source")).alias("name"),
