@@ -36,7 +36,7 @@ def _sub(name: str) -> str:
 LABEL_FROM_NAME = ("CASE sentiment WHEN 'positive' THEN 1.0e0 WHEN 'neutral' THEN 0.0e0 "
                    "WHEN 'negative' THEN -1.0e0 END")
 
-CLEAN_MESSY_SQL = with_views(f""",
+MESSY_CTES = f""",
 c1 AS (
   SELECT review_id, shop_id, shop_name, user_id,
     CASE WHEN {_dbl('review_score')} IS NULL THEN NULL
@@ -66,7 +66,9 @@ c6 AS (
     coalesce(score_text, '') AS score_text, coalesce(taste_score, mt) AS taste_score,
     coalesce(environment_score, me) AS environment_score, coalesce(service_score, ms) AS service_score,
     CAST(coalesce(sentiment_label, 0.0e0) AS INTEGER) AS sentiment_label)
-  FROM c5, m)
+  FROM c5, m)"""
+
+CLEAN_MESSY_SQL = with_views(MESSY_CTES + """
 SELECT * REPLACE (substr(review_content, 1, 2000) AS review_content) FROM c6
 WHERE length(review_content) >= 5 AND review_score BETWEEN 1.0e0 AND 5.0e0""", "rv_messy")
 
@@ -92,3 +94,15 @@ WHERE length(review_content) >= 5 AND review_score BETWEEN 1.0e0 AND 5.0e0""", "
 @register("clean_documents", CLEAN_DOCS_SQL)
 def q_clean_documents(spark, sf_dir):
     return prep.preprocess(rv_docs(spark, sf_dir), derive_label=False)
+
+
+@register("derived_features", with_views(MESSY_CTES + "\nSELECT * FROM c5", "rv_messy"))
+def q_derived_features(spark, sf_dir):
+    d = prep.clean_text(prep.parse_score_text(prep.cast_types(rv_messy(spark, sf_dir))))
+    return prep.add_derived(d)
+
+
+@register("fill_missing", with_views(MESSY_CTES + "\nSELECT * FROM c6", "rv_messy"))
+def q_fill_missing(spark, sf_dir):
+    d = prep.clean_text(prep.parse_score_text(prep.cast_types(rv_messy(spark, sf_dir))))
+    return prep.handle_missing(prep.add_derived(d))

@@ -10,7 +10,7 @@ from critiq.operators import alerts as al
 from critiq.operators import tabular as tab
 from critiq.operators import text as tx
 from critiq.plans.q_sources import _align_sql
-from critiq.plans.q_text import ASPECT_ROWS_CTE
+from critiq.plans.q_text import ASPECT_ROWS_CTE, SPLIT_CTE
 from critiq.plans.registry import register
 from critiq.session import checkpoint_dir
 from critiq.sinks import aspect_lines, markdown_lines
@@ -51,3 +51,22 @@ def q_json_roundtrip(spark, sf_dir):
     src.write.json(path)
     back = from_json(spark, path, lines=True)
     return back.select(*[back[c].cast(src.schema[c].dataType).alias(c) for c in src.columns])
+
+
+@register("jsonl_export", with_views(f", {SPLIT_CTE}\nSELECT * FROM sp", "rv_docs"))
+def q_jsonl_export(spark, sf_dir):
+    from critiq.sinks import write_jsonl_splits
+    ds = tx.training_split(rv_docs(spark, sf_dir))
+    path = _scratch(spark, "splits")
+    write_jsonl_splits(ds, path)
+    back = spark.read.schema(ds.drop("split").schema).json(path)   # split comes from the folder names
+    return back.select(*ds.columns)
+
+
+@register("report_manifest", with_views(f""", {ASPECT_ROWS_CTE}
+SELECT 'aspect_rows' AS name, CAST(count(*) AS BIGINT) AS rows, 5 AS columns FROM ar
+UNION ALL SELECT 'documents', CAST(count(*) AS BIGINT), 10 FROM rv_docs""", "rv_docs"))
+def q_report_manifest(spark, sf_dir):
+    from critiq.sinks import write_report
+    docs = rv_docs(spark, sf_dir)
+    return write_report({"aspect_rows": tx.aspect_rows(docs), "documents": docs}, _scratch(spark, "report"))

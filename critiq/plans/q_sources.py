@@ -139,3 +139,26 @@ SELECT review_id, shop_id, review_score FROM rv_orders ORDER BY md5(review_id),
 def q_md5_sample(spark, sf_dir):
     from critiq.sources.readers import hash_sample
     return hash_sample(rv_orders(spark, sf_dir).select("review_id", "shop_id", "review_score"), "review_id", 500)
+
+
+@register("category_of", with_views(f"""
+SELECT categories, {_category_sql('categories')} AS category, CAST(count(*) AS BIGINT) AS count
+FROM rv_raw GROUP BY 1, 2""", "rv_raw"))
+def q_category_of(spark, sf_dir):
+    from pyspark.sql import functions as F
+    r = rv_raw(spark, sf_dir)
+    return r.groupBy("categories", etl.category_of(F.col("categories")).alias("category")).agg(
+        F.count(F.lit(1)).cast("long").alias("count"))
+
+
+@register("weak_aspects", with_views(f"""
+SELECT {_aspects_sql('text', _NAME)} AS absa_aspects, CAST(count(*) AS BIGINT) AS count
+FROM rv_raw GROUP BY 1""", "rv_raw"))
+def q_weak_aspects(spark, sf_dir):
+    from pyspark.sql import functions as F
+    r = rv_raw(spark, sf_dir)
+    sy = F.col("stars_y")
+    stars = F.when(sy.isNull() | F.isnan(sy) | (sy == 0), F.lit(etl.DEFAULT_STARS)).otherwise(sy)
+    name, _ = etl.sentiment_of(stars)
+    return r.groupBy(etl.weak_aspects(F.col("text"), name).alias("absa_aspects")).agg(
+        F.count(F.lit(1)).cast("long").alias("count"))
