@@ -162,14 +162,15 @@ def _quartile_score(x: Column, edges: Column, reverse: bool) -> Column:
 
 def rfm_table(df: DataFrame) -> DataFrame:
     """Per user: R = whole days since the user's last review, counted from
-    the latest review in the data; F = reviews; M = mean score."""
-    timed = prep_time(df)
-    ref = timed.agg(F.max("review_time").alias("_ref"))
-    d = timed.where(F.col("user_id").isNotNull())
-    g = d.groupBy("user_id").agg(F.max("review_time").alias("_last"),
-                                 F.count("review_id").cast("long").alias("F"),
-                                 F.avg(to_double("review_score")).alias("M"))
-    g = with_scalars(g, ref)
+    the latest review in the data; F = reviews; M = mean score.
+
+    The reference time is the maximum of the per-user maxima (the null-user
+    group is kept for it), so the review table is read once."""
+    g = prep_time(df).groupBy("user_id").agg(F.max("review_time").alias("_last"),
+                                             F.count("review_id").cast("long").alias("F"),
+                                             F.avg(to_double("review_score")).alias("M"))
+    ref = g.agg(F.max("_last").alias("_ref"))
+    g = with_scalars(g.where(F.col("user_id").isNotNull()), ref)
     return g.select("user_id", F.expr("timestampdiff(DAY, _last, _ref)").cast("long").alias("R"), "F", "M")
 
 
