@@ -30,8 +30,9 @@ def dense_rank_desc(df: DataFrame, score: str, rank: str) -> DataFrame:
 
 def first_by_time(x: str, order: Column) -> Column:
     """pandas ``first`` made deterministic: the non-null value of ``x`` on the
-    earliest row by ``order`` (a struct of time and id)."""
-    return F.min_by(F.col(x), F.when(F.col(x).isNotNull(), order))
+    earliest row by ``order`` (a struct of time and id); the value itself
+    breaks any remaining tie, so the pick never depends on row order."""
+    return F.min_by(F.col(x), F.when(F.col(x).isNotNull(), F.struct(order.alias("o"), F.col(x).alias("v"))))
 
 
 def review_order(df: DataFrame) -> Column:

@@ -26,7 +26,7 @@ def alerts_sql(view: str) -> str:
     return with_views(f""",
 ref AS (SELECT max(review_time) AS ref FROM {view} WHERE review_time IS NOT NULL),
 g AS (SELECT shop_id, count(*) AS n,
-        arg_min(shop_name, (review_time, review_id)) FILTER (WHERE shop_name IS NOT NULL) AS shop_name,
+        arg_min(shop_name, ((review_time, review_id), shop_name)) FILTER (WHERE shop_name IS NOT NULL) AS shop_name,
         avg(review_score) AS score, {', '.join(cols)}
       FROM {view}, ref WHERE review_time IS NOT NULL AND shop_id IS NOT NULL GROUP BY shop_id HAVING count(*) >= 3),
 l AS (SELECT shop_id, shop_name, score, {lvl_case} AS level, {rate_case} AS rate, {days_case} AS days,

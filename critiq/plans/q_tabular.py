@@ -15,7 +15,7 @@ ZL = f"{Z!r}e0"
 
 
 def _first(c: str) -> str:
-    return f"arg_min({c}, (review_time, review_id)) FILTER (WHERE {c} IS NOT NULL)"
+    return f"arg_min({c}, ((review_time, review_id), {c})) FILTER (WHERE {c} IS NOT NULL)"
 
 
 def _shop_stats_sql(view: str, extras: list[str], min_reviews: int) -> str:

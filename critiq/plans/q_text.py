@@ -106,7 +106,7 @@ def q_neg_signal(spark, sf_dir):
 
 
 SHOP_KW_SQL = with_views(f""",
-names AS (SELECT shop_id, arg_min(shop_name, review_id) FILTER (WHERE shop_name IS NOT NULL) AS shop_name
+names AS (SELECT shop_id, arg_min(shop_name, (review_id, shop_name)) FILTER (WHERE shop_name IS NOT NULL) AS shop_name
           FROM rv_docs WHERE shop_id IS NOT NULL GROUP BY shop_id),
 t AS (SELECT shop_id, unnest({tok_sql()}) AS word FROM rv_docs WHERE shop_id IS NOT NULL AND review_content IS NOT NULL),
 g AS (SELECT shop_id, word, CAST(count(*) AS BIGINT) AS count FROM t GROUP BY 1, 2),

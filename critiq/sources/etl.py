@@ -113,9 +113,18 @@ def shop_dimension(raw: DataFrame, platform: str = "web") -> DataFrame:
     row = F.struct(F.col("name").alias("shop_name"), F.col("categories"), F.col("city"),
                    F.col("state"), F.col("address"), F.col("stars_x").cast("double").alias("stars_x"),
                    F.col("review_count").cast("int").alias("review_count"))
+    # (time, review id) can tie (e.g. unparseable dates of one user); the
+    # picked fields themselves end the order, so a remaining tie is between
+    # identical picks and the result is deterministic
+    tail = []
+    for c in ("name", "categories", "city", "state", "address"):
+        tail += [F.col(c).isNull(), F.coalesce(F.col(c), F.lit(""))]
+    tail += [F.col("stars_x").isNull(), F.coalesce(F.col("stars_x").cast("double"), F.lit(-1.0)),
+             F.col("review_count").isNull(), F.coalesce(F.col("review_count").cast("int"), F.lit(-1))]
+    order = F.struct(ts, rid, *[t.alias(f"k{i}") for i, t in enumerate(tail)])
     g = (raw.where(F.col("business_id").isNotNull())
             .groupBy(F.col("business_id").cast("string").alias("shop_id"))
-            .agg(F.min_by(row, F.struct(ts, rid)).alias("r")))
+            .agg(F.min_by(row, order).alias("r")))
     sx = F.col("r.stars_x")
     out = g.select(
         "shop_id", F.col("r.shop_name").alias("shop_name"), F.lit(platform).alias("platform"),
