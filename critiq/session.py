@@ -46,15 +46,16 @@ def checkpoint_dir(spark: SparkSession, fallback_root: str | None = None) -> str
 
     The cluster names a shared folder there; we only invent one when the
     setting is absent (local runs and tests), under ``fallback_root`` or a
-    fresh temporary folder.
+    fresh temporary folder.  ``spark.checkpoint.dir`` itself cannot be
+    changed at run time, so the fallback is registered on the SparkContext.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    ctx = spark.sparkContext.getCheckpointDir()
+    if not d and ctx:
+        return ctx
     if not d:
         root = fallback_root or os.environ.get("TMPDIR", "/tmp")
         d = tempfile.mkdtemp(prefix="critiq-ckpt-", dir=root)
-        spark.conf.set("spark.checkpoint.dir", d)
-    if not spark.sparkContext.getCheckpointDir():
+    if not ctx:
         spark.sparkContext.setCheckpointDir(d)
     return d

@@ -66,6 +66,15 @@ def write_report(results: dict, out_dir: str, fmt: str = "parquet") -> DataFrame
     return manifest
 
 
+def _num_text(v):
+    """Integral values print without a decimal part (60000, not 60000.0)."""
+    return F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(v.cast("string"))
+
+
+def _section_end(spark, sec: int):
+    return spark.createDataFrame([(sec, 10 ** 6, "")], "sec int, k int, line string")
+
+
 def markdown_lines(eda: DataFrame | None = None, ranking: DataFrame | None = None,
                    alerts: DataFrame | None = None, title: str = "Review Analysis Report",
                    generated: str | None = None, top: int = 10) -> DataFrame:
@@ -79,8 +88,8 @@ def markdown_lines(eda: DataFrame | None = None, ranking: DataFrame | None = Non
         head = spark.createDataFrame([(1, 0, "## Overview"), (1, 1, "")], "sec int, k int, line string")
         order = F.array_position(F.array(*[F.lit(m) for m in _EDA_ORDER]), F.col("metric"))
         body = eda.select(F.lit(1).alias("sec"), (order + 1).cast("int").alias("k"),
-                          F.concat(F.lit("- **"), F.col("metric"), F.lit("**: "), F.col("value").cast("string")).alias("line"))
-        parts += [head, body]
+                          F.concat(F.lit("- **"), F.col("metric"), F.lit("**: "), _num_text(F.col("value"))).alias("line"))
+        parts += [head, body, _section_end(spark, 1)]
     if ranking is not None:
         cols = [c for c in ["shop_name", "city", "review_count", "avg_score", "bayes_score"] if c in ranking.columns]
         head = spark.createDataFrame([(2, 0, "## Top Shops (Bayesian)"), (2, 1, ""),
@@ -89,7 +98,7 @@ def markdown_lines(eda: DataFrame | None = None, ranking: DataFrame | None = Non
         r = ranking.orderBy("bayes_rank", "shop_id").limit(top)
         body = r.select(F.lit(2).alias("sec"), (F.col("bayes_rank") + 3).cast("int").alias("k"),
                         F.concat(F.lit("| "), F.concat_ws(" | ", *[F.col(c).cast("string") for c in cols]), F.lit(" |")).alias("line"))
-        parts += [head, body]
+        parts += [head, body, _section_end(spark, 2)]
     if alerts is not None:
         head = spark.createDataFrame([(3, 0, "## Alerts"), (3, 1, "")], "sec int, k int, line string")
         a = alerts.orderBy("severity", "shop_id").limit(top)
@@ -98,7 +107,7 @@ def markdown_lines(eda: DataFrame | None = None, ranking: DataFrame | None = Non
                                  F.lit(": "), F.col("message"), F.lit(" → "), F.col("action")).alias("line"),
                         "severity", "shop_id")
         body = body.select("sec", (F.row_number().over(Window.orderBy("severity", "shop_id")) + 1).cast("int").alias("k"), "line")
-        parts += [head, body]
+        parts += [head, body, _section_end(spark, 3)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

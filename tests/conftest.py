@@ -15,9 +15,9 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from critiq.session import get_session
     s = get_session("local[*]", shuffle_partitions=8)
-    # tests set their own checkpoint folder only because none is configured
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="critiq-test-ckpt-"))
+    # tests set their own checkpoint folder only where none is configured
+    if not s.conf.get("spark.checkpoint.dir", None) and not s.sparkContext.getCheckpointDir():
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="critiq-test-ckpt-"))
     yield s
     s.stop()
 
