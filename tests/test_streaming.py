@@ -25,3 +25,21 @@ def test_stream_windows_match_batch(spark, tmp_out):
     b = exp.orderBy(*key).collect()
     assert len(a) == len(b) > 0
     assert all(x.reviews == y.reviews and x.negatives == y.negatives for x, y in zip(a, b))
+
+
+def test_stream_scoring_matches_batch(spark, tmp_out):
+    from critiq.operators import ml
+    from critiq.sources.fixtures import rv_docs
+    from critiq.streaming.scoring import score
+    docs = rv_docs(spark, SF01).select("review_id", "review_content", "sentiment_label")
+    m = ml.sentiment_classifier(docs, max_iter=20)
+    src = os.path.join(tmp_out, "docs")
+    docs.repartition(3).write.parquet(src)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (score(stream, m.model).select("review_id", "predicted_label").writeStream.format("memory")
+         .queryName("scored").option("checkpointLocation", os.path.join(tmp_out, "ck2")).start())
+    q.processAllAvailable()
+    q.stop()
+    got = {r.review_id: r.predicted_label for r in spark.sql("SELECT * FROM scored").collect()}
+    exp = {r.review_id: r.predicted_label for r in score(docs, m.model).collect()}
+    assert got == exp and len(got) == 1000
