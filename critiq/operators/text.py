@@ -365,14 +365,18 @@ def tfidf_terms(df: DataFrame, id_col: str = "review_id", min_df: int = 1, digit
     Shuffles: (doc, term) counts, document frequency per term, the norm per
     document; all partial-aggregated, no per-document Python.
     """
-    d = df.where(F.col("review_content").isNotNull())
+    # the id filter is explicit so that every branch below has the same
+    # canonical plan (the doc join would otherwise add it to one branch only
+    # and defeat exchange reuse)
+    d = df.where(F.col("review_content").isNotNull() & F.col(id_col).isNotNull())
     t = d.select(F.col(id_col).alias("doc"),
                  F.explode(F.regexp_extract_all(F.lower(F.col("review_content")), F.lit(TFIDF_TOKEN), 0)).alias("term"))
     tf = t.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-    # count(tf) keeps the tf column alive, so this branch shares the (doc,
-    # term) aggregate and its exchange with the weight branch (one
-    # tokenisation, one shuffle of the token counts)
-    dfreq = tf.groupBy("term").agg(F.count("tf").alias("df")).where(F.col("df") >= min_df)
+    # the tf > 0 test keeps the tf column alive (Catalyst cannot fold it to a
+    # plain count), so this branch shares the (doc, term) aggregate and its
+    # exchange with the weight branch: one tokenisation, one token shuffle
+    dfreq = (tf.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).cast("long").alias("df"))
+               .where(F.col("df") >= min_df))
     n = d.agg(F.count(F.lit(1)).alias("_n"))
     idf = with_scalars(dfreq, n).select(
         "term", (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
