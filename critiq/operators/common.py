@@ -61,3 +61,15 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int
         df = df.withColumn("_rn1", F.row_number().over(w1)).where(F.col("_rn1") <= k).drop("_rn1")
     w2 = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w2)).where(F.col("_rn") <= k).drop("_rn")
+
+
+def spread(df: DataFrame, min_share: float = 1.0) -> DataFrame:
+    """Round-robin repartition before CPU-heavy per-row work (regex over long
+    texts) when the input has fewer partitions than ``min_share`` of the
+    cluster's cores, e.g. one large parquet row group.  On large inputs,
+    which already split into many partitions, this is a no-op (no shuffle).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < max(2, int(cores * min_share)):
+        return df.repartition(cores)
+    return df
