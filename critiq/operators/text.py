@@ -256,17 +256,33 @@ def hash_bucket(id_col: Column) -> Column:
     return F.substring(F.md5(id_col.cast("string")), 1, 4)
 
 
-def training_split(df: DataFrame, train: float = 0.7, val: float = 0.15, min_len: int = 20) -> DataFrame:
+def training_split(df: DataFrame, train: float = 0.7, val: float = 0.15, min_len: int = 20,
+                   exact: bool = False) -> DataFrame:
     """text, label, shop_id, platform, split: rows with text of at least
-    ``min_len`` characters and a label in {1, 0, -1}; the split comes from
-    the md5 of the review id (train below 0.7, val below 0.85)."""
+    ``min_len`` characters and a label in {1, 0, -1}.
+
+    Default: the split comes from the md5 of the review id (train below 0.7,
+    val below 0.85), row by row, no shuffle.  ``exact=True``: rows ordered by
+    (md5, review id) and cut at int(n * train) and int(n * train) +
+    int(n * val), so the part sizes are exact (one range shuffle)."""
     lab = F.col("sentiment_label").try_cast("double")
     d = df.where((F.length(F.coalesce(F.col("review_content"), F.lit(""))) >= min_len) & lab.isin(1.0, 0.0, -1.0))
     name = F.when(lab == 1, "positive").when(lab == 0, "neutral").otherwise("negative")
-    h = hash_bucket(F.col("review_id"))
-    cut1, cut2 = "%04x" % int(train * 0x10000), "%04x" % int((train + val) * 0x10000)
-    split = F.when(h < cut1, "train").when(h < cut2, "val").otherwise("test")
     plat = F.col("platform") if has(df, "platform") else F.lit(None).cast("string")
+    if exact:
+        from critiq.operators.common import global_index
+        d = d.withColumn("_h", F.md5(F.col("review_id").cast("string")))
+        d = global_index(d, ["_h", "review_id"])
+        n = d.agg(F.count(F.lit(1)).alias("_n"))
+        d = with_scalars(d, n)
+        n_tr = F.floor(F.col("_n") * F.lit(float(train)))
+        n_va = F.floor(F.col("_n") * F.lit(float(val)))
+        split = (F.when(F.col("_index") < n_tr, "train").when(F.col("_index") < n_tr + n_va, "val")
+                 .otherwise("test"))
+    else:
+        h = hash_bucket(F.col("review_id"))
+        cut1, cut2 = "%04x" % int(train * 0x10000), "%04x" % int((train + val) * 0x10000)
+        split = F.when(h < cut1, "train").when(h < cut2, "val").otherwise("test")
     return d.select(F.col("review_content").alias("text"), name.alias("label"), "shop_id",
                     plat.alias("platform"), split.alias("split"), F.col("review_id"))
 

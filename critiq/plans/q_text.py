@@ -246,3 +246,16 @@ def q_language_guess(spark, sf_dir):
     d = rv_docs(spark, sf_dir)
     return d.groupBy("platform", tx.detect_lang(F.col("review_content")).alias("lang")).agg(
         F.count(F.lit(1)).cast("long").alias("count"))
+
+
+@register("training_split_exact", with_views(""",
+v AS (SELECT review_content AS text,
+        CASE WHEN sentiment_label = 1 THEN 'positive' WHEN sentiment_label = 0 THEN 'neutral' ELSE 'negative' END AS label,
+        shop_id, platform, review_id,
+        row_number() OVER (ORDER BY md5(review_id), review_id) - 1 AS i, count(*) OVER () AS n
+      FROM rv_docs WHERE length(coalesce(review_content, '')) >= 20 AND sentiment_label IN (1, 0, -1))
+SELECT text, label, shop_id, platform,
+  CASE WHEN i < floor(n * 0.7e0) THEN 'train' WHEN i < floor(n * 0.7e0) + floor(n * 0.15e0) THEN 'val' ELSE 'test' END AS split,
+  review_id FROM v""", "rv_docs"))
+def q_training_split_exact(spark, sf_dir):
+    return tx.training_split(rv_docs(spark, sf_dir), exact=True)

@@ -102,3 +102,15 @@ def test_zh_dimension_substring(spark):
     df = spark.createDataFrame([("1", "味道好极了", -1), ("2", "环境一般", 1)], "review_id string, review_content string, sentiment_label int")
     out = {r.dimension: r.mentions for r in tx.dimension_coverage(df, lang="zh").collect()}
     assert out["口味"] == 1 and out["环境"] == 1 and out["服务"] == 0
+
+
+def test_global_index_and_exact_split(spark):
+    from critiq.operators.common import global_index
+    df = spark.range(0, 5000).selectExpr("CAST(id AS STRING) AS k", "md5(CAST(id AS STRING)) AS h")
+    out = global_index(df.repartition(7), ["h", "k"], parts=5).toPandas().sort_values("_index")
+    assert out._index.tolist() == list(range(5000))
+    assert out.h.tolist() == sorted(out.h.tolist())
+    rows = [(str(i), "x" * 25, [1, 0, -1][i % 3], "s", "p") for i in range(101)]
+    d = spark.createDataFrame(rows, "review_id string, review_content string, sentiment_label int, shop_id string, platform string")
+    sp = tx.training_split(d, exact=True).groupBy("split").count().toPandas().set_index("split")["count"]
+    assert (sp["train"], sp["val"], sp["test"]) == (int(101 * 0.7), int(101 * 0.15), 101 - 70 - 15)
