@@ -75,19 +75,20 @@ def spread(df: DataFrame, min_share: float = 1.0) -> DataFrame:
     return df
 
 
-def global_index(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+def global_index(df: DataFrame, order: list[str], bucket: Column) -> DataFrame:
     """0-based position of every row in the total order ``order`` (which
     must be unique), without a single-partition window.
 
-    Rows are range-partitioned and sorted by ``order``; each partition's row
-    count becomes an offset (a window over one row per partition), and the
-    position is offset + local row number.
+    ``bucket`` must be a deterministic, order-preserving function of the
+    order (e.g. a prefix of an md5 column): per-bucket counts become offsets
+    (a window over one row per bucket, broadcast back), and the position is
+    offset + row number inside the bucket.  Both branches see the same
+    buckets by construction, whatever the partitioning.
     """
-    n = parts or max(1, df.sparkSession.sparkContext.defaultParallelism)
-    s = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    counts = s.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
-    offs = counts.select("_part", (F.sum("_cnt").over(Window.orderBy("_part")) - F.col("_cnt")).alias("_off"))
-    # one row per partition: a bounded broadcast
-    s = s.join(F.broadcast(offs), "_part")
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return s.withColumn("_index", (F.col("_off") + local).cast("long")).drop("_part", "_off")
+    s = df.withColumn("_bucket", bucket)
+    counts = s.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
+    offs = counts.select("_bucket", (F.sum("_cnt").over(Window.orderBy("_bucket")) - F.col("_cnt")).alias("_off"))
+    # one row per bucket: a bounded broadcast
+    s = s.join(F.broadcast(offs), "_bucket")
+    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
+    return s.withColumn("_index", (F.col("_off") + local).cast("long")).drop("_bucket", "_off")

@@ -272,7 +272,8 @@ def training_split(df: DataFrame, train: float = 0.7, val: float = 0.15, min_len
     if exact:
         from critiq.operators.common import global_index
         d = d.withColumn("_h", F.md5(F.col("review_id").cast("string")))
-        d = global_index(d, ["_h", "review_id"])
+        # 4,096 buckets from the first three hex digits keep the md5 order
+        d = global_index(d, ["_h", "review_id"], F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
         n = d.agg(F.count(F.lit(1)).alias("_n"))
         d = with_scalars(d, n)
         n_tr = F.floor(F.col("_n") * F.lit(float(train)))
