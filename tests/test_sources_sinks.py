@@ -5,7 +5,7 @@ import os
 
 from critiq.sinks import aspect_lines, write_jsonl_splits
 from critiq.sources import etl
-from critiq.sources.readers import from_csv, from_json, hash_sample, load
+from critiq.sources.readers import from_json, hash_sample, load
 from critiq.sources.schema import STANDARD_NAMES
 
 

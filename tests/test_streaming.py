@@ -2,8 +2,6 @@
 
 import os
 
-from pyspark.sql import functions as F
-
 from conftest import SF01
 from critiq.sources.fixtures import rv_events
 from critiq.streaming.alerts import windowed_negative_rates
