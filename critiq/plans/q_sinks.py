@@ -70,3 +70,15 @@ def q_report_manifest(spark, sf_dir):
     from critiq.sinks import write_report
     docs = rv_docs(spark, sf_dir)
     return write_report({"aspect_rows": tx.aspect_rows(docs), "documents": docs}, _scratch(spark, "report"))
+
+
+@register("lenient_csv", with_views("""
+SELECT * FROM rv_raw WHERE text IS NOT NULL AND stars_y IS NOT NULL""", "rv_raw"))
+def q_lenient_csv(spark, sf_dir):
+    from critiq.sources.fixtures import rv_raw
+    from critiq.sources.readers import from_csv_lenient
+    src = rv_raw(spark, sf_dir)
+    path = _scratch(spark, "rawcsv")
+    src.write.option("header", True).option("escape", '"').option("nullValue", "\\N").csv(path)
+    df = from_csv_lenient(spark, path, required=("text", "stars_y"), schema=src.schema, null_value="\\N")
+    return df

@@ -259,3 +259,45 @@ SELECT text, label, shop_id, platform,
   review_id FROM v""", "rv_docs"))
 def q_training_split_exact(spark, sf_dir):
     return tx.training_split(rv_docs(spark, sf_dir), exact=True)
+
+
+def _baseline_pred_sql() -> str:
+    lab = ("CASE WHEN {s} >= 4 THEN 1 WHEN {s} = 3 THEN 0 ELSE -1 END")
+    stars = "(CASE WHEN stars_y IS NULL OR isnan(stars_y) OR stars_y = 0 THEN 3.0e0 ELSE stars_y END)"
+    return f"""p AS (SELECT CAST({lab.format(s=stars)} AS VARCHAR) AS t,
+                      CAST({lab.format(s='floor(stars_x + 0.5e0)')} AS VARCHAR) AS p FROM rv_raw)"""
+
+
+CLS_REPORT_SQL = with_views(f""", {_baseline_pred_sql()},
+c AS (SELECT t, p, count(*) AS n FROM p GROUP BY 1, 2),
+cls AS (SELECT t AS cls FROM c UNION SELECT p FROM c),
+m AS (SELECT cls,
+        coalesce((SELECT sum(n) FROM c WHERE c.t = cls.cls AND c.p = cls.cls), 0) AS tp,
+        coalesce((SELECT sum(n) FROM c WHERE c.t = cls.cls), 0) AS support,
+        coalesce((SELECT sum(n) FROM c WHERE c.p = cls.cls), 0) AS predicted FROM cls),
+m2 AS (SELECT *, CASE WHEN predicted > 0 THEN CAST(tp AS DOUBLE) / CAST(predicted AS DOUBLE) ELSE 0.0e0 END AS precision,
+                 CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / CAST(support AS DOUBLE) ELSE 0.0e0 END AS recall FROM m),
+m3 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2.0e0 * precision * recall / (precision + recall) ELSE 0.0e0 END AS f1 FROM m2),
+allr AS (
+  SELECT cls AS class, precision, recall, f1, CAST(support AS BIGINT) AS support FROM m3
+  UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM m3
+  UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+                   sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM m3
+  UNION ALL SELECT 'accuracy', CAST(sum(tp) AS DOUBLE) / sum(support), CAST(sum(tp) AS DOUBLE) / sum(support),
+                   CAST(sum(tp) AS DOUBLE) / sum(support), CAST(sum(support) AS BIGINT) FROM m3)
+SELECT class, {R('precision', 4)} AS precision, {R('recall', 4)} AS recall, {R('f1', 4)} AS f1, support FROM allr""", "rv_raw")
+
+
+@register("classification_report", CLS_REPORT_SQL)
+def q_classification_report(spark, sf_dir):
+    """Report of a baseline predictor derived from the data: the shop's
+    stars (rounded) predict each review's sentiment label."""
+    from pyspark.sql import functions as F
+    from critiq.sources import etl
+    from critiq.sources.fixtures import rv_raw
+    r = rv_raw(spark, sf_dir)
+    sy = F.col("stars_y")
+    stars = F.when(sy.isNull() | F.isnan(sy) | (sy == 0), F.lit(etl.DEFAULT_STARS)).otherwise(sy)
+    _, t = etl.sentiment_of(stars)
+    _, p = etl.sentiment_of(F.floor(F.col("stars_x") + F.lit(0.5)))
+    return tx.classification_report(r.select(t.alias("label"), p.alias("prediction")))

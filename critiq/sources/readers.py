@@ -36,10 +36,12 @@ def from_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
 
 
 def from_csv_lenient(spark: SparkSession, path: str, required=("text", "stars_y"),
-                     schema: T.StructType | None = None) -> DataFrame:
+                     schema: T.StructType | None = None, null_value: str | None = None) -> DataFrame:
     """Skip malformed lines and rows missing a required field."""
     r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     r = r.option("mode", "DROPMALFORMED")
+    if null_value is not None:
+        r = r.option("nullValue", null_value).option("emptyValue", "")
     df = (r.schema(schema) if schema is not None else r).csv(path)
     return df.dropna(subset=[c for c in required if c in df.columns])
 
