@@ -57,7 +57,9 @@ def burst_detection(df: DataFrame, window: int = 7, threshold: float = 2.0) -> D
     constant frame gives 0/0 -> null and no alert; z is rounded to 2
     digits before the threshold test."""
     d = prep_time(df)
-    daily = d.groupBy(F.to_date("review_time").alias("date")).agg(
+    # the day is a 'yyyy-MM-dd' label, like the 'yyyy-MM' label of the
+    # monthly series (it sorts in time order)
+    daily = d.groupBy(F.date_format("review_time", "yyyy-MM-dd").alias("date")).agg(
         F.count("review_id").cast("long").alias("total"),
         F.sum(is_neg(_label(d))).cast("long").alias("neg"))
     daily = daily.withColumn("neg_rate", F.col("neg") / F.col("total"))

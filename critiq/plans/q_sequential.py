@@ -28,7 +28,7 @@ def q_monthly(spark, sf_dir):
 
 def burst_sql(view: str, window: int = 7, threshold: float = 2.0) -> str:
     return with_views(f""",
-daily AS (SELECT CAST(review_time AS DATE) AS date, CAST(count(review_id) AS BIGINT) AS total,
+daily AS (SELECT strftime(review_time, '%Y-%m-%d') AS date, CAST(count(review_id) AS BIGINT) AS total,
             CAST(sum(CASE WHEN sentiment_label = -1 THEN 1 ELSE 0 END) AS BIGINT) AS neg
           FROM {view} WHERE review_time IS NOT NULL GROUP BY 1),
 r AS (SELECT *, CAST(neg AS DOUBLE) / CAST(total AS DOUBLE) AS neg_rate FROM daily),
