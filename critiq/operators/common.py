@@ -69,8 +69,12 @@ def spread(df: DataFrame, min_share: float = 1.0) -> DataFrame:
     cluster's cores, e.g. one large parquet row group.  On large inputs,
     which already split into many partitions, this is a no-op (no shuffle).
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < max(2, int(cores * min_share)):
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): leave the plan as is
+        return df
+    if parts < max(2, int(cores * min_share)):
         return df.repartition(cores)
     return df
 
