@@ -43,12 +43,18 @@ def safe_div(a: Column, b: Column) -> Column:
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row.
+    """Attach the columns of a one-row aggregate to every row.
 
-    ``scalars`` must be a global aggregate (exactly one row), so the
-    broadcast is bounded by construction regardless of data size.
+    ``scalars`` must be a global aggregate (exactly one row).  It becomes one
+    uncorrelated scalar subquery (all its columns packed in a struct): Spark
+    runs it once and folds the result into the projection, so there is no
+    join at all and nothing grows with the data.
     """
-    return df.crossJoin(F.broadcast(scalars))
+    cols = scalars.columns
+    packed = scalars.select(F.struct(*cols).alias("_scalars")).scalar()
+    out = df.withColumn("_scalars", packed)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns],
+                      *[F.col("_scalars")[c].alias(c) for c in cols])
 
 
 def min_max_scale(c: Column, lo: Column, hi: Column) -> Column:

@@ -447,13 +447,15 @@ def cooccurrence(df: DataFrame, vocab_size: int = 50, top_k: int = 30, lang: str
     # one row holding the (at most vocab_size) words in rank order
     vocab = top.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_dfreq")).alias("o"), F.col("word").alias("w")))),
                                 lambda s: s["w"]).alias("_vocab"))
-    per_doc = d.select(toks.alias("_t")).crossJoin(F.broadcast(vocab))
+    # the vocabulary row is a scalar subquery: computed once, inlined per row
+    vocab_arr = vocab.select("_vocab").scalar()
+    per_doc = d.select(toks.alias("_t"), vocab_arr.alias("_vocab"))
     # at most vocab_size words per review reach the lambda
     idx = per_doc.select(F.transform(F.array_intersect("_t", "_vocab"),
                                      lambda w: (F.array_position(F.col("_vocab"), w) - 1).cast("int")).alias("idx"))
     part = idx.where(F.size("idx") >= 2).mapInPandas(_gram_partial(vocab_size), "i int, j int, c long")
     tot = part.groupBy("i", "j").agg(F.sum("c").cast("long").alias("cooccurrence"))
-    named = tot.crossJoin(F.broadcast(vocab)).select(
+    named = tot.select("i", "j", "cooccurrence", vocab_arr.alias("_vocab")).select(
         F.element_at("_vocab", F.col("i") + 1).alias("_a"), F.element_at("_vocab", F.col("j") + 1).alias("_b"),
         "cooccurrence")
     named = named.select(F.least("_a", "_b").alias("word_a"), F.greatest("_a", "_b").alias("word_b"), "cooccurrence")
