@@ -31,7 +31,7 @@ def from_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     r = r.schema(schema) if schema is not None else r.option("inferSchema", False)
     df = r.csv(path)
     # a UTF-8 BOM may survive on the first header name
-    df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
     return align_columns(df) if align else df
 
 
