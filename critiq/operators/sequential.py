@@ -103,10 +103,17 @@ def trend_decomposition(df: DataFrame, key: str | None = None, method: str = "au
     if method == "cma":
         return cma_decomposition(monthly, key, period)
     from critiq.operators.stl import stl_grouped
-    part = [key] if key else []
-    sized = monthly.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*part)))
-    long_ = sized.where(F.col("_n") >= min_stl_months).drop("_n")
-    short = sized.where(F.col("_n") < min_stl_months).drop("_n")
+    # series lengths from an aggregate (one row per series) and semi joins,
+    # not a window: the STL input then keeps the explicit key partitioning
+    # that spreads the series over the cores
+    if key:
+        sizes = monthly.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        long_ = monthly.join(sizes.where(F.col("_n") >= min_stl_months), key, "left_semi")
+        short = monthly.join(sizes.where(F.col("_n") < min_stl_months), key, "left_semi")
+    else:
+        sized = with_scalars(monthly, monthly.agg(F.count(F.lit(1)).alias("_n")))
+        long_ = sized.where(F.col("_n") >= min_stl_months).drop("_n")
+        short = sized.where(F.col("_n") < min_stl_months).drop("_n")
     stl = stl_grouped(long_, key, period=period)
     if method == "stl":
         return stl
