@@ -63,11 +63,14 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int
     return df.withColumn("_rn", F.row_number().over(w2)).where(F.col("_rn") <= k).drop("_rn")
 
 
-def spread(df: DataFrame, min_share: float = 1.0) -> DataFrame:
-    """Round-robin repartition before CPU-heavy per-row work (regex over long
+def spread(df: DataFrame, min_share: float = 1.0, key: str | None = None) -> DataFrame:
+    """Repartition before CPU-heavy per-row work (joins, regex over long
     texts) when the input has fewer partitions than ``min_share`` of the
     cluster's cores, e.g. one large parquet row group.  On large inputs,
     which already split into many partitions, this is a no-op (no shuffle).
+
+    With a unique ``key`` the rows are hash-partitioned on it (deterministic
+    without the sort that a retry-safe round-robin repartition needs).
     """
     try:
         cores = df.sparkSession.sparkContext.defaultParallelism
@@ -75,7 +78,7 @@ def spread(df: DataFrame, min_share: float = 1.0) -> DataFrame:
     except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): leave the plan as is
         return df
     if parts < max(2, int(cores * min_share)):
-        return df.repartition(cores)
+        return df.repartition(cores, key) if key else df.repartition(cores)
     return df
 
 
