@@ -7,6 +7,7 @@ aggregate; a shop holding a third of all rows only makes one final row.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +65,10 @@ def _with_global_mean(groups: DataFrame, min_reviews: int) -> DataFrame:
 
     The mean comes from the per-shop partial sums (a table with one row per
     shop), so the fact table is scanned once for both."""
+    # The shop table (one row per shop) feeds both the mean and the ranking;
+    # persisting it makes the scan, joins and aggregate over the reviews run
+    # once (lost blocks are recomputed from lineage).
+    groups = groups.persist(StorageLevel.MEMORY_AND_DISK)
     mu = groups.agg((F.sum("_s") / F.sum("_c")).alias("_mu"))
     keep = groups.where(F.col("shop_id").isNotNull() & F.col("shop_name").isNotNull()
                         & (F.col("review_count") >= min_reviews)).drop("_s", "_c")
