@@ -60,3 +60,13 @@ def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
 def min_max_scale(c: Column, lo: Column, hi: Column) -> Column:
     """(x - min) / (max - min + 1e-9), the small-epsilon min-max rule."""
     return (c - lo) / (hi - lo + F.lit(1e-9))
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Mark an *aggregated* table that several branches of one plan read
+    (the main result and its scalar subqueries): persisted, so the scan,
+    joins and aggregation beneath it run once.  Only used on tables with one
+    row per shop, user, city, month or similar; lost blocks are recomputed
+    from lineage."""
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from critiq.functions.num import rnd, to_double, with_scalars
+from critiq.functions.num import rnd, shared, to_double, with_scalars
 from critiq.operators.common import first_by_time, is_neg, review_order
 from critiq.operators.explore import equal_width_bin
 from critiq.operators.sequential import prep_time
@@ -78,6 +78,7 @@ def alert_levels(al: DataFrame) -> DataFrame:
 
 def alert_histogram(al: DataFrame, bins: int = 20) -> DataFrame:
     """Equal-width bins of the alert negative rate (the maximum in the last bin)."""
+    al = shared(al)
     mm = al.agg(F.min("neg_rate").alias("_lo"), F.max("neg_rate").alias("_hi"))
     b = with_scalars(al, mm).withColumn("bin", equal_width_bin(F.col("neg_rate"), F.col("_lo"), F.col("_hi"), bins))
     return b.groupBy("bin").agg(F.count(F.lit(1)).cast("long").alias("shop_count"),

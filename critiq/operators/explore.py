@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from critiq.functions.num import min_max_scale, rnd, with_scalars
+from critiq.functions.num import min_max_scale, rnd, shared, with_scalars
 
 
 def equal_width_bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -18,7 +18,7 @@ def drift_histogram(ranked: DataFrame, top: int = 100, bins: int = 20) -> DataFr
     """FIG-1: histogram of rank drift over the ``top`` best shops by Wilson,
     with the 90th percentile of the absolute drift.  ``top`` is the report
     size (a top-k feature), so the ordered limit is bounded."""
-    best = ranked.orderBy("wilson_rank", "shop_id").limit(top)
+    best = shared(ranked.orderBy("wilson_rank", "shop_id").limit(top))
     mm = best.agg(F.min("rank_drift").alias("_lo"), F.max("rank_drift").alias("_hi"),
                   F.percentile(F.abs(F.col("rank_drift")), 0.9).alias("p90_abs_drift"))
     b = with_scalars(best, mm)
@@ -34,7 +34,8 @@ def value_distribution(df: DataFrame, col: str, share: bool = True) -> DataFrame
     g = d.groupBy(col).agg(F.count(F.lit(1)).cast("long").alias("count"))
     if not share:
         return g
-    tot = d.agg(F.count(F.lit(1)).alias("_t"))
+    g = shared(g)
+    tot = g.agg(F.sum("count").alias("_t"))
     return with_scalars(g, tot).select(col, "count", rnd(F.col("count") / F.col("_t") * F.lit(100.0), 1).alias("pct"))
 
 
@@ -87,7 +88,7 @@ QUADRANTS = ["star market", "high traffic, improve", "niche quality", "weak"]  #
 def city_quadrants(cities: DataFrame, top: int = 30) -> DataFrame:
     """Split the ``top`` cities by review count into four quadrants at the
     medians of review count and mean score over those cities."""
-    best = cities.orderBy(F.col("review_count").desc(), F.col("city")).limit(top)
+    best = shared(cities.orderBy(F.col("review_count").desc(), F.col("city")).limit(top))
     med = best.agg(F.percentile(F.col("review_count").cast("double"), 0.5).alias("_mc"),
                    F.percentile("avg_score", 0.5).alias("_ms"))
     b = with_scalars(best, med)
@@ -126,8 +127,8 @@ MEALS = {"lunch": (11, 14), "dinner": (18, 22)}  # fixed values: inclusive hour
 def meal_buckets(hourly: DataFrame) -> DataFrame:
     h = F.col("review_hour")
     bucket = F.when(h.between(*MEALS["lunch"]), "lunch").when(h.between(*MEALS["dinner"]), "dinner").otherwise("other")
-    g = hourly.groupBy(bucket.alias("meal")).agg(F.sum("count").cast("long").alias("count"))
-    tot = hourly.agg(F.sum("count").alias("_t"))
+    g = shared(hourly.groupBy(bucket.alias("meal")).agg(F.sum("count").cast("long").alias("count")))
+    tot = g.agg(F.sum("count").alias("_t"))
     return with_scalars(g, tot).select("meal", "count", rnd(F.col("count") / F.col("_t") * F.lit(100.0), 1).alias("pct"))
 
 
@@ -147,8 +148,8 @@ def segment_sample(rfm: DataFrame, per_segment: int = 600, seg_col: str = "segme
 
 
 def segment_share(rfm: DataFrame, seg_col: str = "segment") -> DataFrame:
-    g = rfm.groupBy(seg_col).agg(F.count(F.lit(1)).cast("long").alias("user_count"))
-    tot = rfm.agg(F.count(F.lit(1)).alias("_t"))
+    g = shared(rfm.groupBy(seg_col).agg(F.count(F.lit(1)).cast("long").alias("user_count")))
+    tot = g.agg(F.sum("user_count").alias("_t"))
     return with_scalars(g, tot).select(seg_col, "user_count", rnd(F.col("user_count") / F.col("_t") * F.lit(100.0), 1).alias("pct"))
 
 
@@ -164,13 +165,14 @@ def influence_rank(df: DataFrame) -> DataFrame:
         F.count("review_id").cast("long").alias("review_count"),
         F.sum(F.coalesce(F.col("like_count").cast("double"), F.lit(0.0))).alias("total_likes"),
         F.countDistinct("shop_id").cast("long").alias("shop_count"))
+    g = shared(g)
     mm = g.agg(*[f(F.col(c).cast("double")).alias(f"_{n}_{c}") for c in ("review_count", "total_likes", "shop_count")
                  for n, f in (("lo", F.min), ("hi", F.max))])
     s = with_scalars(g, mm)
     parts = [min_max_scale(F.col(c).cast("double"), F.col(f"_lo_{c}"), F.col(f"_hi_{c}"))
              for c in ("review_count", "total_likes", "shop_count")]
-    s = s.select("user_id", "review_count", "total_likes", "shop_count",
-                 rnd((parts[0] + parts[1] + parts[2]) / F.lit(3.0), 6).alias("influence_score"))
+    s = shared(s.select("user_id", "review_count", "total_likes", "shop_count",
+                        rnd((parts[0] + parts[1] + parts[2]) / F.lit(3.0), 6).alias("influence_score")))
     q = s.agg(F.percentile("influence_score", F.array(*[F.lit(p) for _, p in KOL_TIERS])).alias("_q"))
     s = with_scalars(s, q)
     tier = None
@@ -188,8 +190,8 @@ SITE_WEIGHTS = (0.4, 0.4, 0.2)  # ours: score, log volume, (1 - negative share)
 def site_score(cities: DataFrame) -> DataFrame:
     """Our definition: weighted min-max-scaled score, log volume and
     positive share per city; grades A-D by quartile of the site score."""
-    c = cities.withColumn("_vol", F.log(F.lit(1.0) + F.col("review_count").cast("double"))) \
-              .withColumn("_pos", F.lit(1.0) - F.col("neg_rate") / F.lit(100.0))
+    c = shared(cities.withColumn("_vol", F.log(F.lit(1.0) + F.col("review_count").cast("double")))
+                     .withColumn("_pos", F.lit(1.0) - F.col("neg_rate") / F.lit(100.0)))
     feats = ["avg_score", "_vol", "_pos"]
     mm = c.agg(*[f(c_).alias(f"_{n}{c_}") for c_ in feats for n, f in (("lo", F.min), ("hi", F.max))])
     s = with_scalars(c, mm)
@@ -197,7 +199,7 @@ def site_score(cities: DataFrame) -> DataFrame:
     for w, f in zip(SITE_WEIGHTS, feats):
         term = F.lit(w) * min_max_scale(F.col(f), F.col(f"_lo{f}"), F.col(f"_hi{f}"))
         sc = term if sc is None else sc + term
-    s = s.withColumn("site_score", rnd(sc, 4))
+    s = shared(s.withColumn("site_score", rnd(sc, 4)))
     q = s.agg(F.percentile("site_score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
     s = with_scalars(s, q)
     grade = (F.when(F.col("site_score") >= F.col("_q")[2], "A").when(F.col("site_score") >= F.col("_q")[1], "B")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from critiq.functions.num import rnd, to_double, with_scalars
+from critiq.functions.num import rnd, shared, to_double, with_scalars
 from critiq.operators.common import is_neg
 
 
@@ -99,7 +99,7 @@ def trend_decomposition(df: DataFrame, key: str | None = None, method: str = "au
     one task per series, all series in parallel) for series of at least
     ``min_stl_months`` months, the centred-mean fallback otherwise.
     ``method`` = 'auto' | 'stl' | 'cma'."""
-    monthly = monthly_trend(df, key)
+    monthly = shared(monthly_trend(df, key))
     if method == "cma":
         return cma_decomposition(monthly, key, period)
     from critiq.operators.stl import stl_grouped
@@ -133,7 +133,7 @@ def forecast_trend(decomp: DataFrame, steps: int = 6, key: str | None = None,
     implementations differ in the last bits); None keeps it raw.
     """
     part = [key] if key else []
-    d = decomp.where(F.col("trend").isNotNull())
+    d = shared(decomp.where(F.col("trend").isNotNull()))
     d = d.withColumn("_t", (F.row_number().over(Window.partitionBy(*part).orderBy("year_month")) - 1).cast("double"))
     fit = d.groupBy(*part).agg(
         F.count(F.lit(1)).alias("_n"), F.regr_slope("trend", "_t").alias("_b"),
@@ -175,9 +175,9 @@ def rfm_table(df: DataFrame) -> DataFrame:
 
     The reference time is the maximum of the per-user maxima (the null-user
     group is kept for it), so the review table is read once."""
-    g = prep_time(df).groupBy("user_id").agg(F.max("review_time").alias("_last"),
-                                             F.count("review_id").cast("long").alias("F"),
-                                             F.avg(to_double("review_score")).alias("M"))
+    g = shared(prep_time(df).groupBy("user_id").agg(F.max("review_time").alias("_last"),
+                                                    F.count("review_id").cast("long").alias("F"),
+                                                    F.avg(to_double("review_score")).alias("M")))
     ref = g.agg(F.max("_last").alias("_ref"))
     g = with_scalars(g.where(F.col("user_id").isNotNull()), ref)
     return g.select("user_id", F.expr("timestampdiff(DAY, _last, _ref)").cast("long").alias("R"), "F", "M")

@@ -7,11 +7,10 @@ aggregate; a shop holding a third of all rows only makes one final row.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from critiq.functions.num import clip, rnd, to_double, with_scalars
+from critiq.functions.num import clip, rnd, shared, to_double, with_scalars
 from critiq.operators.common import dense_rank_desc, first_by_time, has, is_neg, review_order
 
 BAYES_PRIOR_WEIGHT = 30      # fixed value: prior weight m of the shrinkage
@@ -68,7 +67,7 @@ def _with_global_mean(groups: DataFrame, min_reviews: int) -> DataFrame:
     # The shop table (one row per shop) feeds both the mean and the ranking;
     # persisting it makes the scan, joins and aggregate over the reviews run
     # once (lost blocks are recomputed from lineage).
-    groups = groups.persist(StorageLevel.MEMORY_AND_DISK)
+    groups = shared(groups)
     mu = groups.agg((F.sum("_s") / F.sum("_c")).alias("_mu"))
     keep = groups.where(F.col("shop_id").isNotNull() & F.col("shop_name").isNotNull()
                         & (F.col("review_count") >= min_reviews)).drop("_s", "_c")
