@@ -75,4 +75,7 @@ def run(spark: SparkSession, source: str, out_dir: str, modules=MODULES, lexicon
     manifest = write_report(res, out_dir, fmt)
     md = markdown_lines(res.get("eda"), res.get("ranking"), res.get("alerts"))
     write_text_lines(md.orderBy("line_no").select("line").coalesce(1), os.path.join(out_dir, "report_md"))
+    # the manifest is built from driver-side counts, so the shared aggregates
+    # of this run can be dropped now
+    spark.catalog.clearCache()
     return manifest
