@@ -69,4 +69,13 @@ def shared(df: DataFrame) -> DataFrame:
     row per shop, user, city, month or similar; lost blocks are recomputed
     from lineage."""
     from pyspark import StorageLevel
+    # Without this flag a cached plan is executed without adaptive execution:
+    # no runtime broadcast choice, no skew-join split, no partition
+    # coalescing for the joins and aggregation under the cached table.
+    conf = df.sparkSession.conf
+    if str(conf.get(CACHED_AQE_FLAG, "false")).lower() != "true":
+        conf.set(CACHED_AQE_FLAG, "true")
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+CACHED_AQE_FLAG = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
