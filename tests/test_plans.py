@@ -42,3 +42,22 @@ def test_single_partition_windows_only_on_small_tables(spark):
     p = _plan(ent.queries()["bayesian_ranking"](spark, SF))
     win = [l for l in p.split("\n") if "Window [dense_rank" in l]
     assert win and all("bayes_score" in l for l in win)
+
+
+def test_spread_only_for_few_partitions(spark):
+    from critiq.operators.common import spread
+    cores = spark.sparkContext.defaultParallelism
+    many = spark.range(0, 1000, numPartitions=cores * 2)
+    assert spread(many) is many                       # already split: no shuffle added
+    one = spark.range(0, 1000, numPartitions=1)
+    out = spread(one, key="id")
+    assert out.rdd.getNumPartitions() == cores
+    assert "hashpartitioning(id" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shared_keeps_adaptive_execution(spark):
+    from critiq.functions.num import CACHED_AQE_FLAG, shared
+    g = shared(spark.range(100).selectExpr("id % 3 AS k").groupBy("k").count())
+    assert spark.conf.get(CACHED_AQE_FLAG) == "true"
+    assert g.is_cached
+    g.unpersist()
