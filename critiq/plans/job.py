@@ -55,7 +55,7 @@ def analyses(df: DataFrame, modules=MODULES, lexicon: dict | None = None, lang:
         r["dimension"] = tx.dimension_coverage(df, lexicon, lang)
         r["aspect_matrix"] = tx.aspect_matrix(df, lexicon, lang)
         r["neg_signals"] = tx.neg_signal_words(df, lang=lang)
-        r["bert_dataset"] = tx.training_split(df)
+        r["training_set"] = tx.training_split(df)
         r["absa_rows"] = tx.aspect_rows(df) if "absa_aspects" in df.columns else None
         if with_models:
             r["topics"] = ml.topic_model(df).topics
