@@ -41,3 +41,17 @@ def test_stream_scoring_matches_batch(spark, tmp_out):
     got = {r.review_id: r.predicted_label for r in spark.sql("SELECT * FROM scored").collect()}
     exp = {r.review_id: r.predicted_label for r in score(docs, m.model).collect()}
     assert got == exp and len(got) == 1000
+
+
+def test_tier_alert_stream_append(spark, tmp_out):
+    from critiq.streaming.alerts import start
+    src = os.path.join(tmp_out, "events3")
+    ev = rv_events(spark, SF01).select("review_id", "shop_id", "review_time", "sentiment_label")
+    ev.repartition(6).write.parquet(src)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 2).parquet(src)
+    q = start(stream, os.path.join(tmp_out, "ck3"), "tier_p3", level="P3")
+    q.processAllAvailable()
+    q.stop()
+    out = spark.sql("SELECT * FROM tier_p3").collect()
+    assert out, "closed windows past the watermark are emitted"
+    assert all(r.neg_rate >= 0.20 and r.reviews >= 2 and r.level == "P3-Track" for r in out)
