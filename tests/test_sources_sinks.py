@@ -101,3 +101,16 @@ def test_profile(spark):
     assert n == {"sentiment": 2, "review_score": 1}
     s = profile.score_stats(df).first()
     assert (s.rows, s.columns, s.mean_score, s.median_score) == (3, 3, 2.0, 2.0)
+
+
+def test_dispatch_errors_and_fraction_sample(spark):
+    import pytest
+    from critiq.sources.readers import fraction_sample
+    with pytest.raises(ValueError):
+        load(spark, "reviews.xlsx")
+    df = spark.range(20000).selectExpr("CAST(id AS STRING) AS review_id")
+    a = fraction_sample(df, 0.1, "review_id")
+    b = fraction_sample(df.repartition(5), 0.1, "review_id")
+    ids_a = sorted(r.review_id for r in a.collect())
+    assert ids_a == sorted(r.review_id for r in b.collect())
+    assert 1600 < len(ids_a) < 2400
