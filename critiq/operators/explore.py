@@ -157,10 +157,11 @@ def segment_share(rfm: DataFrame, seg_col: str = "segment") -> DataFrame:
 KOL_TIERS = [("KOL", 0.95), ("Super", 0.80), ("Active", 0.50)]  # ours; below -> Regular
 
 
-def influence_rank(df: DataFrame) -> DataFrame:
+def influence_rank(df: DataFrame, exact: bool = True, accuracy: int = 100000) -> DataFrame:
     """Our definition (the original formula is not published): mean of the
     min-max-scaled review count, total likes and distinct shops per user;
-    tiers at the 50th / 80th / 95th percentile of that score."""
+    tiers at the 50th / 80th / 95th percentile of that score (``exact=False``:
+    ``percentile_approx``, for user tables with very many distinct scores)."""
     g = df.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(
         F.count("review_id").cast("long").alias("review_count"),
         F.sum(F.coalesce(F.col("like_count").cast("double"), F.lit(0.0))).alias("total_likes"),
@@ -173,7 +174,10 @@ def influence_rank(df: DataFrame) -> DataFrame:
              for c in ("review_count", "total_likes", "shop_count")]
     s = shared(s.select("user_id", "review_count", "total_likes", "shop_count",
                         rnd((parts[0] + parts[1] + parts[2]) / F.lit(3.0), 6).alias("influence_score")))
-    q = s.agg(F.percentile("influence_score", F.array(*[F.lit(p) for _, p in KOL_TIERS])).alias("_q"))
+    probs = F.array(*[F.lit(p) for _, p in KOL_TIERS])
+    pct = F.percentile("influence_score", probs) if exact else \
+        F.percentile_approx("influence_score", probs, accuracy).cast("array<double>")
+    q = s.agg(pct.alias("_q"))
     s = with_scalars(s, q)
     tier = None
     for i, (name, _) in enumerate(KOL_TIERS):
