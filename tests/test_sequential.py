@@ -112,3 +112,12 @@ def test_stl_grouped_parallel_series(spark):
     out = stl_grouped(m, "k").toPandas()
     assert len(out) == 72 and set(out.method) == {"STL"}
     assert np.allclose(out.trend + out.seasonal + out.residual, out["count"])
+
+
+def test_rfm_approx_option(spark):
+    from conftest import SF01
+    from critiq.sources.fixtures import rv_orders
+    exact = {r.user_id: r.segment for r in seq.rfm_segmentation(rv_orders(spark, SF01)).collect()}
+    approx = {r.user_id: r.segment for r in seq.rfm_segmentation(rv_orders(spark, SF01), exact=False).collect()}
+    assert exact.keys() == approx.keys()
+    assert sum(exact[u] == approx[u] for u in exact) >= 0.95 * len(exact)
