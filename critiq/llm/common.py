@@ -3,65 +3,71 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROWS_PER_TASK = 250_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the cluster's shared checkpoint folder and read back; survives lost executors.
-
-    The folder is ``spark.checkpoint.dir``. Only a local session (tests) may go without: it gets
-    a temporary one; on a cluster the missing setting is an error.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="critiq-checkpoint-")
+def _checkpoint_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Only a local session (tests) may go without and gets a temporary folder."""
+    context = spark.sparkContext
+    now = context._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (None if now.isEmpty() else now.get())
+    if folder is None:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="critiq-checkpoint-")
+    if now.isEmpty():
         context.setCheckpointDir(folder)
+    return folder
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name beneath the shared checkpoint folder."""
+    return f"{_checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared checkpoint folder and read back; survives lost executors."""
+    _checkpoint_root(df.sparkSession)
     return df.checkpoint()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every vertex of ``edges`` (columns a, b): component is the least id reachable.
 
     Alternating large and small stars: each round links every neighbour of a vertex to the least
     one, by a minimum per vertex (combined before the shuffle, so a hub costs one row per task)
-    and a join back (split by adaptive execution when a hub is hot). The edge table never grows
-    beyond its first size, and each round is cut in the shared folder. Loops and repeated edges
-    are harmless; rows with a null end are ignored.
+    and a join back (split by adaptive execution when a hub is hot), until every vertex has one
+    link and leads to a vertex without any. The number of rounds grows with the logarithm of the
+    longest path; each is cut in the shared folder. Loops and repeated edges are harmless; rows
+    with a null end are ignored.
     """
-    both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-    def star(arcs: DataFrame, larger: bool) -> DataFrame:
-        least = arcs.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        out = arcs.join(least, "a")
-        if larger:
-            return out.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        loops = least.filter("a != m").select("a", F.col("m").alias("b"))
-        return out.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").unionByName(loops).distinct()
-
-    now = cut(edges.select("a", "b").filter("a != b").distinct())
-    mark = None
-    for _ in range(max_rounds):
-        big = star(both(now), True)
-        down = big.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        now = cut(star(down, False))
-        stamp = F.xxhash64("a", "b").cast("decimal(38,0)")
-        seen = tuple(now.agg(F.count("*"), F.sum(stamp), F.sum("b")).first())
-        if seen == mark:
+
+    def least(arcs: DataFrame) -> DataFrame:
+        return arcs.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+
+    def packed(df: DataFrame) -> DataFrame:
+        df = cut(df.filter("a != b").distinct())
+        return df.coalesce(1 + df.count() // ROWS_PER_TASK)  # links are narrow rows
+
+    now = packed(edges.select("a", "b"))
+    while True:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = both.join(least(both), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = least(large)
+        down = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = packed(down.unionByName(small.select("a", F.col("m").alias("b"))))
+        firsts = now.groupBy("a").agg(F.count("*").alias("c"))
+        open_ends = now.select("b").join(firsts.select("a"), F.col("b") == F.col("a"), "left_semi").select("b").unionByName(firsts.filter("c > 1").select(F.col("a").alias("b")))
+        if not open_ends.limit(1).count():
             break
-        mark = seen
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("b").alias("a")).distinct()
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
-        roots.select(F.col("a").alias("id"), F.col("a").alias("component"))
-    )
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select(F.col("a").alias("id"), F.col("a").alias("component")))

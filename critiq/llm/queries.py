@@ -28,7 +28,7 @@ WITH RECURSIVE t AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) ELSE w END) AS g FROM t),
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] ELSE w END) AS g FROM t),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * i >= 80 * (u.n + v.n - i)),
@@ -41,3 +41,112 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from critiq.llm.minhash_dedup import minhash_groups
 
     return minhash_groups(table(spark, sf_dir, "documents"), width=2, similarity_pct=80)
+
+
+def _crc_mod(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def _ranks() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query()
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from critiq.llm.toxicity import toxicity_scores, train
+
+    docs = table(spark, sf_dir, "documents")
+    learn = table(spark, sf_dir, "labels").filter(_crc_mod(3) != 1)
+    scores = toxicity_scores(docs, train(docs, learn))
+    return scores.select("doc_id", (_crc_mod(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query()
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from critiq.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+u AS (SELECT vec_id, x FROM v WHERE x IS NOT NULL AND len(x) > 0 AND list_sum([(y IS NULL OR NOT isfinite(y))::INT for y in x]) = 0 AND list_sum([(y != 0)::INT for y in x]) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id != b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (SELECT vec_id AS v, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.v),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT v.vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(r.c) AS component_id, v.vec_id = min(r.c) AS kept
+FROM v JOIN r ON r.v = v.vec_id LEFT JOIN n ON n.a = v.vec_id GROUP BY v.vec_id
+""")
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from critiq.llm.embedding_dedup import embedding_groups
+
+    return embedding_groups(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+@query()
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from critiq.llm.byte_bpe import bpe_decode, bpe_encode
+
+    encoded = bpe_encode(table(spark, sf_dir, "documents"), _ranks(), offsets=False)
+    back = bpe_decode(encoded, _ranks())
+    return back.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from critiq.llm.language_id import languages, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.filter(_crc_mod(4) != 2))
+    return languages(docs, model).select("doc_id", (_crc_mod(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from critiq.llm.common import shared_folder
+    from critiq.llm.token_files import read_token_files, write_token_files
+
+    folder = shared_folder(spark, "token-files")
+    manifest = write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_token_files(manifest, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from critiq.llm.pii import pseudonymise
+
+    docs = pseudonymise(table(spark, sf_dir, "documents"), key="critiq")
+    return docs.select("doc_id", F.size("pii").cast("long").alias("n_entities"), F.array_sort(F.array_distinct("pii.kind")).alias("kinds"), "text")
+
+
+@query()
+def op9_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from critiq.llm.quote_links import reply_ordered
+
+    return reply_ordered(table(spark, sf_dir, "conversations"))
+
+
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query("""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS s FROM pages),
+q AS (SELECT page_id, CASE WHEN s > 0 THEN substr(url, s + 3) ELSE '' END AS rest FROM p),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM q),
+r(rh, rp, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+m AS (SELECT page_id, host, path, rh || rp AS rule, v, row_number() OVER (PARTITION BY h.page_id, host, path ORDER BY length(rh || rp) DESC NULLS LAST) AS k
+  FROM h LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1
+""")
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from critiq.llm.url_filter import url_verdicts
+
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return url_verdicts(table(spark, sf_dir, "pages"), rules)
