@@ -35,7 +35,7 @@ def seeds(words: str, pos: str) -> Column:
 
 def seeded(rows: DataFrame) -> DataFrame:
     """rows with (id, words), once for each position and mask: (id, words, pos, seed)."""
-    at = rows.select("id", "words", F.posexplode("words").alias("pos", "w")).filter(F.col("pos") <= F.size("words") - SPAN)
+    at = rows.select("id", "words", F.posexplode_outer("words").alias("pos", "w")).filter(F.col("pos") <= F.size("words") - SPAN)
     return at.select("id", "words", "pos", F.explode(seeds("words", "pos")).alias("seed"))
 
 

@@ -54,7 +54,6 @@ def window_means(values: np.ndarray) -> np.ndarray:
 class Model:
     value: np.ndarray  # of each bucket: its vector times the difference of the softmax's columns
     bias: float
-    scale: float  # calibration of the logit
 
     def word(self, word: str) -> float:
         at = subwords(word)
@@ -68,11 +67,16 @@ class Model:
             for w in set(tokens).difference(cache):
                 cache[w] = self.word(w)
             logit += float(window_means(np.fromiter(map(cache.__getitem__, tokens), np.float64, len(tokens))).max())
-        return float(1 / (1 + np.exp(-np.clip(self.scale * logit, -50, 50))))
+        return float(1 / (1 + np.exp(-np.clip(logit, -50, 50))))
 
 
-def fit(texts: list[str], labels: list[int], steps: int = 240, rate: float = 1.0, seed: int = 7) -> Model:
-    """Train on texts with labels 0 and 1. Subwords of fewer than 3 texts keep the zero vector."""
+def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 10.0, least_z: float = 4.0, seed: int = 7) -> Model:
+    """Train on texts with labels 0 and 1.
+
+    Only subwords that texts of label 1 hold more often, by ``least_z`` standard errors and in 3 texts at
+    least, get a vector; the others keep the zero vector. Without that, vectors of subwords seen in a
+    few texts would learn those texts by heart.
+    """
     vocabulary: dict[str, int] = {}
     docs, y = [], []
     for t, label in zip(texts, labels):
@@ -80,58 +84,64 @@ def fit(texts: list[str], labels: list[int], steps: int = 240, rate: float = 1.0
         if ids:
             docs.append(np.array(ids))
             y.append(int(label))
+    share = (sum(labels) + 0.5) / (len(labels) + 1)
+    nothing = Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
     if len(set(y)) < 2:
-        share = (sum(labels) + 0.5) / (len(labels) + 1)
-        return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))), 1.0)
+        return nothing
     y = np.array(y)
-    lists = [subwords(w) for w in vocabulary]
-    lengths = np.array([len(x) for x in lists])
-    bucket, word = np.concatenate([np.array(x) for x in lists]), np.repeat(np.arange(len(lists)), lengths)
-    seen = np.zeros(len(vocabulary))
-    for ids in docs:
-        seen[np.unique(ids)] += 1
-    common = np.bincount(bucket, seen[word], BUCKETS) >= 3
-    bucket, word, length = bucket[common[bucket]], word[common[bucket]], lengths
-    # windows of all texts as (window, word) pairs
-    window, token, owner, k = [], [], [], 0
+    lists = [np.array(subwords(w)) for w in vocabulary]
+    held = np.zeros((2, BUCKETS))
+    for ids, label in zip(docs, y):
+        held[label, np.unique(np.concatenate([lists[i] for i in set(ids.tolist())]))] += 1
+    n0, n1 = np.bincount(y)
+    p = held.sum(0) / len(y)
+    z = (held[1] / n1 - held[0] / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n0 + 1 / n1))
+    chosen = np.flatnonzero((z >= least_z) & (held[1] >= 3))
+    if not len(chosen):
+        return nothing
+    place = np.full(BUCKETS, -1)
+    place[chosen] = np.arange(len(chosen))
+    hits = [place[x][place[x] >= 0] for x in lists]
+    active = np.flatnonzero([len(h) > 0 for h in hits])
+    row = np.full(len(lists), -1)
+    row[active] = np.arange(len(active))
+    bucket, word = np.concatenate([hits[i] for i in active]), np.repeat(np.arange(len(active)), [len(hits[i]) for i in active])
+    length = np.array([len(lists[i]) for i in active])
+    # windows of all texts; of their words those with a vector, as (window, word) pairs
+    window, token, owner, size = [], [], [], []
     for d, ids in enumerate(docs):
-        starts = [0] if len(ids) <= WINDOW else [*range(0, len(ids) - WINDOW, WINDOW // 2), len(ids) - WINDOW]
-        for s in starts:
-            part = ids[s : s + WINDOW]
-            token.append(part)
-            window.append(np.full(len(part), k))
+        for s in [0] if len(ids) <= WINDOW else [*range(0, len(ids) - WINDOW, WINDOW // 2), len(ids) - WINDOW]:
+            part = row[ids[s : s + WINDOW]]
+            token.append(part[part >= 0])
+            window.append(np.full(len(token[-1]), len(size)))
+            size.append(len(part))
             owner.append(d)
-            k += 1
-    window, token, owner = np.concatenate(window), np.concatenate(token), np.array(owner)
-    size = np.bincount(window, minlength=k)
+    window, token, owner, size = np.concatenate(window), np.concatenate(token), np.array(owner), np.array(size)
     begins = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
     rng = np.random.default_rng(seed)
-    table, soft, bias = np.zeros((BUCKETS, DIM), np.float32), rng.normal(0, 1, (DIM, 2)).astype(np.float32), np.zeros(2)
-    weight = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean()) / len(y)
-    speed_t, speed_s, speed_b = np.zeros_like(table), np.zeros_like(soft), np.zeros(2)
-    for step in range(steps):
-        effect = table @ soft  # logits of each bucket
-        of_word = np.stack([np.bincount(word, effect[bucket, c], len(lists)) for c in (0, 1)], 1) / length[:, None]
-        logits = np.stack([np.bincount(window, of_word[token, c], k) for c in (0, 1)], 1) / size[:, None] + bias
+    table, soft, bias = np.zeros((len(chosen), DIM)), rng.normal(0, 1, (DIM, 2)), np.array([0.0, np.log(share / (1 - share))])
+    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
+    seen = [np.full_like(v, 1e-10) for v in (table, soft, bias)]
+    for _ in range(steps):
+        effect = table @ soft  # logits of each subword
+        of_word = np.stack([np.bincount(word, effect[bucket, c], len(active)) for c in (0, 1)], 1) / length[:, None]
+        logits = np.stack([np.bincount(window, of_word[token, c], len(size)) for c in (0, 1)], 1) / size[:, None] + bias
         margin = logits[:, 1] - logits[:, 0]
         worst = np.maximum.reduceat(margin, begins)
         at = np.flatnonzero(margin == worst[owner])
         at = at[np.concatenate(([True], owner[at][1:] != owner[at][:-1]))]  # one window of each text
-        chance = 1 / (1 + np.exp(-np.clip(worst, -50, 50)))
-        push = (chance - y) * weight
+        push = (1 / (1 + np.exp(-np.clip(worst, -50, 50))) - y) * weight
         grad = np.stack((-push, push), 1)
-        of_window = np.zeros((k, 2))
+        of_window = np.zeros((len(size), 2))
         of_window[at] = grad / size[at, None]
-        up = np.stack([np.bincount(token, of_window[window, c], len(lists)) for c in (0, 1)], 1) / length[:, None]
-        per_bucket = np.stack([np.bincount(bucket, up[word, c], BUCKETS) for c in (0, 1)], 1)
-        grad_t, grad_s = per_bucket @ soft.T, table.T @ per_bucket
-        pace = rate * (1 - 0.9 * step / steps)
-        for now, speed, g, factor in ((table, speed_t, grad_t, 400.0), (soft, speed_s, grad_s, 0.02), (bias, speed_b, grad.sum(0), 1.0)):
-            speed *= 0.9
-            speed += g
-            now -= (pace * factor) * speed
-    value = (table @ (soft[:, 1] - soft[:, 0])).astype(np.float64)
-    return Model(value, float(bias[1] - bias[0]), 1.0)
+        up = np.stack([np.bincount(token, of_window[window, c], len(active)) for c in (0, 1)], 1) / length[:, None]
+        per_bucket = np.stack([np.bincount(bucket, up[word, c], len(chosen)) for c in (0, 1)], 1)
+        for now, g, total, pace in ((table, per_bucket @ soft.T, seen[0], rate), (soft, table.T @ per_bucket, seen[1], 0.02), (bias, grad.sum(0), seen[2], 0.05)):
+            total += g * g
+            now -= pace * g / np.sqrt(total)
+    value = np.zeros(BUCKETS)
+    value[chosen] = table @ (soft[:, 1] - soft[:, 0])
+    return Model(value, float(bias[1] - bias[0]))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int) -> DataFrame:
