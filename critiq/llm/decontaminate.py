@@ -39,14 +39,30 @@ def seeded(rows: DataFrame) -> DataFrame:
     return at.select("id", "words", "pos", F.explode(seeds("words", "pos")).alias("seed"))
 
 
-def best_window(doc: Column, item: Column, hit: Column) -> Column:
-    """Largest share of equal tokens among the item's windows that hold the hit; doc is laid under item."""
-    size = F.size(item)
+def laid_over(hits: DataFrame) -> DataFrame:
+    """(id, item, w, n, d, i): tokens of document and item, side by side, in the item's windows that hold the hit.
+
+    w: length of a window; n: tokens of the item that such windows cover; d and i begin at the first of
+    them that the document has, and d ends with the document.
+    """
+    size = F.size("item_words")
     w = F.least(size, F.lit(WINDOW))
-    equal = F.zip_with(item, doc, lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int"))
-    first, last = F.greatest(F.lit(0), hit + SPAN - w), F.least(hit, size - w)
-    sums = F.transform(F.sequence(first, last), lambda s: F.aggregate(F.slice(equal, s + 1, w), F.lit(0), lambda a, b: a + b))
-    return F.array_max(sums) / w
+    first, last = F.greatest(F.lit(0), F.col("at") + SPAN - w), F.least(size, F.col("at") + w)
+    begin = F.greatest(first, F.col("at") - F.col("pos"))
+    doc = F.slice("words", F.col("pos") - F.col("at") + begin + 1, last - begin)
+    return hits.select("id", "item", w.alias("w"), (last - first).alias("n"), doc.alias("d"), F.slice("item_words", begin + 1, last - begin).alias("i"))
+
+
+def best_share(laid: DataFrame) -> DataFrame:
+    """(id, item, share): the largest share of equal tokens in a window.
+
+    Equal tokens are the bits of a number, the last token the lowest; a window is a mask.
+    """
+    equal = F.zip_with(F.slice("i", 1, F.size("d")), "d", lambda a, b: F.when(a == b, 1).otherwise(0).cast("long"))
+    bits = F.aggregate(equal, F.lit(0).cast("long"), lambda m, e: m * 2 + e)
+    marked = laid.select("id", "item", "w", "n", F.expr("shiftleft(1L, size(i) - size(d))").alias("up"), bits.alias("m")).withColumn("m", F.col("m") * F.col("up"))
+    masks = [F.expr(f"CASE WHEN n - w >= {s} THEN bit_count(m & shiftleft(shiftleft(1L, w) - 1L, {s})) ELSE 0 END") for s in range(WINDOW - SPAN + 1)]
+    return marked.select("id", "item", (F.greatest(*masks) / F.col("w")).alias("share"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -61,16 +77,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.75, i
         items = F.broadcast(items)  # beyond that Spark joins by shuffle
     texts = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col).cast("string")).alias("words")).filter("id is not null")
     hits = seeded(texts).join(items, "seed")
-    # the document's tokens under the item; before the document's first token: nothing
-    start = F.col("pos") - F.col("at")
-    under = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("item_words"))
-    laid = F.when(start >= 0, under).otherwise(F.concat(F.array_repeat(F.lit(None).cast("string"), F.greatest(-start, F.lit(0))), under))
-    laid = F.slice(laid, 1, F.size("item_words"))
-    hits = hits.select("id", "item", "at", "item_words", laid.alias("laid"))
-    short = F.size("item_words") - F.size("laid")
-    even = F.concat("laid", F.array_repeat(F.lit(None).cast("string"), F.greatest(short, F.lit(0))))
-    found = hits.select("id", "item", best_window(even, F.col("item_words"), F.col("at")).alias("share")).filter(F.col("share") >= least_share)
-    return found.groupBy("id", "item").agg(F.max("share").alias("share")).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "share")
+    found = best_share(laid_over(hits)).groupBy("id", "item").agg(F.max("share").alias("share")).filter(F.col("share") >= least_share)
+    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "share")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -63,7 +63,21 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (_crc_mod(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-@query()
+@query("""
+WITH d AS (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+') AS w FROM documents),
+b AS (SELECT item_id, string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+') AS v FROM benchmark),
+masks(k, gap) AS (VALUES (0, [4]), (1, [3, 7]), (2, [5])),
+ds AS (SELECT doc_id, w, p, k, array_to_string([CASE WHEN list_contains(gap, j) THEN '' ELSE w[p + j + 1] END for j in range(0, 9)], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(0, len(w) - 8)) AS p FROM d), masks),
+bs AS (SELECT item_id, v, q, k, array_to_string([CASE WHEN list_contains(gap, j) THEN '' ELSE v[q + j + 1] END for j in range(0, 9)], ' ') AS s
+  FROM (SELECT item_id, v, unnest(range(0, len(v) - 8)) AS q FROM b), masks),
+h AS (SELECT DISTINCT doc_id, item_id, w, v, p, q, least(len(v), 20) AS n FROM ds JOIN bs USING (k, s)),
+f AS (SELECT doc_id, item_id, list_max([list_sum([CASE WHEN p - q + i >= 0 AND w[p - q + i + 1] = v[i + 1] THEN 1 ELSE 0 END for i in range(z, z + n)])
+  for z in range(greatest(0, q + 9 - n), least(q, len(v) - n) + 1)]) / n AS share FROM h),
+g AS (SELECT doc_id, item_id, max(share) AS share FROM f GROUP BY 1, 2 HAVING max(share) >= 0.75),
+e AS (SELECT doc_id, count(*) AS n, max(share) AS best FROM g GROUP BY 1)
+SELECT d.doc_id, e.n IS NOT NULL AS contaminated, coalesce(e.n, 0)::BIGINT AS n_items, coalesce(e.best, 0.0)::DOUBLE AS best_share FROM d LEFT JOIN e USING (doc_id)
+""")
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from critiq.llm.decontaminate import contamination
 
