@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 PIECE = 1 << 19  # code points scanned at once; the state carries over between the pieces of a long text
 ROW = 128
-CACHE = 250_000  # slices whose ids a task remembers
+CACHE = 500_000  # slices whose ids a task remembers
 CACHED_CHARS = 48
 NONE = 1 << 40  # rank of no token
 
@@ -237,11 +237,14 @@ def merge_many(pieces: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
     row = np.arange(len(pieces))
     while len(row):
         at = ranks.argmin(axis=1)
-        here = np.arange(len(row))
-        least = ranks[here, at]
+        least = ranks[np.arange(len(row)), at]
         rest = least != NONE
-        for k in np.flatnonzero(~rest).tolist():
-            done[row[k]] = ids[k][ids[k] >= 0].astype("<u4").tobytes()
+        if not rest.all():
+            ready = ids[~rest]
+            used = ready >= 0
+            flat, ends = ready[used].astype("<u4").tobytes(), (np.cumsum(used.sum(1)) * 4).tolist()
+            for k, a, b in zip(row[~rest].tolist(), [0, *ends], ends):
+                done[k] = flat[a:b]
         row, ids, ranks, at, least = row[rest], ids[rest], ranks[rest], at[rest], least[rest]
         if not len(row):
             break
