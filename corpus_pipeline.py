@@ -6,18 +6,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from critiq.llm.common import cut, table
+from critiq.llm.queries import _ranks
 
+TOXIC = 0.7  # documents that score as much go
+KEY = "critiq"  # of the surrogates; a deployment passes its own secret
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the least doc_id."""
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of TOXIC or more go; the model learns from the labels of all documents."""
+    from critiq.llm.toxicity import toxicity_scores, train
+
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return toxicity_scores(docs, model, score_col="toxicity_score").filter(F.col("toxicity_score") < TOXIC).select(docs.columns)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (5-word shingles, similarity 0.8) the document of least doc_id stays."""
     from critiq.llm.minhash_dedup import minhash_groups
 
     drop = minhash_groups(docs, width=5, similarity_pct=80).filter(~F.col("kept")).select("doc_id")
     return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
 
 
-STAGES = [("minhash_near_dedup", near_duplicates)]
-ORACLE_SQL = None
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    from critiq.llm.decontaminate import overlaps
+
+    found = overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Entities get surrogates; n_chars follows the new text."""
+    from critiq.llm.pii import pseudonymise
+
+    out = pseudonymise(docs, KEY)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether they decode to its text."""
+    from critiq.llm.byte_bpe import bpe_decode, bpe_encode
+
+    back = bpe_decode(bpe_encode(docs, _ranks(), offsets=False), _ranks())
+    return back.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("toxicity", toxicity), ("minhash_near_dedup", minhash_near_dedup), ("decontamination", decontamination), ("pii", pii), ("byte_bpe", byte_bpe)]
+ORACLE_SQL = None  # the toxicity model and the tokenizer are no SQL; tests hold run() against a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,43 +152,49 @@ def links(docs: DataFrame, reps: DataFrame, width: int, pct: int, id_col: str, t
     )
     across = cut(across)
 
-    # full sets of all that met
-    need = family.select("id").unionByName(across.select(F.col("a").alias("id"))).unionByName(across.select(F.col("b").alias("id"))).distinct()
+    # what a family holds decides whether its hub comes first or one block takes it all
+    member = family.join(sketches.select("id", "n", "pop"), "id")
+    stats = member.groupBy("component").agg(F.sum("n").alias("total"), F.max(F.struct("pop", (-F.col("id")).alias("i"))).alias("h"))
+    large = cut(stats.filter(F.col("total") > BLOCK).select("component", (-F.col("h.i")).alias("hub")))
+
+    # full sets of all that met, from their texts
+    need = family.unionByName(across.select(F.col("a").alias("id"), F.lit(None).cast("long").alias("component"))).unionByName(across.select(F.col("b").alias("id"), F.lit(None).cast("long").alias("component")))
+    need = need.groupBy("id").agg(F.max("component").alias("component")).join(reps.select("id", "key"), "id")
+    need = need.join(large.select("component", F.lit(True).alias("large")), "component", "left").select("id", "key", "component", F.coalesce("large", F.lit(False)).alias("large"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                x = list(shingle_sets(batch.column(1).slice(at, 256), width))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array(map(set_key, x), pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "key", "x"])
+                part = batch.slice(at, 256)
+                x = list(shingle_sets(part.column(4), width))
+                own = pa.array([set_key(v) == k for v, k in zip(x, part.column(1).to_pylist())], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "component", "large", "x"]).filter(own)
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(need, "id", "left_semi")
-    full = texts.mapInArrow(sets, "id long, key binary, x binary").join(reps.select("id", "key"), ["id", "key"]).select("id", "x").dropDuplicates(["id"])
-    return _settle(cut(full), sketches, family, across, pct)
+    full = texts.join(need, "id").select("id", "key", "component", "large", "text").distinct().mapInArrow(sets, "id long, component long, large boolean, x binary")
+    return _settle(cut(full), member, large, across, pct)
 
 
-def _settle(full: DataFrame, sketches: DataFrame, family: DataFrame, across: DataFrame, pct: int) -> DataFrame:
+def _settle(full: DataFrame, member: DataFrame, large: DataFrame, across: DataFrame, pct: int) -> DataFrame:
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [_similar(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), pct) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        wide = pairs.join(full.select(F.col("id").alias("a"), "x"), "a").join(full.select(F.col("id").alias("b"), F.col("x").alias("y")), "b")
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        wide = pairs.join(sets.select(F.col("id").alias("a"), "x"), "a").join(sets.select(F.col("id").alias("b"), F.col("x").alias("y")), "b")
         return wide.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")
 
-    member = family.join(sketches.select("id", "n", "pop"), "id")
-    stats = member.groupBy("component").agg(F.sum("n").alias("total"), F.max(F.struct("pop", (-F.col("id")).alias("i"))).alias("h"))
-    large = stats.filter(F.col("total") > BLOCK).select("component", (-F.col("h.i")).alias("hub"))
-    star = cut(confirmed(member.join(large, "component").filter("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))))
+    of_large = full.filter("large")
+    star = cut(confirmed(member.join(large, "component").filter("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")), of_large))
 
-    # what links to its family's hub is settled; the rest is compared in blocks with all
+    # in a large family what links to the hub is settled; the rest is compared in blocks with all
     linked = star.select(F.col("a").alias("id")).unionByName(large.select(F.col("hub").alias("id"))).withColumn("settled", F.lit(True))
-    pools = member.join(linked, "id", "left").withColumn("settled", F.coalesce("settled", F.lit(False))).select("id", "component", "n", "settled")
+    pools = member.join(large, "component").join(linked, "id", "left").select("id", "component", "n", F.coalesce("settled", F.lit(False)).alias("settled"))
     sizes = pools.groupBy("component").agg(*(F.ceil(F.sum(F.when(F.col("settled") == s, F.col("n"))) / BLOCK).alias(k) for s, k in ((False, "rest"), (True, "done")))).filter("rest > 0").fillna(0, ["done"])
     dealt = pools.join(sizes, "component").withColumn("block", F.when(F.col("settled"), F.col("rest") + F.expr("pmod(xxhash64(id), done)")).otherwise(F.expr("pmod(xxhash64(id), rest)")))
     partners = F.when(F.col("settled"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") + F.col("done") - 1))
-    cells = dealt.select("id", "component", "block", "rest", F.explode(partners).alias("other"))
+    cells = dealt.select("id", "component", "block", F.explode(partners).alias("other"))
     cells = cells.select("id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"))
 
     def block(t: pa.Table) -> pa.Table:
@@ -199,8 +205,11 @@ def _settle(full: DataFrame, sketches: DataFrame, family: DataFrame, across: Dat
         found = joined(ids, x, a, b, pct)
         return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
-    inside = cells.join(full, "id").groupBy("component", "i", "j").applyInArrow(block, "a long, b long")
-    return star.unionByName(confirmed(across)).unionByName(inside)
+    # a family that one block holds needs no dealing
+    whole = full.filter("component is not null and not large").select("id", "component", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(False).alias("second"), "x")
+    parts = cells.join(of_large.select("id", "x"), "id").select(whole.columns)
+    inside = whole.unionByName(parts).groupBy("component", "i", "j").applyInArrow(block, "a long, b long")
+    return star.unionByName(confirmed(across, full)).unionByName(inside)
 
 
 def joined(ids: np.ndarray, x: list[np.ndarray], a: np.ndarray, b: np.ndarray, pct: int) -> list[tuple[int, int]]:

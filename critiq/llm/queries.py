@@ -59,7 +59,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     learn = table(spark, sf_dir, "labels").filter(_crc_mod(3) != 1)
-    scores = toxicity_scores(docs, train(docs, learn))
+    scores = toxicity_scores(docs.select("doc_id", "text"), train(docs, learn))
     return scores.select("doc_id", (_crc_mod(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 

@@ -164,23 +164,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([texts[i] for i in order], [y[i] for i in order])
 
 
-def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score) of every row of docs, repeated ids and null ids included.
+def toxicity_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """docs with score_col: the chance of label 1. All rows and columns are kept, repeated and null ids included.
 
     Null and empty texts, and texts without a word, score as the model's bias alone. Whole texts are
-    read. An empty table gives an empty result; other columns are ignored, whatever their names.
+    read. An empty table gives an empty result; only a column named as score_col is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [c for c in docs.columns if c != score_col]
+    place = names.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
         for batch in batches:
             out = []
-            for text in batch.column(1):
+            for text in batch.column(place):
                 out.append(shared.value.score(text.as_py(), cache))
                 if len(cache) > CACHE:
                     cache.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], [id_col, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*names, score_col])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(rows, f"`{id_col}` {kind}, score double")
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(rows, f"{schema}, `{score_col}` double")
