@@ -144,8 +144,9 @@ def slices(texts: list[str]) -> Iterator[list[str]]:
     """The slices of each text."""
     text = "".join(texts)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.cumsum([len(t) for t in texts])
-    starts = ends - np.array([len(t) for t in texts])
+    lengths = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
     fresh = np.zeros(len(points), bool)
     fresh[starts[starts < len(points)]] = True
     cuts = slice_starts(points, fresh)

@@ -123,24 +123,23 @@ def _digits(text: str) -> str:
     return "".join(filter(str.isdigit, text))
 
 
-def _ip_class(ip: tuple[int, ...]) -> str:
-    a, b = ip[:2]
-    if a == 10 or (a, b) == (192, 168) or a == 172 and 16 <= b < 32:
-        return f"private{a}"
-    return "special" if a in (0, 127) or a >= 224 or (a, b) == (169, 254) else "public"
+def _network_bits(x: int) -> int:
+    """Leading bits of an address that stay: those of its private or special network; none of a public one."""
+    for network, bits in ((0x0A000000, 8), (0xAC100000, 12), (0xC0A80000, 16), (0xA9FE0000, 16), (0x00000000, 8), (0x7F000000, 8), (0xE0000000, 4), (0xF0000000, 4)):
+        if x >> (32 - bits) == network >> (32 - bits):
+            return bits
+    return 0
 
 
 def _ip(text: str, key: bytes) -> str:
-    kind = _ip_class(tuple(map(int, text.split("."))))
-    x = 0
-    for part in text.split("."):
-        x = x * 256 + int(part)
-    cycle = Cycle(key, "ip", 1 << 32)
+    x = int.from_bytes(bytes(map(int, text.split("."))), "big")
+    bits = _network_bits(x)
+    network, host = x >> (32 - bits) << (32 - bits), x & ((1 << (32 - bits)) - 1)
+    cycle = Cycle(key, f"ip{network}", 1 << (32 - bits))
     while True:
-        x = cycle.next(x)
-        got = tuple(x >> s & 255 for s in (24, 16, 8, 0))
-        if _ip_class(got) == kind:
-            return ".".join(map(str, got))
+        host = cycle.next(host)
+        if _network_bits(network | host) == bits:
+            return ".".join(map(str, (network | host).to_bytes(4, "big")))
 
 
 def _email(text: str, key: bytes) -> str:
@@ -238,7 +237,7 @@ def replace(text: str | None, key: bytes, known: dict[tuple[str, str], str] | No
     return "".join([*out, text[at:]]), spans
 
 
-def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with surrogates in its text column, and ``pii``: array of (start, end, kind, surrogate).
 
     start and end count characters of the original text. All columns and rows are kept, repeated and
@@ -269,12 +268,21 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     return texts.mapInArrow(rows, f"{schema}, pii array<struct<start: bigint, end: bigint, kind: string, surrogate: string>>")
 
 
-def collisions(docs: DataFrame, replaced: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(kind, surrogate, entities): surrogates that stand for more than one entity; must be empty.
+def collisions(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """(kind, surrogate, entities): surrogates that stand for more than one entity of docs; must be empty.
 
-    E-mail addresses are one entity whatever their letter case.
+    E-mail addresses are one entity whatever their letter case. Entities are told apart by hashes of 128 bits.
     """
-    spans = replaced.select(F.col(id_col).alias("id"), F.explode("pii").alias("p")).join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "id")
-    entity = F.expr("substring(t, cast(p.start + 1 as int), cast(p.end - p.start as int))")
-    pairs = spans.select(F.col("p.kind").alias("kind"), F.when(F.col("p.kind") == "email", F.lower(entity)).otherwise(entity).alias("entity"), F.col("p.surrogate").alias("surrogate")).distinct()
+    secret = hashlib.sha256(key.encode()).digest()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = set()
+            for text in batch.column(0).to_pylist():
+                for s, e, kind, new in replace(text, secret)[1]:
+                    old = text[s:e].lower() if kind == "email" else text[s:e]
+                    found.add((kind, new, hashlib.blake2b(old.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()))
+            yield pa.RecordBatch.from_pydict({k: pa.array([f[j] for f in found], pa.string()) for j, k in enumerate(("kind", "surrogate", "entity"))})
+
+    pairs = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(rows, "kind string, surrogate string, entity string").distinct()
     return pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("entities")).filter("entities > 1")

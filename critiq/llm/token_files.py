@@ -21,6 +21,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ def _filesystem(folder: str):
     """(file system, path) of a URI or local path, as pyarrow knows it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}")
+    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else Path(folder).absolute().as_uri())
 
 
 class Writer:
