@@ -8,7 +8,7 @@ the same bits in Spark and in the SQL oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -62,20 +62,57 @@ def min_max_scale(c: Column, lo: Column, hi: Column) -> Column:
     return (c - lo) / (hi - lo + F.lit(1e-9))
 
 
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], name: str, buckets: int = 1 << 16) -> DataFrame:
+    """One row with the array ``name`` of exact, linearly interpolated quantiles.
+
+    ``percentile`` gathers all distinct values in one buffer.  Here they are
+    counted, dealt into equal-width buckets between the extremes, and only
+    bucket totals (at most ``buckets`` rows) meet in one window; the wanted
+    ranks are then looked up inside their buckets.
+    """
+    x = F.col(col).cast("double")
+    v = shared(df.select(x.alias("_x")).where(F.col("_x").isNotNull()).groupBy("_x").agg(F.count(F.lit(1)).alias("_n")))
+    span = v.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_n").alias("_total"))
+    share = F.try_divide(F.col("_x") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    s = with_scalars(v, span).withColumn("_b", F.coalesce(F.floor(share * F.lit(float(buckets - 1))), F.lit(0)))
+    totals = s.groupBy("_b").agg(F.sum("_n").alias("_m"))
+    before = totals.select("_b", (F.sum("_m").over(Window.orderBy("_b")) - F.col("_m")).alias("_before"))
+    inside = F.sum("_n").over(Window.partitionBy("_b").orderBy("_x"))
+    c = s.join(before, "_b").withColumn("_upto", F.col("_before") + inside)
+    at = [F.lit(float(p)) * (F.col("_total") - 1) for p in probs]
+
+    def value(rank: Column) -> Column:
+        return F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n")), F.col("_x")))
+
+    one = c.agg(F.max("_total").alias("_total"), *[value(F.floor(a)).alias(f"_f{i}") for i, a in enumerate(at)],
+                *[value(F.ceil(a)).alias(f"_c{i}") for i, a in enumerate(at)])
+    pick = [F.when(F.col(f"_f{i}") == F.col(f"_c{i}"), F.col(f"_f{i}")).otherwise(
+        (F.ceil(a) - a) * F.col(f"_f{i}") + (a - F.floor(a)) * F.col(f"_c{i}")) for i, a in enumerate(at)]
+    return one.select(F.array(*pick).alias(name))
+
+
+_SHARED: list[DataFrame] = []
+
+
 def shared(df: DataFrame) -> DataFrame:
     """Mark an *aggregated* table that several branches of one plan read
     (the main result and its scalar subqueries): persisted, so the scan,
     joins and aggregation beneath it run once.  Only used on tables with one
     row per shop, user, city, month or similar; lost blocks are recomputed
-    from lineage."""
+    from lineage.  ``release_shared`` drops them when the results are written.
+
+    ``get_session`` sets ``CACHED_AQE_FLAG``; without it a cached plan runs
+    without adaptive execution.
+    """
     from pyspark import StorageLevel
-    # Without this flag a cached plan is executed without adaptive execution:
-    # no runtime broadcast choice, no skew-join split, no partition
-    # coalescing for the joins and aggregation under the cached table.
-    conf = df.sparkSession.conf
-    if str(conf.get(CACHED_AQE_FLAG, "false")).lower() != "true":
-        conf.set(CACHED_AQE_FLAG, "true")
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    _SHARED.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return _SHARED[-1]
+
+
+def release_shared() -> None:
+    """Unpersist every table that ``shared`` persisted so far."""
+    while _SHARED:
+        _SHARED.pop().unpersist()
 
 
 CACHED_AQE_FLAG = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"

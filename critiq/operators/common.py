@@ -18,14 +18,13 @@ def dense_rank_desc(df: DataFrame, score: str, rank: str) -> DataFrame:
     """Dense rank of ``score`` (descending) without a global window over ``df``.
 
     A window over all shops would pull every row into one task.  Instead the
-    distinct score values are ranked (they are rounded, so their number is
-    bounded: 4,001 values for 3 decimals in [1, 5]) and joined back.  The
-    ranked table is tiny by construction, which is what makes the broadcast
-    safe at any data size.
+    distinct score values are ranked (they are rounded: 4,001 values for 3
+    decimals in [1, 5]) and joined back; the engine broadcasts them when they
+    are as few as that.
     """
     vals = df.select(score).where(F.col(score).isNotNull()).distinct()
     ranked = vals.select(score, F.dense_rank().over(Window.orderBy(F.col(score).desc())).alias(rank))
-    return df.join(F.broadcast(ranked), score, "left").select(*df.columns, F.col(rank).cast("int").alias(rank))
+    return df.join(ranked, score, "left").select(*df.columns, F.col(rank).cast("int").alias(rank))
 
 
 def first_by_time(x: str, order: Column) -> Column:
@@ -63,25 +62,6 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int
     return df.withColumn("_rn", F.row_number().over(w2)).where(F.col("_rn") <= k).drop("_rn")
 
 
-def spread(df: DataFrame, min_share: float = 1.0, key: str | None = None) -> DataFrame:
-    """Repartition before CPU-heavy per-row work (joins, regex over long
-    texts) when the input has fewer partitions than ``min_share`` of the
-    cluster's cores, e.g. one large parquet row group.  On large inputs,
-    which already split into many partitions, this is a no-op (no shuffle).
-
-    With a unique ``key`` the rows are hash-partitioned on it (deterministic
-    without the sort that a retry-safe round-robin repartition needs).
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): leave the plan as is
-        return df
-    if parts < max(2, int(cores * min_share)):
-        return df.repartition(cores, key) if key else df.repartition(cores)
-    return df
-
-
 def global_index(df: DataFrame, order: list[str], bucket: Column) -> DataFrame:
     """0-based position of every row in the total order ``order`` (which
     must be unique), without a single-partition window.

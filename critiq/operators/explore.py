@@ -14,11 +14,10 @@ def equal_width_bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     return F.when(hi == lo, F.lit(1)).otherwise(F.least(raw, F.lit(bins))).cast("int")
 
 
-def drift_histogram(ranked: DataFrame, top: int = 100, bins: int = 20) -> DataFrame:
-    """FIG-1: histogram of rank drift over the ``top`` best shops by Wilson,
-    with the 90th percentile of the absolute drift.  ``top`` is the report
-    size (a top-k feature), so the ordered limit is bounded."""
-    best = shared(ranked.orderBy("wilson_rank", "shop_id").limit(top))
+def drift_histogram(ranked: DataFrame, top: int | None = None, bins: int = 20) -> DataFrame:
+    """FIG-1: histogram of rank drift, with the 90th percentile of the
+    absolute drift, over all shops or the ``top`` best by Wilson."""
+    best = shared(ranked.orderBy("wilson_rank", "shop_id").limit(top) if top else ranked)
     mm = best.agg(F.min("rank_drift").alias("_lo"), F.max("rank_drift").alias("_hi"),
                   F.percentile(F.abs(F.col("rank_drift")), 0.9).alias("p90_abs_drift"))
     b = with_scalars(best, mm)
@@ -40,10 +39,11 @@ def value_distribution(df: DataFrame, col: str, share: bool = True) -> DataFrame
 
 
 # ----------------------------------------------------------------- NBK-3
-def length_box(df: DataFrame, by: str = "sentiment", col: str = "content_len", cap: float = 3000.0) -> DataFrame:
-    """Box statistics per group on lengths clipped to [0, cap]: quartiles
+def length_box(df: DataFrame, by: str = "sentiment", col: str = "content_len", cap: float | None = None) -> DataFrame:
+    """Box statistics per group on lengths (clipped to [0, cap] if given): quartiles
     and 1.5-IQR whiskers (the most extreme values inside the fences)."""
-    d = df.where(F.col(by).isNotNull()).select(by, F.least(F.greatest(F.col(col).cast("double"), F.lit(0.0)), F.lit(cap)).alias("_x"))
+    x = F.greatest(F.col(col).cast("double"), F.lit(0.0))
+    d = df.where(F.col(by).isNotNull()).select(by, (x if cap is None else F.least(x, F.lit(cap))).alias("_x"))
     q = d.groupBy(by).agg(F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
     q = q.select(by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     # one row per group; AQE broadcasts it when the group count is small and
@@ -85,10 +85,10 @@ def coverage(df: DataFrame, approx: bool = False) -> DataFrame:
 QUADRANTS = ["star market", "high traffic, improve", "niche quality", "weak"]  # fixed labels (ours)
 
 
-def city_quadrants(cities: DataFrame, top: int = 30) -> DataFrame:
-    """Split the ``top`` cities by review count into four quadrants at the
-    medians of review count and mean score over those cities."""
-    best = shared(cities.orderBy(F.col("review_count").desc(), F.col("city")).limit(top))
+def city_quadrants(cities: DataFrame, top: int | None = None) -> DataFrame:
+    """Split the cities (or the ``top`` ones by review count) into four quadrants
+    at the medians of review count and mean score over those cities."""
+    best = shared(cities.orderBy(F.col("review_count").desc(), F.col("city")).limit(top) if top else cities)
     med = best.agg(F.percentile(F.col("review_count").cast("double"), 0.5).alias("_mc"),
                    F.percentile("avg_score", 0.5).alias("_ms"))
     b = with_scalars(best, med)
@@ -99,10 +99,12 @@ def city_quadrants(cities: DataFrame, top: int = 30) -> DataFrame:
 
 
 # ----------------------------------------------------------------- NBK-6/7
-def score_vs_negrate(ranking: DataFrame, min_reviews: int = 15, top: int = 300) -> DataFrame:
-    """Shops with at least ``min_reviews`` reviews, the first ``top`` by
-    Bayes rank; mean of their average score and negative rate."""
-    sub = ranking.where(F.col("review_count") >= min_reviews).orderBy("bayes_rank", "shop_id").limit(top)
+def score_vs_negrate(ranking: DataFrame, min_reviews: int = 15, top: int | None = None) -> DataFrame:
+    """Shops with at least ``min_reviews`` reviews (or the first ``top`` of
+    them by Bayes rank); mean of their average score and negative rate."""
+    sub = ranking.where(F.col("review_count") >= min_reviews)
+    if top:
+        sub = sub.orderBy("bayes_rank", "shop_id").limit(top)
     return sub.agg(F.count(F.lit(1)).cast("long").alias("shops"),
                    rnd(F.avg("avg_score"), 4).alias("mean_avg_score"),
                    rnd(F.avg("neg_rate"), 4).alias("mean_neg_rate"))

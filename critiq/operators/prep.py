@@ -155,17 +155,19 @@ def handle_missing(df: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ PRE-10
-def filter_outliers(df: DataFrame, min_len: int = 5, max_len: int = 2000) -> DataFrame:
+def filter_outliers(df: DataFrame, min_len: int = 5, max_len: int | None = None) -> DataFrame:
+    """Drop short texts and scores outside [1, 5]; ``max_len`` cuts longer texts."""
     if has(df, "review_content"):
         df = df.where(F.length("review_content") >= min_len)
-        df = df.withColumn("review_content", F.substring("review_content", 1, max_len))
+        if max_len is not None:
+            df = df.withColumn("review_content", F.substring("review_content", 1, max_len))
     if has(df, "review_score"):
         df = df.where(F.col("review_score").between(1.0, 5.0))
     return df
 
 
 # ------------------------------------------------------------------ PRE-0
-def preprocess(df: DataFrame, min_content_len: int = 5, max_content_len: int = 2000,
+def preprocess(df: DataFrame, min_content_len: int = 5, max_content_len: int | None = None,
                derive_label: bool = True) -> DataFrame:
     """cast -> parse -> clean -> derive -> fill -> filter (order matters:
     the length is taken before the cut, the fill before the filter)."""

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from critiq.functions.num import rnd, shared, to_double, with_scalars
+from critiq.functions.num import exact_quantiles, rnd, shared, to_double, with_scalars
 from critiq.operators.common import is_neg
 
 
@@ -183,18 +183,18 @@ def rfm_table(df: DataFrame) -> DataFrame:
     return g.select("user_id", F.expr("timestampdiff(DAY, _last, _ref)").cast("long").alias("R"), "F", "M")
 
 
-def rfm_segmentation(df: DataFrame, exact: bool = True, accuracy: int = 100000) -> DataFrame:
+def rfm_segmentation(df: DataFrame) -> DataFrame:
     """Quartile RFM scores and rule segments.
 
-    Quartile edges are one global aggregate (three 5-point percentiles)
-    broadcast back.  ``exact=False`` switches to ``percentile_approx`` for
-    user tables whose mean scores have very many distinct values.
+    Quartile edges are exact.  R and F are whole numbers (days; counts, of
+    which n reviews have fewer than sqrt(2n) different ones), so one aggregate
+    holds their values; the mean scores M go through ``exact_quantiles``.
     """
     t = rfm_table(df)
-    probs = F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)])
-    pct = (lambda c: F.percentile(F.col(c).cast("double"), probs)) if exact else \
-        (lambda c: F.percentile_approx(F.col(c).cast("double"), probs, accuracy).cast("array<double>"))
-    edges = t.agg(pct("R").alias("_eR"), pct("F").alias("_eF"), pct("M").alias("_eM"))
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    at = F.array(*[F.lit(p) for p in probs])
+    edges = t.agg(*[F.percentile(F.col(c).cast("double"), at).alias(f"_e{c}") for c in ("R", "F")])
+    edges = with_scalars(edges, exact_quantiles(t, "M", probs, "_eM"))
     s = with_scalars(t, edges)
     s = s.select("user_id", "R", "F", "M",
                  _quartile_score(F.col("R").cast("double"), F.col("_eR"), True).alias("R_score"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from critiq.functions.num import rnd, with_scalars
 from critiq.functions.text import word_pattern
-from critiq.operators.common import first_by_time, has, review_order, spread, top_k_per_group
+from critiq.operators.common import first_by_time, has, review_order, top_k_per_group
 
 # English stop words of the tokenizer.
 EN_STOP_WORDS = sorted({
@@ -111,7 +111,7 @@ def token_rows(df: DataFrame, keys: list[str], lang: str = "en", stop_words=None
     ``NOT IN`` filter."""
     n = 3 if lang == "en" else 2
     raw = _en_runs(F.col("review_content"), n) if lang == "en" else _zh_runs(F.col("review_content"), n)
-    out = spread(df.select(*keys, "review_content")).select(*keys, F.explode(raw).alias("word"))
+    out = df.select(*keys, F.explode(raw).alias("word"))
     return out.where(~F.col("word").isin(*_stops(lang, stop_words)))
 
 
@@ -137,7 +137,7 @@ def dimension_coverage(df: DataFrame, lexicon: dict | None = None, lang: str = "
     dimensions (one conditional sum per dimension), unpivoted by stack."""
     dims = _dims(lang, lexicon)
     label = F.col("sentiment_label") if has(df, "sentiment_label") else F.lit(None)
-    src = spread(df.select("review_content", label.alias("_lab")))
+    src = df.select("review_content", label.alias("_lab"))
     hits = src.select(*[dimension_hit(F.col("review_content"), kws, lang).cast("int").alias(f"_h{i}")
                         for i, kws in enumerate(dims.values())], _neg(F.col("_lab")).alias("_neg"))
     aggs = [F.count(F.lit(1)).alias("_n")]
@@ -158,7 +158,7 @@ def aspect_matrix(df: DataFrame, lexicon: dict | None = None, lang: str = "en")
     the denominator)."""
     dims = _dims(lang, lexicon)
     lab = F.col("sentiment_label").try_cast("double") if has(df, "sentiment_label") else F.lit(None).cast("double")
-    src = spread(df.select("review_content", lab.alias("_lab")))
+    src = df.select("review_content", lab.alias("_lab"))
     lab = F.col("_lab")
     hits = src.select(*[dimension_hit(F.col("review_content"), kws, lang).cast("int").alias(f"_h{i}")
                         for i, kws in enumerate(dims.values())],
@@ -389,7 +389,7 @@ def tfidf_terms(df: DataFrame, id_col: str = "review_id", min_df: int = 1, digit
     # canonical plan (the doc join would otherwise add it to one branch only
     # and defeat exchange reuse)
     d = df.where(F.col("review_content").isNotNull() & F.col(id_col).isNotNull())
-    t = spread(d.select(id_col, "review_content")).select(F.col(id_col).alias("doc"),
+    t = d.select(F.col(id_col).alias("doc"),
                  F.explode(F.regexp_extract_all(F.lower(F.col("review_content")), F.lit(TFIDF_TOKEN), 0)).alias("term"))
     tf = t.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
     # the tf > 0 test keeps the tf column alive (Catalyst cannot fold it to a
@@ -440,7 +440,7 @@ def cooccurrence(df: DataFrame, vocab_size: int = 50, top_k: int = 30, lang: str
     its indicator rows with numpy, and only m x m partial counts are
     shuffled.  No pair rows are emitted per review.
     """
-    d = spread(df.where(F.col("review_content").isNotNull()).select("review_content"))
+    d = df.where(F.col("review_content").isNotNull()).select("review_content")
     toks = distinct_tokens(F.col("review_content"), lang, stop_words)
     freq = d.select(F.explode(toks).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("_dfreq"))
     top = freq.orderBy(F.col("_dfreq").desc(), F.col("word")).limit(vocab_size)

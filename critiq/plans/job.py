@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from critiq.functions.num import release_shared
 from critiq.operators import alerts as al
 from critiq.operators import ml, prep, sequential as seq, tabular as tab, text as tx
 from critiq.session import checkpoint_dir
@@ -77,5 +78,5 @@ def run(spark: SparkSession, source: str, out_dir: str, modules=MODULES, lexicon
     write_text_lines(md.orderBy("line_no").select("line").coalesce(1), os.path.join(out_dir, "report_md"))
     # the manifest is built from driver-side counts, so the shared aggregates
     # of this run can be dropped now
-    spark.catalog.clearCache()
+    release_shared()
     return manifest

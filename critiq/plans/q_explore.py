@@ -28,7 +28,7 @@ def q_sentiment_distribution(spark, sf_dir):
 
 
 @register("length_box", with_views(""",
-d AS (SELECT sentiment, least(greatest(CAST(content_len AS DOUBLE), 0.0e0), 3000.0e0) AS x FROM rv_docs WHERE sentiment IS NOT NULL),
+d AS (SELECT sentiment, greatest(CAST(content_len AS DOUBLE), 0.0e0) AS x FROM rv_docs WHERE sentiment IS NOT NULL),
 q AS (SELECT sentiment, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3 FROM d GROUP BY 1)
 SELECT d.sentiment, q1, median, q3,
   min(CASE WHEN x >= q1 - 1.5e0 * (q3 - q1) THEN x END) AS whisker_lo,
@@ -65,7 +65,7 @@ def q_top_ranking(spark, sf_dir):
 @register("score_vs_negrate", bayes_sql("rv_orders", 5).replace(
     "SELECT *, CAST(dense_rank() OVER (ORDER BY bayes_score DESC) AS INTEGER) AS bayes_rank FROM b",
     f""", rk AS (SELECT *, CAST(dense_rank() OVER (ORDER BY bayes_score DESC) AS INTEGER) AS bayes_rank FROM b),
-sub AS (SELECT * FROM rk WHERE review_count >= 15 ORDER BY bayes_rank, shop_id LIMIT 300)
+sub AS (SELECT * FROM rk WHERE review_count >= 15)
 SELECT CAST(count(*) AS BIGINT) AS shops, {R('avg(avg_score)', 4)} AS mean_avg_score,
        {R('avg(neg_rate)', 4)} AS mean_neg_rate FROM sub""").replace("FROM g, mu)\n, rk", "FROM g, mu), rk"))
 def q_score_vs_negrate(spark, sf_dir):
@@ -116,7 +116,7 @@ def q_city_summary(spark, sf_dir):
 
 
 @register("city_quadrants", with_views(f""", {CITY},
-b AS (SELECT * FROM cs ORDER BY review_count DESC, city LIMIT 30),
+b AS (SELECT * FROM cs),
 m AS (SELECT quantile_cont(CAST(review_count AS DOUBLE), 0.5) AS mc, quantile_cont(avg_score, 0.5) AS ms FROM b)
 SELECT city, review_count, avg_score, shop_count, neg_rate,
   CASE WHEN review_count >= mc AND avg_score >= ms THEN 'star market' WHEN review_count >= mc THEN 'high traffic, improve'

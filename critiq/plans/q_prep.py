@@ -69,7 +69,7 @@ c6 AS (
   FROM c5, m)"""
 
 CLEAN_MESSY_SQL = with_views(MESSY_CTES + """
-SELECT * REPLACE (substr(review_content, 1, 2000) AS review_content) FROM c6
+SELECT * FROM c6
 WHERE length(review_content) >= 5 AND review_score BETWEEN 1.0e0 AND 5.0e0""", "rv_messy")
 
 
@@ -93,7 +93,7 @@ WHERE length(review_content) >= 5 AND review_score BETWEEN 1.0e0 AND 5.0e0""", "
 
 @register("clean_documents", CLEAN_DOCS_SQL)
 def q_clean_documents(spark, sf_dir):
-    return prep.preprocess(rv_docs(spark, sf_dir), derive_label=False)
+    return prep.preprocess(rv_docs(spark, sf_dir), max_content_len=2000, derive_label=False)   # PRE-10 with its cut
 
 
 @register("derived_features", with_views(MESSY_CTES + "\nSELECT * FROM c5", "rv_messy"))

@@ -41,7 +41,7 @@ def q_csv_roundtrip(spark, sf_dir):
     src = align_columns(rv_docs(spark, sf_dir))
     path = _scratch(spark, "csv")
     src.write.option("header", True).option("escape", '"').option("nullValue", "\\N").csv(path)
-    return from_csv(spark, path, schema=src.schema, null_value="\\N")
+    return from_csv(spark, path, schema=src.schema, multiline=True, null_value="\\N")
 
 
 @register("json_roundtrip", _align_sql())
@@ -80,5 +80,5 @@ def q_lenient_csv(spark, sf_dir):
     src = rv_raw(spark, sf_dir)
     path = _scratch(spark, "rawcsv")
     src.write.option("header", True).option("escape", '"').option("nullValue", "\\N").csv(path)
-    df = from_csv_lenient(spark, path, required=("text", "stars_y"), schema=src.schema, null_value="\\N")
+    df = from_csv_lenient(spark, path, required=("text", "stars_y"), schema=src.schema, null_value="\\N", multiline=True)
     return df

@@ -35,12 +35,12 @@ def _aspects_sql(text: str, sent: str) -> str:
 
 _STARS = "(CASE WHEN stars_y IS NULL OR isnan(stars_y) OR stars_y = 0 THEN 3.0e0 ELSE stars_y END)"
 _NAME = f"(CASE WHEN {_STARS} >= 4 THEN 'positive' WHEN {_STARS} = 3 THEN 'neutral' ELSE 'negative' END)"
-_RID = ("substr(md5(coalesce(business_id, '') || coalesce(user_id, '') || coalesce(date, '')), 1, 16)")
+_RID = ("md5(coalesce(business_id, '') || '|' || coalesce(user_id, '') || '|' || coalesce(date, ''))")
 
 RAW_TO_REVIEWS_SQL = with_views(f"""
 SELECT {_RID} AS review_id, business_id AS shop_id, name AS shop_name, 'web' AS platform,
   {_category_sql('categories')} AS category, city, state AS district, user_id,
-  substr(user_id, 1, 8) AS username, 3 AS user_level, false AS vip_status, text AS review_content,
+  user_id AS username, 3 AS user_level, false AS vip_status, text AS review_content,
   {_STARS} AS review_score, 'stars:' || CAST({_STARS} AS VARCHAR) AS score_text,
   strftime(TRY_CAST(date AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS review_time,
   coalesce(useful, 0) AS like_count, coalesce(funny, 0) AS reply_count, 'dine-in' AS order_type,
@@ -67,7 +67,7 @@ g AS (SELECT shop_id, r.name AS shop_name, r.categories AS categories, r.city AS
 SELECT shop_id, shop_name, 'web' AS platform, {_category_sql('categories')} AS category, city, district,
   address, 0 AS average_price, CASE WHEN stars_x IS NULL OR isnan(stars_x) THEN 0.0e0 ELSE stars_x END AS score,
   0.0e0 AS taste_score, 0.0e0 AS environment_score, 0.0e0 AS service_score,
-  coalesce(review_count, 0) AS review_count, substr(categories, 1, 100) AS tags
+  coalesce(review_count, 0) AS review_count, categories AS tags
 FROM g""", "rv_raw")
 
 
@@ -112,12 +112,12 @@ def _nulls_sql() -> str:
     return with_views(f""", p AS ({parts})
 SELECT CAST(position AS INTEGER) AS position, "column", CAST(nc AS BIGINT) AS null_count,
        {R('CAST(nc AS DOUBLE) / n * 100.0e0', 1)} AS null_pct
-FROM p WHERE nc > 0 ORDER BY position LIMIT 5""", "rv_docs")
+FROM p WHERE nc > 0""", "rv_docs")
 
 
 @register("profile_nulls", _nulls_sql())
 def q_profile_nulls(spark, sf_dir):
-    return profile.null_counts(rv_docs(spark, sf_dir), top=5)
+    return profile.null_counts(rv_docs(spark, sf_dir))
 
 
 PROFILE_SCORES_SQL = with_views(f"""

@@ -77,12 +77,12 @@ def q_wilson_ranking_events(spark, sf_dir):
     return tab.wilson_ranking(rv_events(spark, sf_dir), min_reviews=5)
 
 
-# FIG-1: rank drift of the 100 best shops by Wilson (min 10 reviews), 20 bins.
+# FIG-1: rank drift of all ranked shops (min 10 reviews), 20 bins.
 def _drift_hist_sql() -> str:
     w = wilson_sql("rv_orders", 10)
     head, tail = w.rsplit("SELECT shop_id, shop_name, review_count", 1)
     body = head.rstrip() + ",\nwr AS (SELECT shop_id, shop_name, review_count" + tail + """),
-top AS (SELECT * FROM wr ORDER BY wilson_rank, shop_id LIMIT 100),
+top AS (SELECT * FROM wr),
 mm AS (SELECT min(rank_drift) AS lo, max(rank_drift) AS hi,
               quantile_cont(abs(rank_drift), 0.9) AS p90 FROM top)
 SELECT CAST(CASE WHEN hi = lo THEN 1 ELSE least(floor((rank_drift - lo) * 20.0e0 / (hi - lo)) + 1, 20) END AS INTEGER) AS bin,
@@ -94,7 +94,7 @@ FROM top, mm GROUP BY 1"""
 @register("rank_drift_hist", _drift_hist_sql())
 def q_rank_drift_hist(spark, sf_dir):
     from critiq.operators.explore import drift_histogram
-    return drift_histogram(tab.wilson_ranking(rv_orders(spark, sf_dir), min_reviews=10), top=100, bins=20)
+    return drift_histogram(tab.wilson_ranking(rv_orders(spark, sf_dir), min_reviews=10), bins=20)
 
 
 EDA_SQL = """

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -43,21 +42,19 @@ def get_session(master: str | None = None, app: str = "critiq",
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, fallback_root: str | None = None) -> str:
+def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names a shared folder there; we only invent one when the
-    setting is absent (local runs and tests), under ``fallback_root`` or a
-    fresh temporary folder.  ``spark.checkpoint.dir`` itself cannot be
-    changed at run time, so the fallback is registered on the SparkContext.
+    On a cluster the setting (or the context's checkpoint folder) is needed:
+    a folder of one machine would lose rows.  A local session is one machine,
+    so there, as in tests, a temporary folder stands in.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    ctx = spark.sparkContext.getCheckpointDir()
-    if not d and ctx:
-        return ctx
+    ctx = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or ctx.getCheckpointDir()
     if not d:
-        root = fallback_root or os.environ.get("TMPDIR", "/tmp")
-        d = tempfile.mkdtemp(prefix="critiq-ckpt-", dir=root)
-    if not ctx:
-        spark.sparkContext.setCheckpointDir(d)
+        if not ctx.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="critiq-ckpt-")
+    if not ctx.getCheckpointDir():
+        ctx.setCheckpointDir(d)
     return d

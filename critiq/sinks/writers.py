@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from critiq.operators.tabular import EDA_METRICS as _EDA_ORDER  # noqa: E402
@@ -49,18 +49,18 @@ def write_text_lines(lines: DataFrame, path: str) -> str:
 
 
 def write_report(results: dict, out_dir: str, fmt: str = "parquet") -> DataFrame:
-    """Write every non-empty result table to ``out_dir/<name>`` and return a
-    manifest (name, rows, columns), itself written to ``out_dir/_manifest``."""
+    """Write every result table to ``out_dir/<name>`` and return a manifest
+    (name, rows, columns) of the non-empty ones, itself written to
+    ``out_dir/_manifest``.  Rows are counted while they are written."""
     spark = SparkSession.getActiveSession()
     rows = []
     for name, df in results.items():
         if df is None:
             continue
-        path = os.path.join(out_dir, name)
-        write_table(df, path, fmt)
-        n = df.sparkSession.read.format(fmt).option("header", fmt == "csv").load(path).count()
-        if n:
-            rows.append((name, int(n), len(df.columns)))
+        seen = Observation(name)
+        write_table(df.observe(seen, F.count(F.lit(1)).alias("n")), os.path.join(out_dir, name), fmt)
+        if seen.get["n"]:
+            rows.append((name, int(seen.get["n"]), len(df.columns)))
     manifest = spark.createDataFrame(rows, "name string, rows long, columns int")
     write_table(manifest.coalesce(1), os.path.join(out_dir, "_manifest"), "csv")
     return manifest
@@ -96,7 +96,8 @@ def markdown_lines(eda: DataFrame | None = None, ranking: DataFrame | None = Non
                                       (2, 2, "| " + " | ".join(cols) + " |"),
                                       (2, 3, "| " + " | ".join(["---"] * len(cols)) + " |")], "sec int, k int, line string")
         r = ranking.orderBy("bayes_rank", "shop_id").limit(top)
-        body = r.select(F.lit(2).alias("sec"), (F.col("bayes_rank") + 3).cast("int").alias("k"),
+        place = F.row_number().over(Window.orderBy("bayes_rank", "shop_id"))   # at most ``top`` rows
+        body = r.select(F.lit(2).alias("sec"), (place + 3).cast("int").alias("k"),
                         F.concat(F.lit("| "), F.concat_ws(" | ", *[F.col(c).cast("string") for c in cols]), F.lit(" |")).alias("line"))
         parts += [head, body, _section_end(spark, 2)]
     if alerts is not None:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from critiq.functions.num import to_double
+
 from critiq.sources.schema import SHOP_COLUMNS
 
 # Category names tested as substrings, in priority order.
@@ -66,19 +68,23 @@ def weak_aspects(text: Column, sentiment: Column) -> Column:
     return F.concat(F.lit("["), F.concat_ws(", ", *items), F.lit("]"))
 
 
-def raw_to_reviews(raw: DataFrame, platform: str = "web") -> DataFrame:
+def review_key() -> Column:
+    """md5 of shop, user and date with separators; nulls count as empty."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("business_id", "user_id", "date")]))
+
+
+def raw_to_reviews(raw: DataFrame, platform: str = "web", name_chars: int | None = None) -> DataFrame:
     """Provider rows (business_id, name, city, state, categories, text, date,
     user_id, stars_y, useful, funny, ...) -> standard review rows.
 
-    Null, NaN or zero stars become 3; an unparseable date becomes null.
+    Null, unparseable, NaN or zero stars become 3; an unparseable date becomes
+    null, an unparseable count 0.  ``name_chars`` shortens the user name.
     """
-    sy = F.col("stars_y").cast("double")
-    stars = F.when(sy.isNull() | F.isnan(sy) | (sy == 0), F.lit(DEFAULT_STARS)).otherwise(sy)
+    sy = to_double("stars_y")
+    stars = F.when(sy.isNull() | (sy == 0), F.lit(DEFAULT_STARS)).otherwise(sy)
     name, label = sentiment_of(stars)
     ts = F.col("date").cast("string").try_cast("timestamp_ntz")
-    rid = F.substring(F.md5(F.concat(F.coalesce(F.col("business_id").cast("string"), F.lit("")),
-                                     F.coalesce(F.col("user_id").cast("string"), F.lit("")),
-                                     F.coalesce(F.col("date").cast("string"), F.lit("")))), 1, 16)
+    rid = review_key()
     return raw.select(
         rid.alias("review_id"),
         F.col("business_id").cast("string").alias("shop_id"),
@@ -87,14 +93,15 @@ def raw_to_reviews(raw: DataFrame, platform: str = "web") -> DataFrame:
         category_of(F.col("categories")).alias("category"),
         F.col("city"), F.col("state").alias("district"),
         F.col("user_id").cast("string").alias("user_id"),
-        F.substring(F.col("user_id").cast("string"), 1, 8).alias("username"),
+        (F.col("user_id").cast("string") if name_chars is None
+         else F.substring(F.col("user_id").cast("string"), 1, name_chars)).alias("username"),
         F.lit(3).alias("user_level"), F.lit(False).alias("vip_status"),
         F.col("text").alias("review_content"),
         stars.alias("review_score"),
         F.concat(F.lit("stars:"), stars.cast("string")).alias("score_text"),
         F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("review_time"),
-        F.coalesce(F.col("useful").cast("int"), F.lit(0)).alias("like_count"),
-        F.coalesce(F.col("funny").cast("int"), F.lit(0)).alias("reply_count"),
+        F.coalesce(F.col("useful").try_cast("int"), F.lit(0)).alias("like_count"),
+        F.coalesce(F.col("funny").try_cast("int"), F.lit(0)).alias("reply_count"),
         F.lit("dine-in").alias("order_type"), F.lit("").alias("dishes"), F.lit("").alias("images"),
         label.alias("sentiment_label"), name.alias("sentiment"),
         weak_aspects(F.col("text"), name).alias("absa_aspects"),
@@ -102,25 +109,24 @@ def raw_to_reviews(raw: DataFrame, platform: str = "web") -> DataFrame:
     )
 
 
-def shop_dimension(raw: DataFrame, platform: str = "web") -> DataFrame:
+def shop_dimension(raw: DataFrame, platform: str = "web", tag_chars: int | None = None) -> DataFrame:
     """One row per business id: the attributes of its first review by
     (time, review id).  ``min_by`` on a struct is an algebraic aggregate, so
-    a shop with a huge share of the rows costs one partial row per task."""
+    a shop with a huge share of the rows costs one partial row per task.
+    ``tag_chars`` shortens the tags."""
     ts = F.coalesce(F.col("date").cast("string").try_cast("timestamp_ntz"), F.lit(FAR_FUTURE).cast("timestamp_ntz"))
-    rid = F.substring(F.md5(F.concat(F.coalesce(F.col("business_id").cast("string"), F.lit("")),
-                                     F.coalesce(F.col("user_id").cast("string"), F.lit("")),
-                                     F.coalesce(F.col("date").cast("string"), F.lit("")))), 1, 16)
+    rid = review_key()
     row = F.struct(F.col("name").alias("shop_name"), F.col("categories"), F.col("city"),
-                   F.col("state"), F.col("address"), F.col("stars_x").cast("double").alias("stars_x"),
-                   F.col("review_count").cast("int").alias("review_count"))
+                   F.col("state"), F.col("address"), to_double("stars_x").alias("stars_x"),
+                   F.col("review_count").try_cast("int").alias("review_count"))
     # (time, review id) can tie (e.g. unparseable dates of one user); the
     # picked fields themselves end the order, so a remaining tie is between
     # identical picks and the result is deterministic
     tail = []
     for c in ("name", "categories", "city", "state", "address"):
         tail += [F.col(c).isNull(), F.coalesce(F.col(c), F.lit(""))]
-    tail += [F.col("stars_x").isNull(), F.coalesce(F.col("stars_x").cast("double"), F.lit(-1.0)),
-             F.col("review_count").isNull(), F.coalesce(F.col("review_count").cast("int"), F.lit(-1))]
+    tail += [F.col("stars_x").isNull(), F.coalesce(to_double("stars_x"), F.lit(-1.0)),
+             F.col("review_count").isNull(), F.coalesce(F.col("review_count").try_cast("int"), F.lit(-1))]
     order = F.struct(ts, rid, *[t.alias(f"k{i}") for i, t in enumerate(tail)])
     g = (raw.where(F.col("business_id").isNotNull())
             .groupBy(F.col("business_id").cast("string").alias("shop_id"))
@@ -135,5 +141,5 @@ def shop_dimension(raw: DataFrame, platform: str = "web") -> DataFrame:
         F.lit(0.0).alias("taste_score"), F.lit(0.0).alias("environment_score"),
         F.lit(0.0).alias("service_score"),
         F.coalesce(F.col("r.review_count"), F.lit(0)).alias("review_count"),
-        F.substring(F.col("r.categories"), 1, 100).alias("tags"))
+        (F.col("r.categories") if tag_chars is None else F.substring(F.col("r.categories"), 1, tag_chars)).alias("tags"))
     return out.select(*[F.col(c).cast(t).alias(c) for c, t in SHOP_COLUMNS])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from critiq.functions.num import rnd, to_double, with_scalars
+from critiq.functions.num import exact_quantiles, rnd, to_double, with_scalars
 
 
 def value_shares(df: DataFrame, columns=("platform", "sentiment")) -> DataFrame:
@@ -28,9 +28,9 @@ def value_shares(df: DataFrame, columns=("platform", "sentiment")) -> DataFrame:
                       rnd(F.col("count") / F.col("_n") * F.lit(100.0), 1).alias("pct"))
 
 
-def null_counts(df: DataFrame, top: int | None = 5) -> DataFrame:
+def null_counts(df: DataFrame, top: int | None = None) -> DataFrame:
     """(position, column, null_count, null_pct) of columns that have nulls;
-    ``top`` keeps the first few by column position (the report shows five)."""
+    ``top`` keeps the first few by column position."""
     aggs = [F.count(F.lit(1)).alias("_n")]
     aggs += [F.sum(F.col(c).isNull().cast("long")).alias(f"_c{i}") for i, c in enumerate(df.columns)]
     one = df.agg(*aggs)
@@ -45,11 +45,10 @@ def null_counts(df: DataFrame, top: int | None = 5) -> DataFrame:
                        rnd(F.col("null_count") / F.col("_n") * F.lit(100.0), 1).alias("null_pct"))
 
 
-def score_stats(df: DataFrame, exact: bool = True) -> DataFrame:
+def score_stats(df: DataFrame) -> DataFrame:
     """rows, columns, mean / median / sample std of the numeric score."""
     s = to_double("review_score")
-    med = F.percentile(s, 0.5) if exact else F.percentile_approx(s, 0.5, 10000)
-    return df.agg(F.count(F.lit(1)).cast("long").alias("rows"),
-                  F.lit(len(df.columns)).cast("int").alias("columns"),
-                  rnd(F.avg(s), 2).alias("mean_score"), rnd(med, 1).alias("median_score"),
-                  rnd(F.stddev_samp(s), 2).alias("std_score"))
+    out = df.agg(F.count(F.lit(1)).cast("long").alias("rows"), F.lit(len(df.columns)).cast("int").alias("columns"),
+                 rnd(F.avg(s), 2).alias("mean_score"), rnd(F.stddev_samp(s), 2).alias("std_score"))
+    out = with_scalars(out, exact_quantiles(df.select(s.alias("_s")), "_s", [0.5], "_q"))
+    return out.select("rows", "columns", "mean_score", rnd(F.col("_q")[0], 1).alias("median_score"), "std_score")

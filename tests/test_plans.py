@@ -44,20 +44,22 @@ def test_single_partition_windows_only_on_small_tables(spark):
     assert win and all("bayes_score" in l for l in win)
 
 
-def test_spread_only_for_few_partitions(spark):
-    from critiq.operators.common import spread
-    cores = spark.sparkContext.defaultParallelism
-    many = spark.range(0, 1000, numPartitions=cores * 2)
-    assert spread(many) is many                       # already split: no shuffle added
-    one = spark.range(0, 1000, numPartitions=1)
-    out = spread(one, key="id")
-    assert out.rdd.getNumPartitions() == cores
-    assert "hashpartitioning(id" in out._jdf.queryExecution().executedPlan().toString()
+def test_building_text_queries_starts_no_job(spark):
+    from critiq.operators import text as tx
+    from critiq.sources.fixtures import rv_docs
+    docs = rv_docs(spark, SF)          # reading a schema may start a job
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+    before = set(jobs(None))
+    for build in (tx.dimension_coverage, tx.aspect_matrix, tx.word_frequency, tx.neg_signal_words, tx.shop_keywords,
+                  tx.tfidf_terms, tx.cooccurrence):
+        build(docs)
+    assert set(jobs(None)) == before
 
 
 def test_shared_keeps_adaptive_execution(spark):
-    from critiq.functions.num import CACHED_AQE_FLAG, shared
+    from critiq.functions.num import CACHED_AQE_FLAG, release_shared, shared
     g = shared(spark.range(100).selectExpr("id % 3 AS k").groupBy("k").count())
     assert spark.conf.get(CACHED_AQE_FLAG) == "true"
     assert g.is_cached
-    g.unpersist()
+    release_shared()
+    assert not g.is_cached

@@ -32,7 +32,8 @@ def test_derived_and_filter(spark):
             (None, " ", "{}", "tiny", "bad"),
             ("", None, "bad", "fine text here", None)]
     df = spark.createDataFrame(rows, "dishes string, images string, absa_aspects string, review_content string, review_time string")
-    out = prep.preprocess(df).collect()
+    assert max(len(r.review_content) for r in prep.preprocess(df).collect()) == 2500   # no cut unless asked for
+    out = prep.preprocess(df, max_content_len=2000).collect()
     assert len(out) == 2                     # 'tiny' (< 5 chars) dropped
     first = [r for r in out if r.content_len == 2500][0]
     assert first.dish_count == 2 and first.has_image and first.aspect_count == 2

@@ -23,18 +23,18 @@ def test_raw_to_reviews(spark):
                                 "business_id string, name string, city string, state string, categories string, text string, "
                                 "date string, user_id string, stars_y double, useful int, funny int")
     out = etl.raw_to_reviews(raw).collect()
-    assert out[0].review_score == 3.0 and out[0].sentiment == "neutral" and out[0].username == "user1234"
+    assert out[0].review_score == 3.0 and out[0].sentiment == "neutral" and out[0].username == "user12345"
     assert out[0].absa_aspects == '[{"aspect": "food", "sentiment": "neutral"}, {"aspect": "service", "sentiment": "neutral"}]'
     assert out[1].review_time is None and out[1].review_score == 3.0
     assert out[2].sentiment_label == -1 and out[2].category == "Restaurant" and out[2].absa_aspects == "[]"
-    assert len(out[0].review_id) == 16
+    assert len(out[0].review_id) == 32
 
 
 def test_csv_with_bom_and_multiline(spark, tmp_out):
     p = os.path.join(tmp_out, "r.csv")
     with open(p, "w", encoding="utf-8-sig") as f:
         f.write('review_id,review_content,review_score\n1,"line one\nline ""two""",4\n2,plain,5\n')
-    df = load(spark, p)
+    df = load(spark, p, multiline=True)
     assert df.columns[: len(STANDARD_NAMES)] == STANDARD_NAMES
     rows = {r.review_id: r for r in df.collect()}
     assert rows["1"].review_content == 'line one\nline "two"'
