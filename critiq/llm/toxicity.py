@@ -70,7 +70,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(logit, -50, 50))))
 
 
-def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 10.0, least_z: float = 4.0, seed: int = 7) -> Model:
+def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 10.0, least_z: float = 4.5, seed: int = 7) -> Model:
     """Train on texts with labels 0 and 1.
 
     Only subwords that texts of label 1 hold more often, by ``least_z`` standard errors and in 3 texts at
@@ -157,11 +157,26 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = SAMPLE) -> Model:
-    """Fit on a sample of at most ``per_label`` texts of each label, drawn by a hash of the id."""
-    rows = training_sample(docs, labels, id_col, text_col, label_col, per_label).toArrow()
-    order = np.lexsort((np.array(rows.column("text").to_pylist(), object).astype(str) if rows.num_rows else np.empty(0, str), rows.column("id").to_numpy()))
-    texts, y = rows.column("text").to_pylist(), rows.column("y").to_pylist()
-    return fit([texts[i] for i in order], [y[i] for i in order])
+    """Fit on a sample of at most ``per_label`` texts of each label, drawn by a hash of the id.
+
+    The sample, bounded by 2 * per_label * SAMPLE_CHARS characters, meets in one task; the driver gets
+    the values of the chosen subwords only.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = sorted((r["id"], r["text"], r["y"]) for batch in batches for r in batch.to_pylist())
+        model = fit([r[1] for r in sample], [r[2] for r in sample])
+        at = np.flatnonzero(model.value)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([-1, *at.tolist()], pa.int64()), "value": pa.array([model.bias, *model.value[at].tolist()], pa.float64())})
+
+    sample = training_sample(docs, labels, id_col, text_col, label_col, per_label).withColumn("id", F.col("id").cast("long"))
+    got = sample.repartition(1).mapInArrow(rows, "bucket long, value double").toArrow()
+    if not got.num_rows:  # an empty sample may start no task
+        return fit([], [])
+    bucket, value = got.column("bucket").to_numpy(), got.column("value").to_numpy()
+    out = Model(np.zeros(BUCKETS), float(value[bucket < 0][0]))
+    out.value[bucket[bucket >= 0]] = value[bucket >= 0]
+    return out
 
 
 def toxicity_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
