@@ -16,11 +16,13 @@ that a task that runs again replaces its file by an equal one.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -29,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from critiq.llm.byte_bpe import CACHED_CHARS, slices
 from critiq.llm.common import cut
 
 ENTRY = np.dtype([("id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("tokens", "<u8"), ("crc", "<u4")])
@@ -36,6 +39,7 @@ TAIL = struct.Struct("<QI8s")
 MARK = b"TOKSEEK1"
 SKIPPABLE = 0x184D2A5E
 END_ID = 0
+CACHE = 900_000  # slices whose ids a process remembers
 PORTION = 1 << 20  # characters encoded, or bytes of ids returned, at once
 
 
@@ -100,15 +104,51 @@ class Reader:
         return {i: [np.frombuffer(self.frame(k), "<u4") for k in range(a, b)] for i, a, b in zip(ids, first.tolist(), last.tolist()) if a < b}
 
 
-def _encoder(definition: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel
-    from tokenizers import Tokenizer
+class Encoder:
+    """Ids of whole texts, the end id included, by the tokenizers library.
 
-    tokenizer = Tokenizer.from_str(definition)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    tokenizer.no_padding()
-    tokenizer.no_truncation()
-    return lambda texts: [np.array([*e.ids, END_ID], "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    A byte-level BPE definition with the common pattern, without a normaliser and with special added tokens
+    only, encodes the pattern's slices apart from each other; there each distinct slice goes through
+    the library once, and a process remembers CACHE short ones at most. Other definitions encode text by text.
+    """
+
+    def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+        rules = json.loads(definition)
+        split = rules.get("pre_tokenizer") or {}
+        self.by_slice = not rules.get("normalizer") and all(t["special"] for t in rules.get("added_tokens", [])) and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex")) == ("ByteLevel", False, True)
+        self.known: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        end = END_ID.to_bytes(4, "little")
+        if not self.by_slice:
+            return [ids + end for ids in self._ids(texts)]
+        parts = list(slices(texts))
+        if len(self.known) > CACHE:
+            self.known.clear()
+        new = list(set().union(*parts).difference(self.known))
+        for at in range(0, len(new), 4096):
+            self.known.update(zip(new[at : at + 4096], self._ids(new[at : at + 4096])))
+        out = [b"".join([*map(self.known.__getitem__, p), end]) for p in parts]
+        for p in new:
+            if len(p) > CACHED_CHARS:
+                del self.known[p]
+        return out
+
+
+@lru_cache(maxsize=1)
+def _encoder(definition: str) -> Encoder:
+    """One for each process, so that a reused worker keeps what it knows from task to task."""
+    return Encoder(definition)
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> DataFrame:
