@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 from critiq.llm.common import cut, table
 from critiq.llm.queries import _ranks
 
+BROADCAST_IDS = 1_000_000  # 16 bytes each
 TOXIC = 0.7  # documents that score as much go
 KEY = "critiq"  # of the surrogates; a deployment passes its own secret
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but for those ids. As few ids as BROADCAST_IDS are broadcast; more are joined by a shuffle."""
+    ids = cut(ids.distinct())
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(few, "doc_id", "left_anti").select(docs.columns)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of TOXIC or more go; the model learns from the labels of all documents."""
     from critiq.llm.toxicity import toxicity_scores, train
@@ -24,16 +32,14 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Of each group of near-duplicates (5-word shingles, similarity 0.8) the document of least doc_id stays."""
     from critiq.llm.minhash_dedup import minhash_groups
 
-    drop = minhash_groups(docs, width=5, similarity_pct=80).filter(~F.col("kept")).select("doc_id")
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, minhash_groups(docs, width=5, similarity_pct=80).filter(~F.col("kept")).select("doc_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     from critiq.llm.decontaminate import overlaps
 
-    found = overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
