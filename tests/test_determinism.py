@@ -18,7 +18,7 @@ def _rows(df):
 
 
 def test_partition_count_does_not_change_results(spark):
-    qs, orc = ent.queries(), ent.oracle_sql()
+    qs, orc = ent.queries(), [n for n in ent.oracle_sql() if not n.startswith("op")]   # op queries: tests of their own
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         res = {}

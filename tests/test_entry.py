@@ -18,7 +18,7 @@ def test_every_fast_query_runs_on_smoke_data(spark):
     skip = {"topics", "topic_sentiment", "sentiment_model", "shop_clusters", "shop_cluster_summary",
             "rfm_clusters", "rfm_cluster_summary"}
     for name, fn in ent.queries().items():
-        if name in skip:
+        if name in skip or name.startswith("op") or name == "pipeline":   # those have tests of their own
             continue
         df = fn(spark, SF)
         df.limit(1).collect()
