@@ -33,6 +33,8 @@ from critiq.llm.shingles import U64, mix, set_key, shingle_sets, signature
 COORDINATES = 64
 CELLS = 1 << 16  # counters of list lengths: a fixed-size statistic, the only thing broadcast
 BLOCK = 400_000  # shingles of a block, in the mean
+ROWS = 2_000  # rows of a block, in the mean: short texts fill a block by their number
+CELL_STRIP = 4_000_000  # counts of a block's product held at a time
 NIBBLES = 0x1111111111111111
 
 
@@ -152,10 +154,10 @@ def links(docs: DataFrame, reps: DataFrame, width: int, pct: int, id_col: str, t
     )
     across = cut(across)
 
-    # what a family holds decides whether its hub comes first or one block takes it all
+    # what a family holds, shingles and rows, decides whether its hub comes first or one block takes it all
     member = family.join(sketches.select("id", "n", "pop"), "id")
-    stats = member.groupBy("component").agg(F.sum("n").alias("total"), F.max(F.struct("pop", (-F.col("id")).alias("i"))).alias("h"))
-    large = cut(stats.filter(F.col("total") > BLOCK).select("component", (-F.col("h.i")).alias("hub")))
+    stats = member.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("rows"), F.max(F.struct("pop", (-F.col("id")).alias("i"))).alias("h"))
+    large = cut(stats.filter((F.col("total") > BLOCK) | (F.col("rows") > ROWS)).select("component", (-F.col("h.i")).alias("hub")))
 
     # full sets of all that met, from their texts
     need = family.unionByName(across.select(F.col("a").alias("id"), F.lit(None).cast("long").alias("component"))).unionByName(across.select(F.col("b").alias("id"), F.lit(None).cast("long").alias("component")))
@@ -191,7 +193,8 @@ def _settle(full: DataFrame, member: DataFrame, large: DataFrame, across: DataFr
     # in a large family what links to the hub is settled; the rest is compared in blocks with all
     linked = star.select(F.col("a").alias("id")).unionByName(large.select(F.col("hub").alias("id"))).withColumn("settled", F.lit(True))
     pools = member.join(large, "component").join(linked, "id", "left").select("id", "component", "n", F.coalesce("settled", F.lit(False)).alias("settled"))
-    sizes = pools.groupBy("component").agg(*(F.ceil(F.sum(F.when(F.col("settled") == s, F.col("n"))) / BLOCK).alias(k) for s, k in ((False, "rest"), (True, "done")))).filter("rest > 0").fillna(0, ["done"])
+    blocks = lambda own: F.ceil(F.greatest(F.sum(F.when(own, F.col("n"))) / BLOCK, F.count(F.when(own, 1)) / ROWS))
+    sizes = pools.groupBy("component").agg(blocks(~F.col("settled")).alias("rest"), blocks(F.col("settled")).alias("done")).filter("rest > 0").fillna(0, ["done"])
     dealt = pools.join(sizes, "component").withColumn("block", F.when(F.col("settled"), F.col("rest") + F.expr("pmod(xxhash64(id), done)")).otherwise(F.expr("pmod(xxhash64(id), rest)")))
     partners = F.when(F.col("settled"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") + F.col("done") - 1))
     cells = dealt.select("id", "component", "block", F.explode(partners).alias("other"))
@@ -225,34 +228,35 @@ def joined(ids: np.ndarray, x: list[np.ndarray], a: np.ndarray, b: np.ndarray, p
     twice = np.bincount(column) > 1  # a shingle of one member alone adds to no intersection
     keep = twice[column]
     column, owner = (np.cumsum(twice) - 1)[column[keep]], owner[keep]
-    both = np.zeros((len(a), len(b)), np.float32)
-    place_a, place_b = np.full(len(x), -1), np.full(len(x), -1)
-    place_a[a], place_b[b] = np.arange(len(a)), np.arange(len(b))
+    place_b = np.full(len(x), -1)
+    place_b[b] = np.arange(len(b))
     width = max(256, 8_000_000 // len(x))
     bounds = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 1 + width, width))
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        if hi == lo:
-            continue
-        c, o = column[lo:hi] - column[lo] // width * width, owner[lo:hi]
-        ma, mb = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
-        ma[place_a[o][place_a[o] >= 0], c[place_a[o] >= 0]] = 1
-        mb[place_b[o][place_b[o] >= 0], c[place_b[o] >= 0]] = 1
-        both += ma @ mb.T
-    union = sizes[a][:, None] + sizes[b][None] - both
-    root = list(range(len(x)))
-
-    def find(v: int) -> int:
-        while root[v] != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
+    part = np.arange(len(x))  # of each row; the product is scanned in strips of rows a, row by row
     out = []
-    for i, j in zip(*np.nonzero(100 * both >= pct * union)):
-        p, q = find(int(a[i])), find(int(b[j]))
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append((int(ids[a[i]]), int(ids[b[j]])))
+    step = max(1, CELL_STRIP // len(b))
+    for start in range(0, len(a), step):
+        strip = a[start : start + step]
+        place_a = np.full(len(x), -1)
+        place_a[strip] = np.arange(len(strip))
+        both = np.zeros((len(strip), len(b)), np.float32)
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            o = owner[lo:hi]
+            in_a, in_b = place_a[o] >= 0, place_b[o] >= 0
+            if not in_a.any() or not in_b.any():
+                continue
+            c = column[lo:hi] - column[lo] // width * width
+            ma, mb = np.zeros((len(strip), width), np.float32), np.zeros((len(b), width), np.float32)
+            ma[place_a[o][in_a], c[in_a]] = 1
+            mb[place_b[o][in_b], c[in_b]] = 1
+            both += ma @ mb.T
+        for i, counts in zip(strip, both):
+            near = b[(100 + pct) * counts.astype(np.float64) >= pct * (sizes[i] + sizes[b])]
+            near = near[part[near] != part[i]]
+            if len(near):
+                met, first = np.unique(part[near], return_index=True)
+                out += [(int(ids[i]), int(ids[j])) for j in near[first]]
+                part[np.isin(part, met)] = part[i]
     return out
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +97,25 @@ def test_block_links_join_what_is_similar():
     assert {frozenset(p) for p in links} == {frozenset((0, 1)), frozenset((0, 2))}
 
 
+def test_families_are_dealt_by_rows_too(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "ROWS", 4)
+    rows = corpus(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == brute(rows, 2, 80)
+
+
+def test_many_short_rows_need_no_square():
+    """6,000 rows: the square alone would be 144 MB; a hundred parts of 60 rows that share 18 of 20 shingles."""
+    rng = np.random.default_rng(2)
+    x = [np.sort(np.concatenate((np.arange(18) + 100 * (k % 100), 10**6 + rng.choice(10**9, 2, replace=False)))) for k in range(6000)]
+    everything = np.arange(len(x))
+    tracemalloc.start()
+    links = minhash_dedup.joined(everything, x, everything, everything, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(links) == 5900 and all(a % 100 == b % 100 for a, b in links) and peak < 140e6
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
