@@ -7,7 +7,11 @@ or six leaves a hit. Hashes of benchmark items and of documents are joined; each
 the document, and tokens are compared around it: an item is found if some window of ``WINDOW``
 tokens of it (all of a shorter item) that holds the hit agrees in at least ``least_share`` of its tokens.
 
-Documents are read once. Tokens are exploded, hashed and looked up inside one generated loop; only
+An item too short for a seed is looked for as a whole: the hash of all its tokens is joined with the hashes
+of as many consecutive tokens of the documents, and the tokens are compared. Characters of scripts that put no
+spaces between words are tokens of their own.
+
+Documents are read once, and once more if the benchmark has such short items. Tokens are exploded, hashed and looked up inside one generated loop; only
 verified hits, reduced to one row per document and item in each task, are shuffled.
 """
 
@@ -22,9 +26,15 @@ WINDOW = 20
 BROADCAST_SEEDS = 2_000_000  # benchmark seeds (about 100 bytes each) up to which they are broadcast
 
 
+# scripts without spaces between words; Bopomofo and Hangul are left as they are, their words are spaced
+UNSPACED = "".join(rf"\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits (an empty token stands where the text begins or ends otherwise)."""
-    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    """Lower-cased runs of letters and digits, and each letter of scripts without spaces (an empty token stands where the text begins or ends otherwise)."""
+    low = F.lower(text)
+    apart = F.regexp_replace(low, rf"(?<=[{UNSPACED}&&[\p{{L}}\p{{N}}]])(?=[\p{{L}}\p{{N}}])|(?<=[\p{{L}}\p{{N}}])(?=[{UNSPACED}&&[\p{{L}}\p{{N}}]])", " ")
+    return F.split(F.when(low.rlike(f"[{UNSPACED}]"), apart).otherwise(low), r"[^\p{L}\p{N}]+")
 
 
 def seeds(words: str, pos: str) -> Column:
@@ -39,6 +49,22 @@ def seeded(rows: DataFrame) -> DataFrame:
     return at.select("id", "words", "pos", F.explode(seeds("words", "pos")).alias("seed"))
 
 
+def whole_copies(texts: DataFrame, items: DataFrame) -> DataFrame | None:
+    """(id, item, share = 1) of the items of 1 to SPAN - 1 tokens that texts repeat word for word; None without such items."""
+    short = items.select(F.col("id").alias("item"), F.array_remove("words", "").alias("item_words")).filter(F.size("item_words").between(1, SPAN - 1))
+    got = short.groupBy(F.size("item_words").alias("n")).agg(F.count("*").alias("c")).collect()  # at most SPAN - 1 rows
+    if not got:
+        return None
+    short = short.select("item", "item_words", F.xxhash64("item_words").alias("hash"))
+    if sum(r.c for r in got) <= BROADCAST_SEEDS:
+        short = F.broadcast(short)
+    runs = [F.when(F.col("pos") <= F.size("words") - r.n, F.slice("words", F.col("pos") + 1, r.n)) for r in got]
+    at = texts.select("id", "words", F.posexplode("words").alias("pos", "w"))
+    at = at.select("id", F.explode(F.array(*runs)).alias("run")).filter("run is not null")
+    same = at.withColumn("hash", F.xxhash64("run")).join(short, "hash").filter("run = item_words")
+    return same.select("id", "item", F.lit(1.0).alias("share"))
+
+
 def laid_over(hits: DataFrame) -> DataFrame:
     """(id, item, w, n, d, i): tokens of document and item, side by side, in the item's windows that hold the hit.
 
@@ -68,16 +94,21 @@ def best_share(laid: DataFrame) -> DataFrame:
 def overlaps(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id_col, item_col, share): the items found in each document, with the best window's share of equal tokens.
 
-    Items and texts of fewer than 9 tokens, null and empty ones included, hit nothing. Null ids are left out.
+    Items of fewer than 9 tokens are found where a text repeats all their tokens in a row. Items and texts without a
+    token, null and empty ones included, hit nothing. Null ids are left out.
     """
     items = benchmark.select(F.col(item_col).alias("id"), tokens(F.col(item_text_col).cast("string")).alias("words")).filter("id is not null")
+    listed = items
     items = seeded(items).select("seed", F.col("id").alias("item"), F.col("pos").alias("at"), F.col("words").alias("item_words"))
     n = items.count()
     if n <= BROADCAST_SEEDS:
         items = F.broadcast(items)  # beyond that Spark joins by shuffle
     texts = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col).cast("string")).alias("words")).filter("id is not null")
     hits = seeded(texts).join(items, "seed")
-    found = best_share(laid_over(hits)).groupBy("id", "item").agg(F.max("share").alias("share")).filter(F.col("share") >= least_share)
+    shares = best_share(laid_over(hits))
+    if (copies := whole_copies(texts, listed)) is not None:
+        shares = shares.unionByName(copies)
+    found = shares.groupBy("id", "item").agg(F.max("share").alias("share")).filter(F.col("share") >= least_share)
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "share")
 
 

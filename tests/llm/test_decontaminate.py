@@ -40,6 +40,19 @@ def test_edges(spark):
     assert contamination(docs.limit(0), bench).count() == 0
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "Who wrote Hamlet?"), (2, "one two three four five six seven eight."), (3, "中国的首都是哪里？"), (4, "東京タワーの高さは何メートルですか"), (5, "กรุงเทพ"), (6, " ... "), (7, "yes")]
+    docs = [
+        (1, "He asked: who WROTE hamlet, and left"), (2, "who wrote the Hamlet"), (3, "zero one two three four five six seven eight nine"), (4, "one two three four five six seven nine"),
+        (5, "问题：中国的首都是哪里？答案"), (6, "昨日友人が東京タワーの高さは何メートルですかと聞いた"), (7, "ไปกรุงเทพวันนี้"), (8, "中国的首都"), (9, "yesterday ... "), (10, "who wrote hamlet"), (11, "Yes"),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.share) for r in overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect())
+    assert got == [(1, 1, 1.0), (3, 2, 1.0), (5, 3, 1.0), (6, 4, 1.0), (7, 5, 1.0), (10, 1, 1.0), (11, 7, 1.0)]
+    plan = overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_masks_and_plan(spark):
     assert all(len(m) == SPAN and m[0] == m[-1] == "1" for m in MASKS)
     for every in (4, 5, 6):  # one substitution in so many leaves a mask without any
