@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 250_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 20_000_000  # of rows with fixed-size columns (100 bytes at most), and of their text
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,39 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores appended until no column of df is called so (Spark ignores case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def few(df: DataFrame, text: str) -> DataFrame:
+    """df, marked for a broadcast if it has BROADCAST_ROWS rows at most and BROADCAST_BYTES in ``text``, its only column
+    without a fixed size."""
+    rows, size = df.agg(F.count("*"), F.sum(F.octet_length(F.col(text).cast("string")))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
+
+
+def ranked(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """df, and two columns: ``_rank``, the position (from 0) of a row among its group's by ``order``, and ``_rows``, the group's size.
+
+    No group meets in one task: the rows are range-partitioned by group and order and written sorted to the shared
+    folder; a group's rank continues from one partition to the next by the counts of (partition, group), one small
+    row each. Rows that ``order`` cannot tell apart must be alike: which of them comes first is open. Null groups are a
+    group. ``order`` may rank nulls as it likes.
+    """
+    keys = [F.col(group).asc_nulls_first(), *order]
+    rows = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys)).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    runs = rows.groupBy("_part", F.col(group).alias("_group")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    whole = Window.partitionBy("_group")
+    before = F.sum("_n").over(whole.orderBy("_part")) - F.col("_n")
+    runs = cut(runs.select(F.col("_part").alias("_run_part"), "_group", (before - F.col("_first")).alias("_shift"), F.sum("_n").over(whole).alias("_rows")))
+    here = (F.col("_part") == F.col("_run_part")) & F.col(group).eqNullSafe(F.col("_group"))
+    return rows.join(few(runs, "_group"), here).select(*df.columns, (F.col("_at") + F.col("_shift")).alias("_rank"), "_rows")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every vertex of ``edges`` (columns a, b): component is the least id reachable.
 

@@ -164,3 +164,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return url_verdicts(table(spark, sf_dir, "pages"), rules)
+
+
+@query("""
+WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS t, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+w AS (SELECT source, source_size, 2.0::DOUBLE * source_size::DOUBLE AS cap, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / w, source) AS k FROM w),
+l AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - (sum(cap) OVER (ORDER BY k) - cap)) / (sum(w) OVER () - (sum(w) OVER (ORDER BY k) - w)) AS level FROM o),
+g AS (SELECT source, source_size, least(cap, max(level) OVER () * w) AS target FROM l),
+r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS rate,
+  ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '-') || ':' || t), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS draw
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
+""")
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from critiq.llm.mixing import mix
+
+    mixed = mix(table(spark, sf_dir, "documents"), weights=[5, 2, 1], share=1.5, cap=2.0, out_col="mix")
+    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
