@@ -183,3 +183,40 @@ def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     mixed = mix(table(spark, sf_dir, "documents"), weights=[5, 2, 1], share=1.5, cap=2.0, out_col="mix")
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
+
+
+@query("""
+WITH RECURSIVE bits AS (SELECT range(256) AS v),
+crc_table AS (SELECT [list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) for b in v] AS t FROM bits),
+d AS (SELECT doc_id, source, text, concat(CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END,
+    CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END, CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END,
+    CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END) AS head,
+  xor(4294967295, list_reduce(list_concat([4294967295], [ascii(x) for x in string_split(doc_id::VARCHAR, '')]), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]))) AS crc
+  FROM documents, crc_table),
+h AS (SELECT doc_id, source, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+  CASE WHEN text IS NOT NULL AND crc % 2 = 0 THEN sha256(head || strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), '')) END AS other FROM d),
+n0 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM h),
+t(lv, source, i, n, node) AS (SELECT 0, source, i, n, leaf FROM n0 UNION ALL
+  SELECT lv + 1, source, i // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY lv, source, i // 3, n),
+s AS (SELECT source, node, lv AS top, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u(lv, i, n, node) AS (SELECT 0, i, n, node FROM s UNION ALL SELECT lv + 1, i // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lv, i // 3, n),
+f(doc_id, source, i0, lv, pos, n, folded, proof) AS (SELECT doc_id, source, i, 0, i, n, coalesce(other, leaf), '' FROM n0 UNION ALL
+  SELECT f.doc_id, f.source, f.i0, f.lv + 1, f.pos // 3, (f.n + 2) // 3, sha256(string_agg(CASE WHEN t.i = f.pos THEN f.folded ELSE t.node END, '' ORDER BY t.i)),
+    f.proof || coalesce(string_agg(t.node, '' ORDER BY t.i) FILTER (t.i != f.pos), '')
+  FROM f JOIN t ON t.lv = f.lv AND t.source IS NOT DISTINCT FROM f.source AND t.i // 3 = f.pos // 3 WHERE f.n > 1 GROUP BY f.doc_id, f.source, f.i0, f.lv, f.pos, f.n, f.folded, f.proof),
+g(doc_id, source, i0, lv, pos, n, folded, proof) AS (SELECT f.doc_id, f.source, f.i0, 0, s.i, s.n, f.folded, f.proof FROM f JOIN s ON f.source IS NOT DISTINCT FROM s.source AND f.n = 1 UNION ALL
+  SELECT g.doc_id, g.source, g.i0, g.lv + 1, g.pos // 3, (g.n + 2) // 3, sha256(string_agg(CASE WHEN u.i = g.pos THEN g.folded ELSE u.node END, '' ORDER BY u.i)),
+    g.proof || coalesce(string_agg(u.node, '' ORDER BY u.i) FILTER (u.i != g.pos), '')
+  FROM g JOIN u ON u.lv = g.lv AND u.i // 3 = g.pos // 3 WHERE g.n > 1 GROUP BY g.doc_id, g.source, g.i0, g.lv, g.pos, g.n, g.folded, g.proof)
+SELECT g.doc_id, n0.leaf, s.node AS subroot, r.node AS root, sha256(g.proof) AS proof_sha256, g.folded AS folded_root, g.folded = r.node AS verified
+FROM g JOIN n0 ON n0.source IS NOT DISTINCT FROM g.source AND n0.i = g.i0 JOIN s ON s.source IS NOT DISTINCT FROM g.source, (SELECT node FROM u WHERE n = 1) r WHERE g.n = 1
+""")
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from critiq.llm.merkle import digest, field, fold, manifest, siblings
+
+    docs = table(spark, sf_dir, "documents")
+    head = [field(F.col(c)) for c in ("doc_id", "source", "lang", "n_chars")]
+    broken = F.when(_crc_mod(2) == 0, digest(*head, field(F.replace("text", F.lit("\n"), F.lit("")))))
+    whole = manifest(docs.select("doc_id", "source", digest(*head, field(F.col("text"))).alias("leaf"), broken.alias("tampered")))
+    folded = whole.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("path")).cast("binary"), 256).alias("proof_sha256"), fold(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
