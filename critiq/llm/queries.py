@@ -185,6 +185,20 @@ def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
 
 
+@query()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from critiq.llm.mixing import words
+    from critiq.llm.periodic_runs import periodic_runs
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", words(F.col("text")).alias("n"))
+    g = F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 10)
+    docs = docs.withColumn("a", F.when((_crc_mod(10) == 0) & (F.col("n") > 0), g % F.greatest("n", F.lit(1))))
+    period = 1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))
+    runs = periodic_runs(docs, repeat_from=F.col("a"), repeat_period=period)
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("runs", "collapsed")]
+    return runs.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", *digests)
+
+
 @query("""
 WITH RECURSIVE bits AS (SELECT range(256) AS v),
 crc_table AS (SELECT [list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) for b in v] AS t FROM bits),
