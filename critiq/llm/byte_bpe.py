@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from critiq.llm.memory import Cache, released
+
 PIECE = 1 << 19  # code points scanned at once; the state carries over between the pieces of a long text
 ROW = 128
-CACHE = 500_000  # slices whose ids a task remembers
+CACHE = 16 << 20  # bytes of slices and their ids that a task remembers
 CACHED_CHARS = 48
 NONE = 1 << 40  # rank of no token
 
@@ -216,6 +218,28 @@ class Vocabulary:
         pairs = sorted((ranks[t[:i]] << 32 | ranks[t[i:]], k) for t, k in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks)
         self.keys, self.made = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
         self.bytes = np.array([ranks.get(bytes([v]), 0) for v in range(256)], np.int64)
+        tokens = sorted((k, t) for t, k in ranks.items())
+        self.size = np.zeros(tokens[-1][0] + 1 if tokens else 1, np.int64)  # bytes of each token
+        for k, t in tokens:
+            self.size[k] = len(t)
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(t for _, t in tokens), np.uint8)
+
+    def offsets(self, ids: np.ndarray) -> np.ndarray:
+        """The byte at which each token begins."""
+        sizes = self.size[ids]
+        return np.cumsum(sizes) - sizes
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
+        """The tokens' bytes, each at its offset from the first; offsets that leave gaps or overlaps are an error."""
+        if not len(ids):
+            return b""
+        sizes, offsets = self.size[ids], offsets.astype(np.int64)
+        ends = offsets + sizes
+        if not np.array_equal(offsets[1:], ends[:-1]):
+            raise ValueError("the offsets do not fit the tokens")
+        place = np.arange(offsets[0], ends[-1])
+        return self.data[place + np.repeat(self.start[ids] - offsets, sizes)].tobytes()
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of what each pair makes; NONE for pairs that don't merge or lack a side (below 0)."""
@@ -259,10 +283,11 @@ def merge_many(pieces: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
     return done
 
 
-class Merger(dict):
-    """Ids of a slice as little-endian 32-bit bytes; remembers short slices, CACHE at most."""
+class Merger(Cache):
+    """Ids of a slice as little-endian 32-bit bytes; remembers short slices, CACHE bytes of them."""
 
     def __init__(self, vocabulary: Vocabulary):
+        super().__init__(CACHE)
         self.vocabulary = vocabulary
 
     def __missing__(self, piece: str) -> bytes:
@@ -271,16 +296,17 @@ class Merger(dict):
 
     def learn(self, texts: list[list[str]]) -> None:
         """Remember the short slices of some texts, merged together."""
-        if len(self) >= CACHE:
-            self.clear()
+        self.make_room()
         new = [p for p in set().union(*texts).difference(self) if len(p) <= CACHED_CHARS]
+        easy: list[tuple[str, bytes]] = []
         hard: dict[bool, list[tuple[str, bytes]]] = {False: [], True: []}
         for p in new:
             data = p.encode("utf-8", "surrogatepass")
             if data in self.vocabulary.ranks:
-                self[p] = self.vocabulary.ranks[data].to_bytes(4, "little")
+                easy.append((p, self.vocabulary.ranks[data].to_bytes(4, "little")))
             else:
                 hard[len(data) > 16].append((p, data))
+        self.update(easy)
         for group in hard.values():  # short ones apart from long ones: rows are as wide as the longest
             for at in range(0, len(group), 4096):
                 part = group[at : at + 4096]
@@ -306,46 +332,66 @@ def _portions(column: pa.Array, chars: int) -> Iterator[tuple[int, list]]:
         yield at, values
 
 
-def bpe_encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True) -> DataFrame:
-    """(id_col, ids, offsets) of every row of docs, repeated and null ids included.
-
-    ids: the token ids as little-endian unsigned 32-bit integers. offsets: in the same form, the byte of
-    the text at which each token begins, so that a range of tokens can be traced and decoded alone; left
-    out with offsets=False. Special tokens' strings are ordinary text. Null texts count as empty: no
-    ids. Whole texts are read. An empty table gives an empty result; other columns are ignored, whatever
-    their names. The rank file (rank_path, read once by the driver) is bounded by its vocabulary.
-    """
+def _encode(docs: DataFrame, rank_path: str, id_col: str, text_col: str, offsets: bool, decoded: bool) -> DataFrame:
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(rank_path)))
 
+    @released
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger, ranks = Merger(vocabulary.value), vocabulary.value.ranks
-        sizes = np.zeros(max(ranks.values(), default=0) + 1, np.uint32)
-        for token, k in ranks.items():
-            sizes[k] = len(token)
+        merger = Merger(vocabulary.value)
         for batch in batches:
             for at, texts in _portions(batch.column(1), PIECE):
                 ids = merger.encode([t or "" for t in texts])
                 out = {id_col: batch.column(0).slice(at, len(ids)), "ids": pa.array(ids, pa.binary())}
                 if offsets:
-                    lengths = [sizes[np.frombuffer(x, "<u4")] for x in ids]
-                    out["offsets"] = pa.array([(np.cumsum(v) - v).astype("<u4").tobytes() for v in lengths], pa.binary())
+                    numbers = [np.frombuffer(x, "<u4") for x in ids]
+                    starts = [merger.vocabulary.offsets(x) for x in numbers]
+                    out["offsets"] = pa.array([x.astype("<u4").tobytes() for x in starts], pa.binary())
+                    if decoded:
+                        out["decoded"] = pa.array([merger.vocabulary.decode(x, o) for x, o in zip(numbers, starts)], pa.binary())
                 yield pa.RecordBatch.from_pydict(out)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, ids binary" + ", offsets binary" * offsets
+    schema = f"`{id_col}` {kind}, ids binary" + ", offsets binary" * offsets + ", decoded binary" * decoded
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(rows, schema)
 
 
-def bpe_decode(encoded: DataFrame, rank_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """encoded's id_col and ids_col, and ``decoded``: the bytes that the ids stand for (null ids: no bytes)."""
-    ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
+def bpe_encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True) -> DataFrame:
+    """(id_col, ids, offsets) of every row of docs, repeated and null ids included.
+
+    ids: the token ids as little-endian unsigned 32-bit integers. offsets: in the same form, the byte of
+    the text at which each token begins, so that a range of tokens can be traced and decoded alone; left
+    out with offsets=False. Special tokens' strings are ordinary text. Null texts count as empty: no
+    ids. Whole texts are read. An empty table gives an empty result; other columns are ignored, whatever
+    their names. The rank file (rank_path, read once by the driver) is bounded by its vocabulary.
+    """
+    return _encode(docs, rank_path, id_col, text_col, offsets, decoded=False)
+
+
+def bpe_round_trip(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``bpe_encode``'s columns, and ``decoded``: the ids' bytes, each token's placed at its offset; in one pass."""
+    return _encode(docs, rank_path, id_col, text_col, offsets=True, decoded=True)
+
+
+def bpe_decode(encoded: DataFrame, rank_path: str, id_col: str = "doc_id", ids_col: str = "ids", offsets_col: str | None = None) -> DataFrame:
+    """encoded's id_col and ids_col, and ``decoded``: the bytes that the ids stand for (null ids: no bytes).
+
+    ids may be any range of a text's tokens. offsets_col: their offsets, by which the bytes are then placed; a token
+    that does not end where the next one begins is an error.
+    """
+    vocabulary = encoded.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(rank_path)))
 
+    @released
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = {k: token for token, k in ranks.value.items()}
+        known = vocabulary.value
         for batch in batches:
             for at, ids in _portions(batch.column(1), 1 << 21):
-                decoded = [b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in ids]
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(ids)) for c in batch.columns), pa.array(decoded, pa.binary())], [id_col, ids_col, "decoded"])
+                numbers = [np.frombuffer(x or b"", "<u4") for x in ids]
+                if offsets_col:
+                    given = [np.frombuffer(x or b"", "<u4") for x in batch.column(2).slice(at, len(ids)).to_pylist()]
+                else:
+                    given = [known.offsets(x) for x in numbers]
+                decoded = [known.decode(x, o) for x, o in zip(numbers, given)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(ids)) for c in batch.columns[:2]), pa.array(decoded, pa.binary())], [id_col, ids_col, "decoded"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, ids_col).mapInArrow(rows, f"`{id_col}` {kind}, `{ids_col}` binary, decoded binary")
+    return encoded.select(id_col, ids_col, *[offsets_col] * bool(offsets_col)).mapInArrow(rows, f"`{id_col}` {kind}, `{ids_col}` binary, decoded binary")

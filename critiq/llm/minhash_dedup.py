@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from critiq.llm.common import components, cut
+from critiq.llm.memory import released
 from critiq.llm.shingles import U64, mix, set_key, shingle_sets, signature
 
 COORDINATES = 64
@@ -47,6 +48,7 @@ def least_matches(similarity: float, coordinates: int = COORDINATES) -> int:
 def shingle_table(docs: DataFrame, width: int, id_col: str, text_col: str, coordinates: int = COORDINATES) -> DataFrame:
     """(id, n, key, sig) of every row: size of the shingle set, key equal for equal sets, signature."""
 
+    @released
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, key, sig = [], [], []
@@ -68,6 +70,7 @@ def _signatures(column: pa.Array, coordinates: int) -> tuple[np.ndarray, np.ndar
 def _list_lengths(reps: DataFrame, coordinates: int) -> np.ndarray:
     """Postings per cell of a hashed counter table: CELLS numbers, whatever the input."""
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
@@ -87,6 +90,7 @@ def _posted(reps: DataFrame, coordinates: int, matches: int) -> DataFrame:
     lengths = reps.sparkSession.sparkContext.broadcast(_list_lengths(reps, coordinates))
     words = coordinates // 16
 
+    @released
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -164,6 +168,7 @@ def links(docs: DataFrame, reps: DataFrame, width: int, pct: int, id_col: str, t
     need = need.groupBy("id").agg(F.max("component").alias("component")).join(reps.select("id", "key"), "id")
     need = need.join(large.select("component", F.lit(True).alias("large")), "component", "left").select("id", "key", "component", F.coalesce("large", F.lit(False)).alias("large"))
 
+    @released
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -178,6 +183,7 @@ def links(docs: DataFrame, reps: DataFrame, width: int, pct: int, id_col: str, t
 
 
 def _settle(full: DataFrame, member: DataFrame, large: DataFrame, across: DataFrame, pct: int) -> DataFrame:
+    @released
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [_similar(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), pct) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from critiq.llm.memory import released
+
 # Given names by gender, titles by gender.
 FEMALE = "Alice Amelia Anna Barbara Carmen Catherine Charlotte Claire Elena Elizabeth Emily Emma Eva Hannah Helen Ingrid Isabella Jane Jennifer Jessica Julia Karen Laura Linda Lisa Lucia Maria Marie Mary Michelle Nancy Olivia Patricia Paula Rachel Rosa Sandra Sarah Sofia Sophie Susan Teresa".split()
 MALE = "Adam Albert Andrew Anthony Carlos Charles Daniel David Edward Eric Frank George Hans Henry Hugo Jack James John Jorge Jose Juan Karl Kevin Louis Luis Mark Martin Matthew Michael Miguel Oliver Otto Patrick Paul Pedro Peter Philip Pierre Richard Robert Stefan Steven Thomas William".split()
@@ -248,6 +250,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     names = [c for c in docs.columns if c != "pii"]
     place = names.index(text_col)
 
+    @released
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("surrogate", pa.string())]))
         for batch in batches:

@@ -102,10 +102,9 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from critiq.llm.byte_bpe import bpe_decode, bpe_encode
+    from critiq.llm.byte_bpe import bpe_round_trip
 
-    encoded = bpe_encode(table(spark, sf_dir, "documents"), _ranks(), offsets=False)
-    back = bpe_decode(encoded, _ranks())
+    back = bpe_round_trip(table(spark, sf_dir, "documents"), _ranks())
     return back.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20  # bytes hashed at once; only a longer single text makes a larger piece
+PIECE = 1 << 18  # bytes hashed at once; only a longer single text makes a larger piece
 U64 = np.uint64
 
 
@@ -38,7 +38,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return value, space
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     base = 0x9E3779B97F4A7C15

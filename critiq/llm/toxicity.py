@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from critiq.llm.memory import Cache, released
+
 BUCKETS = 1 << 18
 DIM = 8
 WINDOW = 48  # words averaged; windows overlap by half
 SAMPLE = 2500  # labelled texts of each label in the training sample, at most
 SAMPLE_CHARS = 20_000  # longer texts aren't drawn for training
-CACHE = 300_000  # words whose value a task remembers
+CACHE = 16 << 20  # bytes of words and their values that a task remembers
 WORD = re.compile(r"\w+")
 
 
@@ -64,8 +66,7 @@ class Model:
         tokens = words(text)
         logit = self.bias
         if tokens:
-            for w in set(tokens).difference(cache):
-                cache[w] = self.word(w)
+            cache.update((w, self.word(w)) for w in set(tokens).difference(cache))
             logit += float(window_means(np.fromiter(map(cache.__getitem__, tokens), np.float64, len(tokens))).max())
         return float(1 / (1 + np.exp(-np.clip(logit, -50, 50))))
 
@@ -189,14 +190,14 @@ def toxicity_scores(docs: DataFrame, model: Model, text_col: str = "text", score
     names = [c for c in docs.columns if c != score_col]
     place = names.index(text_col)
 
+    @released
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
+        cache = Cache(CACHE)
         for batch in batches:
             out = []
             for text in batch.column(place):
+                cache.make_room()
                 out.append(shared.value.score(text.as_py(), cache))
-                if len(cache) > CACHE:
-                    cache.clear()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*names, score_col])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)

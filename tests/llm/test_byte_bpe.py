@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from critiq.llm import byte_bpe
-from critiq.llm.byte_bpe import Merger, Vocabulary, bpe_decode, bpe_encode, merge, read_ranks, slices
+from critiq.llm.byte_bpe import Merger, Vocabulary, bpe_decode, bpe_encode, bpe_round_trip, merge, read_ranks, slices
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 RANKS = read_ranks(PATH)
@@ -69,3 +69,27 @@ def test_frames(spark):
         sizes = [len(LIBRARY.decode_single_token_bytes(i)) for i in ids(r.ids)]
         assert ids(r.offsets) == [sum(sizes[:k]) for k in range(len(sizes))] or len(sizes) > 1000
     assert bpe_decode(bpe_encode(docs.limit(0), PATH, offsets=False), PATH).count() == 0
+
+
+def test_offsets_place_the_bytes(spark):
+    rows = [(1, "It's   fine\n\n ok é中"), (None, "no id"), (3, None), (4, ""), (5, "long " * 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((str(i), (t or "").encode()) for i, t in rows)
+    whole = bpe_round_trip(docs, PATH)
+    assert sorted((str(r.doc_id), bytes(r.decoded)) for r in whole.collect()) == want
+    assert sorted((str(r.doc_id), bytes(r.decoded)) for r in bpe_decode(whole, PATH, offsets_col="offsets").collect()) == want
+    part = whole.filter("doc_id = 1").selectExpr("doc_id", "substr(ids, 9) ids", "substr(offsets, 9) offsets")
+    first = sum(len(LIBRARY.decode_single_token_bytes(i)) for i in LIBRARY.encode_ordinary(rows[0][1])[:2])
+    assert bytes(bpe_decode(part, PATH, offsets_col="offsets").first().decoded) == rows[0][1].encode()[first:]
+    broken = whole.filter("doc_id = 1").selectExpr("doc_id", "ids", "concat(substr(offsets, 5), x'09000000') offsets")
+    with pytest.raises(Exception, match="offsets do not fit"):
+        bpe_decode(broken, PATH, offsets_col="offsets").collect()
+
+
+def test_cache_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHE", 50_000)
+    merger = Merger(Vocabulary(RANKS))
+    for k in range(40):
+        texts = [f" w{k * 100 + j}x" for j in range(100)]
+        assert [ids(x) for x in merger.encode(texts)] == [LIBRARY.encode_ordinary(t) for t in texts]
+        assert merger.size <= 50_000 + 100 * 400 and len(merger) <= 700
