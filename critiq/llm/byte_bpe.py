@@ -30,7 +30,7 @@ from critiq.llm.memory import Cache, released
 
 PIECE = 1 << 19  # code points scanned at once; the state carries over between the pieces of a long text
 ROW = 128
-CACHE = 16 << 20  # bytes of slices and their ids that a task remembers
+CACHE = 64 << 20  # bytes of slices and their ids that a task remembers
 CACHED_CHARS = 48
 NONE = 1 << 40  # rank of no token
 

@@ -6,6 +6,7 @@ import ctypes
 import sys
 from collections.abc import Callable, Iterable, Iterator
 from functools import wraps
+from itertools import islice
 
 import pyarrow as pa
 
@@ -13,7 +14,11 @@ ENTRY = 100  # bytes of a dictionary's slot beside its key and value
 
 
 class Cache(dict):
-    """A dictionary that forgets everything when room is made after its entries have taken ``limit`` bytes."""
+    """A dictionary that makes room, when asked to, once its entries take ``limit`` bytes.
+
+    The half that came in first stays: what is frequent comes early. The other half is forgotten, so that it can
+    follow the data.
+    """
 
     def __init__(self, limit: int):
         super().__init__()
@@ -26,8 +31,10 @@ class Cache(dict):
 
     def make_room(self) -> None:
         if self.size > self.limit:
+            first = list(islice(self.items(), len(self) // 2))
             self.clear()
             self.size = 0
+            self.update(first)
 
 
 def _trim() -> None:

@@ -28,7 +28,7 @@ DIM = 8
 WINDOW = 48  # words averaged; windows overlap by half
 SAMPLE = 2500  # labelled texts of each label in the training sample, at most
 SAMPLE_CHARS = 20_000  # longer texts aren't drawn for training
-CACHE = 16 << 20  # bytes of words and their values that a task remembers
+CACHE = 64 << 20  # bytes of words and their values that a task remembers
 WORD = re.compile(r"\w+")
 
 
