@@ -8,6 +8,9 @@ the same bits in Spark and in the SQL oracle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,36 +65,94 @@ def min_max_scale(c: Column, lo: Column, hi: Column) -> Column:
     return (c - lo) / (hi - lo + F.lit(1e-9))
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], name: str, buckets: int = 1 << 16) -> DataFrame:
+SCALE = 1024     # logarithmic buckets for each doubling of a value
+ZOOM = 1 << 21   # equal-width buckets of the second look
+
+
+def _magnitude(x: Column) -> Column:
+    """A bucket number that grows with x: its sign and 1024 steps per doubling
+    of |x|, so no outlier can put the other values into one bucket.  There are
+    about 4.4 million such numbers for all doubles."""
+    steps = F.floor((F.log2(F.abs(x)) + F.lit(1100.0)) * F.lit(float(SCALE))).cast("long") + 1
+    return F.when(x > 0, steps).when(x < 0, -steps).otherwise(F.lit(0).cast("long"))
+
+
+def _holding(buckets: DataFrame, group: list[str], order: str, targets: Column) -> DataFrame:
+    """(i, rank, lo, hi): for each of ``targets`` (an array of struct(i, rank, ...))
+    the bucket that holds its rank, and the rank inside it."""
+    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    c = buckets.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    before, upto = F.col("_before"), F.col("_before") + F.col("_n")
+    mine = F.filter(targets, lambda t: (t["rank"] >= before) & (t["rank"] < upto))
+    return c.select(F.explode(mine).alias("_t"), "_before", "_lo", "_hi").select(
+        F.col("_t.i").alias("i"), (F.col("_t.rank") - F.col("_before")).alias("rank"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], name: str, zoom: int = ZOOM) -> DataFrame:
     """One row with the array ``name`` of exact, linearly interpolated quantiles.
 
-    ``percentile`` gathers all distinct values in one buffer.  Here they are
-    counted, dealt into equal-width buckets between the extremes, and only
-    bucket totals (at most ``buckets`` rows) meet in one window; the wanted
-    ranks are then looked up inside their buckets.
+    ``percentile`` gathers all distinct values in one buffer.  Here the
+    distinct values are counted, and only the buckets that hold a wanted rank
+    are looked into: first by sign and magnitude (1024 buckets per doubling),
+    then by equal width between the extremes of that bucket, which leaves at
+    most some 1.5 million doubles to a bucket, whatever the data.  Each look is
+    an aggregate that merges before its shuffle; windows run over bucket totals,
+    and in the end over the distinct values of one bucket.  Whatever is left of
+    ``targets`` between the looks is two rows for each quantile.
     """
     x = F.col(col).cast("double")
-    v = shared(df.select(x.alias("_x")).where(F.col("_x").isNotNull()).groupBy("_x").agg(F.count(F.lit(1)).alias("_n")))
-    span = v.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_n").alias("_total"))
-    share = F.try_divide(F.col("_x") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    s = with_scalars(v, span).withColumn("_b", F.coalesce(F.floor(share * F.lit(float(buckets - 1))), F.lit(0)))
-    totals = s.groupBy("_b").agg(F.sum("_n").alias("_m"))
-    before = totals.select("_b", (F.sum("_m").over(Window.orderBy("_b")) - F.col("_m")).alias("_before"))
-    inside = F.sum("_n").over(Window.partitionBy("_b").orderBy("_x"))
-    c = s.join(before, "_b").withColumn("_upto", F.col("_before") + inside)
-    at = [F.lit(float(p)) * (F.col("_total") - 1) for p in probs]
+    v = shared(df.select((x + F.lit(0.0)).alias("_x")).where(F.col("_x").isNotNull()).groupBy("_x").agg(F.count(F.lit(1)).alias("_n")))
+
+    def brackets(stats: DataFrame) -> DataFrame:
+        """One row: the targets as an array, and the distinct ranges they lie in."""
+        t = F.struct("i", "rank", "lo", "hi")
+        return stats.agg(F.collect_list(t).alias("_targets"), F.collect_set(F.struct("lo", "hi")).alias("_ranges"))
 
-    def value(rank: Column) -> Column:
-        return F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n")), F.col("_x")))
+    def inside(stats: DataFrame) -> DataFrame:
+        """The distinct values within the ranges, each beside its range and the targets there."""
+        d = with_scalars(v, brackets(stats))
+        d = d.select("_x", "_n", "_targets", F.explode(F.filter("_ranges", lambda r: F.col("_x").between(r["lo"], r["hi"]))).alias("_r"))
+        mine = F.filter("_targets", lambda t: (t["lo"] == F.col("_r.lo")) & (t["hi"] == F.col("_r.hi")))
+        return d.select("_x", "_n", F.col("_r.lo").alias("_from"), F.col("_r.hi").alias("_to"), mine.alias("_mine"))
 
-    one = c.agg(F.max("_total").alias("_total"), *[value(F.floor(a)).alias(f"_f{i}") for i, a in enumerate(at)],
-                *[value(F.ceil(a)).alias(f"_c{i}") for i, a in enumerate(at)])
-    pick = [F.when(F.col(f"_f{i}") == F.col(f"_c{i}"), F.col(f"_f{i}")).otherwise(
-        (F.ceil(a) - a) * F.col(f"_f{i}") + (a - F.floor(a)) * F.col(f"_c{i}")) for i, a in enumerate(at)]
+    ends = F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
+    at = [F.lit(float(p)) * (F.col("_total") - 1) for p in probs]
+    total = v.agg(F.sum("_n").alias("_total"))
+    ranks = total.select("_total", F.array(*[F.struct(F.lit(k).alias("i"), f(a).cast("long").alias("rank"))
+                                             for k, (f, a) in enumerate((f, a) for a in at for f in (F.floor, F.ceil))]).alias("_targets"))
+    first = with_scalars(v.groupBy(_magnitude(F.col("_x")).alias("_b")).agg(F.sum("_n").alias("_n"), *ends), ranks.select("_targets"))
+    stats = _holding(first, [], "_b", F.col("_targets"))
+    share = F.try_divide(F.col("_x") - F.col("_from"), F.col("_to") - F.col("_from"))
+    second = inside(stats).withColumn("_b", F.coalesce(F.floor(share * F.lit(float(zoom - 1))), F.lit(0)))
+    second = second.groupBy("_from", "_to", "_mine", "_b").agg(F.sum("_n").alias("_n"), *ends)
+    stats = _holding(second, ["_from", "_to"], "_b", F.col("_mine"))
+    last = inside(stats).select("*", F.col("_x").alias("_lo"), F.col("_x").alias("_hi"))
+    found = _holding(last, ["_from", "_to"], "_x", F.col("_mine"))
+    values = found.agg(*[F.max(F.when(F.col("i") == k, F.col("lo"))).alias(f"_v{k}") for k in range(2 * len(probs))])
+    one = with_scalars(values, total)
+    pick = []
+    for k, a in enumerate(at):
+        lower, upper = F.col(f"_v{2 * k}"), F.col(f"_v{2 * k + 1}")
+        pick.append(F.when(lower == upper, lower).otherwise((F.ceil(a) - a) * lower + (a - F.floor(a)) * upper))
     return one.select(F.array(*pick).alias(name))
 
 
-_SHARED: list[DataFrame] = []
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def sharing() -> Iterator[list[DataFrame]]:
+    """Collects the tables that ``shared`` persists inside the block and
+    unpersists them, and no others, at its end.  The list is the caller's to
+    look at, or to empty where the tables shall stay."""
+    tables: list[DataFrame] = []
+    _SCOPES.append(tables)
+    try:
+        yield tables
+    finally:
+        _SCOPES.remove(tables)
+        for t in tables:
+            t.unpersist()
 
 
 def shared(df: DataFrame) -> DataFrame:
@@ -99,20 +160,17 @@ def shared(df: DataFrame) -> DataFrame:
     (the main result and its scalar subqueries): persisted, so the scan,
     joins and aggregation beneath it run once.  Only used on tables with one
     row per shop, user, city, month or similar; lost blocks are recomputed
-    from lineage.  ``release_shared`` drops them when the results are written.
+    from lineage.  Inside ``sharing()`` it is dropped at the end of the block;
+    elsewhere the caller's ``spark.catalog.clearCache()`` drops it.
 
     ``get_session`` sets ``CACHED_AQE_FLAG``; without it a cached plan runs
     without adaptive execution.
     """
     from pyspark import StorageLevel
-    _SHARED.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-    return _SHARED[-1]
-
-
-def release_shared() -> None:
-    """Unpersist every table that ``shared`` persisted so far."""
-    while _SHARED:
-        _SHARED.pop().unpersist()
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if _SCOPES:
+        _SCOPES[-1].append(df)
+    return df
 
 
 CACHED_AQE_FLAG = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"

@@ -1,9 +1,9 @@
 """Tiered negative-rate alerts per shop.
 
-One aggregation on the shop key computes, for every tier window at once,
-the number of dated reviews and of negative ones inside the window; the
-reference time (latest review in the data) is a one-row aggregate joined by
-broadcast.  No per-shop loop and no range join.
+Reviews are counted per shop and second; from that table come the reference
+time (latest review in the data) and, for every tier window at once, the
+number of reviews and of negative ones inside it.  No per-shop loop, no range
+join, one scan of the reviews.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from critiq.functions.num import rnd, shared, to_double, with_scalars
-from critiq.operators.common import first_by_time, is_neg, review_order
+from critiq.operators.common import grouped_with_first, is_neg
 from critiq.operators.explore import equal_width_bin
 from critiq.operators.sequential import prep_time
 
@@ -34,19 +34,26 @@ MIN_WINDOW_REVIEWS = 2
 
 
 def alerts(df: DataFrame, levels=ALERT_LEVELS, actions=ALERT_ACTIONS) -> DataFrame:
-    """level, shop_id, shop_name, score, neg_rate, message, action (+ severity)."""
+    """level, shop_id, shop_name, score, neg_rate, message, action (+ severity).
+
+    The reviews are read once, into counts per shop and second; the reference
+    time and all windows come from these, by hash aggregates."""
     d = prep_time(df)
-    ref = d.agg(F.max("review_time").alias("_ref"))
     label = F.col("sentiment_label") if "sentiment_label" in d.columns else F.lit(None)
-    d = with_scalars(d.where(F.col("shop_id").isNotNull()), ref)
-    aggs = [F.count(F.lit(1)).alias("_n"),
-            first_by_time("shop_name", review_order(d)).alias("shop_name"),
-            F.avg(to_double("review_score")).alias("_score")]
+    score = to_double("review_score")
+    d = d.select("shop_id", "shop_name", "review_time", is_neg(label).cast("long").alias("_neg"), score.alias("_s"))
+    # reviews without a shop count for the reference time alone
+    seconds = shared(d.groupBy("shop_id", "shop_name", "review_time").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_neg").alias("_neg"), F.sum("_s").alias("_s"), F.count("_s").alias("_c")))
+    ref = seconds.agg(F.max("review_time").alias("_ref"))
+    t = with_scalars(seconds.where(F.col("shop_id").isNotNull()), ref)
+    sums = {"_n": F.col("_n"), "_s": F.col("_s"), "_c": F.col("_c")}
     for lvl, days, _, _ in levels:
         inside = F.col("review_time") >= F.col("_ref") - F.expr(f"INTERVAL {days} DAYS")
-        aggs.append(F.sum(F.when(inside, 1).otherwise(0)).alias(f"_n_{lvl}"))
-        aggs.append(F.sum(F.when(inside, is_neg(label)).otherwise(0)).alias(f"_x_{lvl}"))
-    g = d.groupBy("shop_id").agg(*aggs).where(F.col("_n") >= MIN_SHOP_REVIEWS)
+        sums[f"_n_{lvl}"] = F.when(inside, F.col("_n")).otherwise(F.lit(0))
+        sums[f"_x_{lvl}"] = F.when(inside, F.col("_neg")).otherwise(F.lit(0))
+    g = grouped_with_first(t, ["shop_id"], ["shop_name"], sums).where(F.col("_n") >= MIN_SHOP_REVIEWS)
+    g = g.withColumn("_score", F.try_divide(F.col("_s"), F.col("_c")))
     level = rate = days_c = sev = None
     for i, (lvl, days, thr, name) in enumerate(levels):
         r = F.col(f"_x_{lvl}") / F.col(f"_n_{lvl}")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from critiq.functions.num import min_max_scale, rnd, shared, with_scalars
+from critiq.operators.tabular import distinct_counts
 
 
 def equal_width_bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -76,9 +77,11 @@ def top_values(df: DataFrame, col: str, k: int = 12) -> DataFrame:
 
 
 def coverage(df: DataFrame, approx: bool = False) -> DataFrame:
-    nd = F.approx_count_distinct if approx else F.countDistinct
-    return df.agg(nd("shop_id").cast("long").alias("shops"), nd("city").cast("long").alias("cities"),
-                  nd("district").cast("long").alias("districts"))
+    """Numbers of shops, cities and districts; exact ones from one narrow scan each."""
+    names = {"shops": "shop_id", "cities": "city", "districts": "district"}
+    if approx:
+        return df.agg(*[F.approx_count_distinct(c).cast("long").alias(n) for n, c in names.items()])
+    return distinct_counts(df, list(names.values())).select(*[F.col(c).cast("long").alias(n) for n, c in names.items()])
 
 
 # ----------------------------------------------------------------- NBK-14

@@ -1,8 +1,8 @@
 """Shop-level aggregations and rankings (summary, Bayes, Wilson, correlation).
 
-All shop statistics are algebraic (count, sum, mean, first-by-order), so
-they run as partial aggregate -> hash shuffle on the shop key -> final
-aggregate; a shop holding a third of all rows only makes one final row.
+All shop statistics are algebraic (count, sum, mean, first-by-time), so
+they run as hash aggregates that merge before the shuffle on the shop key; a
+shop holding a third of all rows makes a few rows per task.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from critiq.functions.num import clip, rnd, shared, to_double, with_scalars
-from critiq.operators.common import dense_rank_desc, first_by_time, has, is_neg, review_order
+from critiq.operators.common import dense_rank_desc, grouped_with_first, has, is_neg
 
 BAYES_PRIOR_WEIGHT = 30      # fixed value: prior weight m of the shrinkage
 WILSON_Z = 1.96              # fixed value: 95 % normal quantile
@@ -22,41 +22,63 @@ EDA_METRICS = ["reviews", "shops", "users", "cities", "mean_score", "score_std",
                "positive_reviews", "negative_reviews", "mean_length"]
 
 
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row with the exact number of different non-null values of each
+    column (0 for a column that df lacks).
+
+    Several distinct counts in one aggregate make Spark expand every row once
+    per column and carry all of them through one shuffle.  Here each column has
+    a scan of its own that reads this column alone and drops its repeats
+    before the shuffle; the counts meet as scalars.
+    """
+    one = df.agg(F.count(F.lit(1)).alias("_rows"))
+    for c in columns:
+        if c in df.columns:
+            values = df.select(c).where(F.col(c).isNotNull()).distinct()
+            one = with_scalars(one, values.agg(F.count(F.lit(1)).alias(c)))
+        else:
+            one = one.withColumn(c, F.lit(0).cast("long"))
+    return one.select(*columns)
+
+
 def eda_summary(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
-    """Nine (metric, value) rows from one global aggregation."""
-    nd = (lambda c: F.approx_count_distinct(c)) if approx_distinct else (lambda c: F.countDistinct(c))
+    """Nine (metric, value) rows.  Sums and means come from one global
+    aggregate; exact distinct counts from one narrow scan each, which drops
+    repeated values before its shuffle (no row is expanded)."""
     zero = F.lit(0)
     score = to_double("review_score") if has(df, "review_score") else F.lit(None).cast("double")
     length = to_double("content_len") if has(df, "content_len") else F.lit(None).cast("double")
+    distinct = {"shops": "shop_id", "users": "user_id", "cities": "city"}
     aggs = [
         F.count(F.lit(1)).alias("reviews"),
-        (nd("shop_id") if has(df, "shop_id") else zero).alias("shops"),
-        (nd("user_id") if has(df, "user_id") else zero).alias("users"),
-        (nd("city") if has(df, "city") else zero).alias("cities"),
         rnd(F.avg(score), 3).alias("mean_score"),
         rnd(F.stddev_samp(score), 3).alias("score_std"),
         (F.sum(F.when(F.col("sentiment") == "positive", 1).otherwise(0)) if has(df, "sentiment") else zero).alias("positive_reviews"),
         (F.sum(F.when(F.col("sentiment") == "negative", 1).otherwise(0)) if has(df, "sentiment") else zero).alias("negative_reviews"),
         rnd(F.avg(length), 1).alias("mean_length"),
     ]
-    one = df.agg(*aggs)
+    if approx_distinct:
+        aggs += [(F.approx_count_distinct(c) if has(df, c) else zero).alias(n) for n, c in distinct.items()]
+        one = df.agg(*aggs)
+    else:
+        counts = distinct_counts(df, list(distinct.values()))
+        one = with_scalars(df.agg(*aggs), counts.select(*[F.col(c).alias(n) for n, c in distinct.items()]))
     pairs = ", ".join(f"'{m}', cast({m} as double)" for m in EDA_METRICS)
     return one.selectExpr(f"stack({len(EDA_METRICS)}, {pairs}) as (metric, value)")
 
 
 # ----------------------------------------------------------------- TAB-2/3
 def _shop_groups(df: DataFrame, extras: list[str]) -> DataFrame:
-    """One aggregation per (shop_id, shop_name), null keys kept as groups so
-    that the score sums still cover every row (for the global mean)."""
-    order = review_order(df)
+    """One row per (shop_id, shop_name), null keys kept as groups so that the
+    score sums still cover every row (for the global mean)."""
     score = to_double("review_score")
-    aggs = [F.count("review_id").cast("long").alias("review_count"),
-            F.avg(score).alias("avg_score"),
-            F.sum(score).alias("_s"), F.count(score).alias("_c")]
-    aggs += [first_by_time(c, order).alias(c) for c in extras if c in df.columns]
+    sums = {"review_count": F.col("review_id").isNotNull().cast("long"), "_s": score, "_c": score.isNotNull().cast("long")}
     if has(df, "sentiment_label"):
-        aggs.append(F.sum(is_neg(F.col("sentiment_label"))).cast("long").alias("neg_count"))
-    return df.groupBy("shop_id", "shop_name").agg(*aggs)
+        sums["neg_count"] = is_neg(F.col("sentiment_label")).cast("long")
+    g = grouped_with_first(df, ["shop_id", "shop_name"], extras, sums)
+    present = [c for c in extras if c in df.columns]
+    return g.select("shop_id", "shop_name", "review_count", F.try_divide(F.col("_s"), F.col("_c")).alias("avg_score"), "_s", "_c",
+                    *present, *[c for c in ("neg_count",) if c in sums])
 
 
 def _with_global_mean(groups: DataFrame, min_reviews: int) -> DataFrame:

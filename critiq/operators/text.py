@@ -8,12 +8,13 @@ ordered limit (bounded) or the two-stage exact top-k per group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from critiq.functions.num import rnd, with_scalars
+from critiq.functions.tables import materialize
 from critiq.functions.text import word_pattern
-from critiq.operators.common import first_by_time, has, review_order, top_k_per_group
+from critiq.operators.common import grouped_with_first, has, hash_cuts, hash_key, top_k_per_group
 
 # English stop words of the tokenizer.
 EN_STOP_WORDS = sorted({
@@ -61,11 +62,23 @@ RISK_BINS = [(0.0, "low"), (0.02, "medium"), (0.05, "high")]   # upper edges; ab
 LABEL_NAMES = {1: "positive", 0: "neutral", -1: "negative"}
 
 
+LANGS = ("en", "zh")
+MIN_LEN = {"en": 3, "zh": 2}
+
+
 def detect_lang(text: Column) -> Column:
-    """Per-row language guess: more than 30 % CJK ideographs -> zh, else en."""
+    """Per-row language guess: more than 30 % CJK ideographs -> zh, else en.
+    Texts without any ideograph are told by one scan and not counted."""
     t = F.coalesce(text, F.lit(""))
     cjk = F.length(F.regexp_replace(t, f"[^{CJK}]", ""))
-    return F.when(cjk > F.length(t) * F.lit(0.3), F.lit("zh")).otherwise(F.lit("en"))
+    return F.when(t.rlike(f"[{CJK}]") & (cjk > F.length(t) * F.lit(0.3)), F.lit("zh")).otherwise(F.lit("en"))
+
+
+def by_lang(lang: str | None, row_lang: Column, choice) -> Column:
+    """``choice(lang)``; with ``lang`` None the choice of each row's own language."""
+    if lang is not None:
+        return choice(lang)
+    return F.when(row_lang == "zh", choice("zh")).otherwise(choice("en"))
 
 
 def _en_runs(text: Column, min_len: int) -> Column:
@@ -80,44 +93,67 @@ def _zh_runs(text: Column, min_len: int) -> Column:
     return F.filter(F.split(F.trim(cleaned), " +"), lambda w: F.length(w) >= min_len)
 
 
+def _raw_tokens(text: Column, lang: str | None, row_lang: Column, given: Column | None = None,
+                min_len: int | None = None) -> Column:
+    """Tokens before the stop words go.  ``given``: tokens that the caller made
+    (say, with a word segmenter); the language's least length holds for them too."""
+    def of(name: str) -> Column:
+        n = MIN_LEN[name] if min_len is None else min_len
+        if given is not None:
+            return F.filter(F.coalesce(given, F.array().cast("array<string>")), lambda w: F.length(w) >= n)
+        return _en_runs(text, n) if name == "en" else _zh_runs(text, n)
+
+    return by_lang(lang, row_lang, of)
+
+
 def _stops(lang: str, stop_words) -> list[str]:
     if stop_words is not None:
         return list(stop_words)
     return EN_STOP_WORDS if lang == "en" else ZH_STOP_WORDS
 
 
-def tokens(text: Column, lang: str = "en", stop_words: list[str] | None = None,
-           min_len: int | None = None) -> Column:
+def tokens(text: Column, lang: str | None = None, stop_words: list[str] | None = None,
+           min_len: int | None = None, given: Column | None = None) -> Column:
     """Token array of one text (duplicates kept).  en: lower-case ``[a-z']``
     runs of at least 3 characters, minus stop words.  zh: non-CJK-non-letter
-    -> space, split on white space, at least 2 characters, minus stop words."""
-    n = (3 if lang == "en" else 2) if min_len is None else min_len
-    raw = _en_runs(text, n) if lang == "en" else _zh_runs(text, n)
-    stops = _stops(lang, stop_words)
-    return F.filter(raw, lambda w: ~w.isin(*stops))
+    -> space, split on white space, at least 2 characters, minus stop words.
+    ``lang`` None: the row's own language picks tokenizer and stop words.
+    ``given``: an array of caller-made tokens to use in place of the tokenizer's."""
+    row_lang = detect_lang(text)
+    return by_lang(lang, row_lang, lambda name: F.filter(
+        _raw_tokens(text, name, row_lang, given, min_len), lambda w: ~w.isin(*_stops(name, stop_words))))
 
 
-def distinct_tokens(text: Column, lang: str = "en", stop_words=None, min_len: int | None = None) -> Column:
+def distinct_tokens(text: Column, lang: str | None = None, stop_words=None, min_len: int | None = None,
+                    given: Column | None = None) -> Column:
     """Distinct tokens of one text; ``array_except`` drops stop words and
     duplicates with a hash set, no lambda."""
-    n = (3 if lang == "en" else 2) if min_len is None else min_len
-    raw = _en_runs(text, n) if lang == "en" else _zh_runs(text, n)
-    return F.array_except(raw, F.array(*[F.lit(w) for w in _stops(lang, stop_words)]).cast("array<string>"))
+    row_lang = detect_lang(text)
+    return by_lang(lang, row_lang, lambda name: F.array_except(
+        _raw_tokens(text, name, row_lang, given, min_len),
+        F.array(*[F.lit(w) for w in _stops(name, stop_words)]).cast("array<string>")))
 
 
-def token_rows(df: DataFrame, keys: list[str], lang: str = "en", stop_words=None) -> DataFrame:
+def token_rows(df: DataFrame, keys: list[str], lang: str | None = None, stop_words=None,
+               token_col: str | None = None) -> DataFrame:
     """(keys..., word) rows; only the key columns travel with the tokens.
     The stop-word test runs after the explode as a plain (code-generated)
-    ``NOT IN`` filter."""
-    n = 3 if lang == "en" else 2
-    raw = _en_runs(F.col("review_content"), n) if lang == "en" else _zh_runs(F.col("review_content"), n)
-    out = df.select(*keys, F.explode(raw).alias("word"))
-    return out.where(~F.col("word").isin(*_stops(lang, stop_words)))
+    ``NOT IN`` filter, by the row's language where ``lang`` is None."""
+    text = F.col("review_content")
+    row_lang = F.lit(lang) if lang is not None else detect_lang(text)
+    given = F.col(token_col) if token_col else None
+    if lang is not None:
+        out = df.select(*keys, F.explode(_raw_tokens(text, lang, row_lang, given)).alias("word"))
+        return out.where(~F.col("word").isin(*_stops(lang, stop_words)))
+    raw = _raw_tokens(text, None, F.col("_lang"), given)
+    out = df.select("*", row_lang.alias("_lang")).select(*keys, "_lang", F.explode(raw).alias("word"))
+    keep = by_lang(None, F.col("_lang"), lambda name: ~F.col("word").isin(*_stops(name, stop_words)))
+    return out.where(keep).drop("_lang")
 
 
 def _dims(lang: str, lexicon: dict | None) -> dict:
     if lexicon is not None:
-        return lexicon
+        return lexicon.get(lang, {}) if all(isinstance(v, dict) for v in lexicon.values()) else lexicon
     return EN_DIMENSIONS if lang == "en" else ZH_DIMENSIONS
 
 
@@ -127,53 +163,83 @@ def dimension_hit(text: Column, words: list[str], lang: str = "en") -> Column:
     return t.rlike(pat)
 
 
+def _dimension_hits(df: DataFrame, lexicon: dict | None, lang: str | None, extra: list[Column]) -> tuple[DataFrame, list[tuple[str, list[str]]]]:
+    """(hit columns ``_h0``, ..., ``_en``, ``_zh``, extra...) of every text, and
+    for each dimension its name and the languages that have it.
+
+    With ``lang`` None a text is matched with its own language's words: whole
+    words for en, substrings for zh.  A lexicon {dimension: words} holds for
+    both languages, {"en": {...}, "zh": {...}} for each its own.
+    """
+    text, langs = F.col("review_content"), LANGS if lang is None else (lang,)
+    dims = {name: _dims(name, lexicon) for name in langs}
+    names = list(dict.fromkeys(d for name in langs for d in dims[name]))
+    src = df.select("review_content", (detect_lang(text) if lang is None else F.lit(lang)).alias("_lang"), *extra)
+    rest = [c for c in src.columns if c not in ("review_content", "_lang")]
+    hits = []
+    for i, d in enumerate(names):
+        hit = F.lit(False)
+        for name in reversed(langs):
+            if d in dims[name]:
+                own = dimension_hit(text, dims[name][d], name)
+                hit = own if lang is not None else F.when(F.col("_lang") == name, own).otherwise(hit)
+            elif lang is None:
+                hit = F.when(F.col("_lang") == name, F.lit(False)).otherwise(hit)
+        hits.append(hit.cast("int").alias(f"_h{i}"))
+    marks = [(F.col("_lang") == name).cast("int").alias(f"_{name}") for name in langs]
+    return src.select(*hits, *marks, *rest), [(d, [name for name in langs if d in dims[name]]) for d in names]
+
+
+def _texts_of(dims: list[tuple[str, list[str]]], lang: str | None) -> list[str]:
+    """SQL for each dimension: the number of texts in the languages that have it."""
+    return [" + ".join(f"_n_{name}" for name in langs) for _, langs in dims]
+
+
 def _neg(c: Column) -> Column:
     return F.when(c.try_cast("double") == -1, 1).otherwise(0)
 
 
 # ------------------------------------------------------------------ TXT-1
-def dimension_coverage(df: DataFrame, lexicon: dict | None = None, lang: str = "en") -> DataFrame:
+def dimension_coverage(df: DataFrame, lexicon: dict | None = None, lang: str | None = None) -> DataFrame:
     """dimension, mentions, mention_pct, neg_in_dim_pct: one scan for all
-    dimensions (one conditional sum per dimension), unpivoted by stack."""
-    dims = _dims(lang, lexicon)
+    dimensions (one conditional sum per dimension), unpivoted by stack.
+
+    ``lang`` None: each text is matched with its own language's dimensions,
+    and mention_pct is the share of that language's texts; dimensions of a
+    language without any text are left out.
+    """
     label = F.col("sentiment_label") if has(df, "sentiment_label") else F.lit(None)
-    src = df.select("review_content", label.alias("_lab"))
-    hits = src.select(*[dimension_hit(F.col("review_content"), kws, lang).cast("int").alias(f"_h{i}")
-                        for i, kws in enumerate(dims.values())], _neg(F.col("_lab")).alias("_neg"))
-    aggs = [F.count(F.lit(1)).alias("_n")]
+    hits, dims = _dimension_hits(df, lexicon, lang, [_neg(label).alias("_neg")])
+    aggs = [F.sum(c).alias(f"_n{c}") for c in hits.columns if c in ("_en", "_zh")]
     for i in range(len(dims)):
         aggs += [F.sum(f"_h{i}").alias(f"_m{i}"), F.sum(F.col(f"_h{i}") * F.col("_neg")).alias(f"_x{i}")]
     one = hits.agg(*aggs)
-    parts = ", ".join(f"'{d}', _m{i}, _x{i}" for i, d in enumerate(dims))
-    long = one.selectExpr("_n", f"stack({len(dims)}, {parts}) as (dimension, _m, _x)")
+    parts = ", ".join(f"'{d}', {n}, _m{i}, _x{i}" for i, ((d, _), n) in enumerate(zip(dims, _texts_of(dims, lang))))
+    long = one.selectExpr(f"stack({len(dims)}, {parts}) as (dimension, _n, _m, _x)")
+    if lang is None:
+        long = long.where(F.col("_n") > 0)
     return long.select("dimension", F.col("_m").cast("long").alias("mentions"),
                        rnd(F.col("_m") / F.col("_n") * F.lit(100.0), 1).alias("mention_pct"),
                        rnd(F.col("_x") / F.greatest(F.col("_m"), F.lit(1)) * F.lit(100.0), 1).alias("neg_in_dim_pct"))
 
 
 # ------------------------------------------------------------------ TXT-9 / RUN-1
-def aspect_matrix(df: DataFrame, lexicon: dict | None = None, lang: str = "en") -> DataFrame:
+def aspect_matrix(df: DataFrame, lexicon: dict | None = None, lang: str | None = None) -> DataFrame:
     """dimension, positive_pct, neutral_pct, negative_pct, total_mentions
     (shares among the texts that hit the dimension; null labels count in
-    the denominator)."""
-    dims = _dims(lang, lexicon)
+    the denominator).  Languages as in ``dimension_coverage``."""
     lab = F.col("sentiment_label").try_cast("double") if has(df, "sentiment_label") else F.lit(None).cast("double")
-    src = df.select("review_content", lab.alias("_lab"))
-    lab = F.col("_lab")
-    hits = src.select(*[dimension_hit(F.col("review_content"), kws, lang).cast("int").alias(f"_h{i}")
-                        for i, kws in enumerate(dims.values())],
-                      (lab == 1).cast("int").alias("_p"), (lab == 0).cast("int").alias("_z"),
-                      (lab == -1).cast("int").alias("_n"))
-    aggs = []
+    signs = {"p": 1, "z": 0, "n": -1}
+    hits, dims = _dimension_hits(df, lexicon, lang, [F.coalesce((lab == v).cast("int"), F.lit(0)).alias(f"_{k}") for k, v in signs.items()])
+    aggs = [F.sum(c).alias(f"_n{c}") for c in hits.columns if c in ("_en", "_zh")]
     for i in range(len(dims)):
         h = F.col(f"_h{i}")
-        aggs += [F.sum(h).alias(f"_m{i}"),
-                 F.sum(h * F.coalesce(F.col("_p"), F.lit(0))).alias(f"_p{i}"),
-                 F.sum(h * F.coalesce(F.col("_z"), F.lit(0))).alias(f"_z{i}"),
-                 F.sum(h * F.coalesce(F.col("_n"), F.lit(0))).alias(f"_n{i}")]
+        aggs += [F.sum(h).alias(f"_m{i}"), *[F.sum(h * F.col(f"_{k}")).alias(f"_{k}{i}") for k in signs]]
     one = hits.agg(*aggs)
-    parts = ", ".join(f"'{d}', _m{i}, _p{i}, _z{i}, _n{i}" for i, d in enumerate(dims))
-    long = one.selectExpr(f"stack({len(dims)}, {parts}) as (dimension, _m, _p, _z, _n)")
+    parts = ", ".join(f"'{d}', {n}, _m{i}, _p{i}, _z{i}, _n{i}" for i, ((d, _), n) in enumerate(zip(dims, _texts_of(dims, lang))))
+    long = one.selectExpr(f"stack({len(dims)}, {parts}) as (dimension, _t, _m, _p, _z, _n)")
+    if lang is None:
+        long = long.where(F.col("_t") > 0)
     tot = F.greatest(F.col("_m"), F.lit(1))
     return long.select("dimension",
                        rnd(F.col("_p") / tot * F.lit(100.0), 1).alias("positive_pct"),
@@ -188,10 +254,10 @@ def worst_dimension(matrix: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ TXT-2
 def word_frequency(df: DataFrame, sentiment: str | None = None, top_n: int = 25,
-                   lang: str = "en", stop_words=None) -> DataFrame:
+                   lang: str | None = None, stop_words=None, token_col: str | None = None) -> DataFrame:
     d = df.where(F.col("sentiment") == sentiment) if sentiment and has(df, "sentiment") else df
     d = d.where(F.col("review_content").isNotNull())
-    g = token_rows(d, [], lang, stop_words).groupBy("word").agg(F.count(F.lit(1)).cast("long").alias("count"))
+    g = token_rows(d, [], lang, stop_words, token_col).groupBy("word").agg(F.count(F.lit(1)).cast("long").alias("count"))
     return g.orderBy(F.col("count").desc(), F.col("word")).limit(top_n)
 
 
@@ -203,15 +269,17 @@ def risk_of(score: Column) -> Column:
     return out.otherwise("critical")
 
 
-def neg_signal_words(df: DataFrame, top_n: int = 15, lang: str = "en", stop_words=None) -> DataFrame:
+def neg_signal_words(df: DataFrame, top_n: int = 15, lang: str | None = None, stop_words=None,
+                     token_col: str | None = None) -> DataFrame:
     """Words over-represented in negative reviews: among the 3n most frequent
     negative words, score = c_neg / N_neg - c_pos / N_pos (N = review counts,
     at least 1), top n by score, with a risk band."""
     lab = F.col("sentiment_label").try_cast("double")
-    d = df.select(lab.alias("_l"), "review_content").where(F.col("_l").isin(1.0, -1.0))
+    given = [token_col] if token_col else []
+    d = df.select(lab.alias("_l"), "review_content", *given).where(F.col("_l").isin(1.0, -1.0))
     n = d.agg(F.greatest(F.sum((F.col("_l") == -1).cast("long")), F.lit(1)).alias("_nn"),
               F.greatest(F.sum((F.col("_l") == 1).cast("long")), F.lit(1)).alias("_np"))
-    t = token_rows(d.where(F.col("review_content").isNotNull()), ["_l"], lang, stop_words)
+    t = token_rows(d.where(F.col("review_content").isNotNull()), ["_l"], lang, stop_words, token_col)
     g = t.groupBy("word").agg(F.sum((F.col("_l") == -1).cast("long")).alias("neg_count"),
                               F.sum((F.col("_l") == 1).cast("long")).alias("_pc"))
     cand = g.where(F.col("neg_count") > 0).orderBy(F.col("neg_count").desc(), F.col("word")).limit(3 * top_n)
@@ -222,14 +290,14 @@ def neg_signal_words(df: DataFrame, top_n: int = 15, lang: str = "en", stop_word
 
 
 # ------------------------------------------------------------------ TXT-4
-def shop_keywords(df: DataFrame, top_n: int = 8, lang: str = "en", stop_words=None,
-                  salt_buckets: int = 64) -> DataFrame:
+def shop_keywords(df: DataFrame, top_n: int = 8, lang: str | None = None, stop_words=None,
+                  token_col: str | None = None, salt_buckets: int = 64) -> DataFrame:
     """The top n tokens of every shop (ties by word).  Counts are partially
     aggregated per (shop, word); the per-shop top-k is the two-stage exact
     form, so one shop with a third of all reviews does not land in one task."""
     d = df.where(F.col("shop_id").isNotNull())
-    names = d.groupBy("shop_id").agg(first_by_time("shop_name", review_order(d)).alias("shop_name"))
-    g = (token_rows(d.where(F.col("review_content").isNotNull()), ["shop_id"], lang, stop_words)
+    names = grouped_with_first(d, ["shop_id"], ["shop_name"], {})
+    g = (token_rows(d.where(F.col("review_content").isNotNull()), ["shop_id"], lang, stop_words, token_col)
          .groupBy("shop_id", "word").agg(F.count(F.lit(1)).cast("long").alias("count")))
     top = top_k_per_group(g, ["shop_id"], [F.col("count").desc(), F.col("word")], top_n,
                           salt_col="word", salt_buckets=salt_buckets)
@@ -262,24 +330,22 @@ def training_split(df: DataFrame, train: float = 0.7, val: float = 0.15, min_len
     ``min_len`` characters and a label in {1, 0, -1}.
 
     Default: the split comes from the md5 of the review id (train below 0.7,
-    val below 0.85), row by row, no shuffle.  ``exact=True``: rows ordered by
-    (md5, review id) and cut at int(n * train) and int(n * train) +
-    int(n * val), so the part sizes are exact (one range shuffle)."""
+    val below 0.85), row by row, no shuffle.  ``exact=True``: rows in the order
+    of (md5, review id) are cut at int(n * train) and int(n * train) +
+    int(n * val), so the part sizes are exact where review ids are unique (a
+    repeated id stays in one part).  The two borders are order statistics of
+    the hash, found from counts; the rows themselves are only compared with
+    them, so no text is shuffled here either."""
     lab = F.col("sentiment_label").try_cast("double")
     d = df.where((F.length(F.coalesce(F.col("review_content"), F.lit(""))) >= min_len) & lab.isin(1.0, 0.0, -1.0))
     name = F.when(lab == 1, "positive").when(lab == 0, "neutral").otherwise("negative")
     plat = F.col("platform") if has(df, "platform") else F.lit(None).cast("string")
     if exact:
-        from critiq.operators.common import global_index
-        d = d.withColumn("_h", F.md5(F.col("review_id").cast("string")))
-        # 4,096 buckets from the first three hex digits keep the md5 order
-        d = global_index(d, ["_h", "review_id"], F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
-        n = d.agg(F.count(F.lit(1)).alias("_n"))
-        d = with_scalars(d, n)
         n_tr = F.floor(F.col("_n") * F.lit(float(train)))
         n_va = F.floor(F.col("_n") * F.lit(float(val)))
-        split = (F.when(F.col("_index") < n_tr, "train").when(F.col("_index") < n_tr + n_va, "val")
-                 .otherwise("test"))
+        d = with_scalars(d, hash_cuts(d, "review_id", [n_tr, n_tr + n_va]))
+        own = hash_key("review_id")  # a part of no rows has no border
+        split = F.when(own <= F.col("cuts")[0], "train").when(own <= F.col("cuts")[1], "val").otherwise("test")
     else:
         h = hash_bucket(F.col("review_id"))
         cut1, cut2 = "%04x" % int(train * 0x10000), "%04x" % int((train + val) * 0x10000)
@@ -376,90 +442,141 @@ def aspect_pivot(rows: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ TXT-8a
 TFIDF_TOKEN = "[a-zA-Z]{3,}"
+HEAVY_SHARE = 0.01
 
 
-def tfidf_terms(df: DataFrame, id_col: str = "review_id", min_df: int = 1, digits: int = 6) -> DataFrame:
+def tfidf_terms(df: DataFrame, id_col: str = "review_id", min_df: int = 1, digits: int = 6,
+                heavy_share: float = HEAVY_SHARE) -> DataFrame:
     """Relational TF-IDF: sublinear tf (1 + ln tf) times smoothed idf
     (ln((1 + n) / (1 + df)) + 1), L2-normalised per document.
 
-    Shuffles: (doc, term) counts, document frequency per term, the norm per
-    document; all partial-aggregated, no per-document Python.
+    The texts are tokenised once: every branch below reads the same (doc, term)
+    counts and reuses their shuffle.  Terms in more than ``heavy_share`` of the
+    documents get their idf by a broadcast: there are at most (mean number of
+    different terms in a document) / heavy_share of them, and without them no
+    term of the shuffle join has more rows than heavy_share of the documents.
+    The norm is a window sum over the document, not a join.
     """
     # the id filter is explicit so that every branch below has the same
-    # canonical plan (the doc join would otherwise add it to one branch only
-    # and defeat exchange reuse)
+    # canonical plan (a join would otherwise add it to one branch only and
+    # defeat exchange reuse)
     d = df.where(F.col("review_content").isNotNull() & F.col(id_col).isNotNull())
     t = d.select(F.col(id_col).alias("doc"),
                  F.explode(F.regexp_extract_all(F.lower(F.col("review_content")), F.lit(TFIDF_TOKEN), 0)).alias("term"))
     tf = t.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
     # the tf > 0 test keeps the tf column alive (Catalyst cannot fold it to a
     # plain count), so this branch shares the (doc, term) aggregate and its
-    # exchange with the weight branch: one tokenisation, one token shuffle
+    # exchange with the weight branches: one tokenisation, one token shuffle
     dfreq = (tf.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).cast("long").alias("df"))
                .where(F.col("df") >= min_df))
     n = d.agg(F.count(F.lit(1)).alias("_n"))
     idf = with_scalars(dfreq, n).select(
-        "term", (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
-    w = tf.join(idf, "term").select("doc", "term", ((F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w"))
-    norm = w.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return w.join(norm, "doc").select(F.col("doc").alias(id_col), "term", rnd(F.col("w") / F.col("_norm"), digits).alias("tfidf"))
+        "term", (F.col("df") > F.lit(heavy_share) * F.col("_n")).alias("_heavy"),
+        (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
+    heavy = F.broadcast(idf.where("_heavy").drop("_heavy"))
+    w = tf.join(heavy, "term").unionByName(tf.join(heavy, "term", "left_anti").join(idf.where("not _heavy").drop("_heavy"), "term"))
+    w = w.select("doc", "term", ((F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
+    return w.select(F.col("doc").alias(id_col), "term", rnd(F.col("w") / norm, digits).alias("tfidf"))
 
 
 # ------------------------------------------------------------------ NBK-11/12
-def _gram_partial(m: int):
+BLOCK_WORDS = 512
+STRIP_BLOCKS = 16   # a task holds STRIP_BLOCKS * BLOCK_WORDS ** 2 counts: 32 MB
+CELLS = 1 << 22     # of an indicator matrix
+
+
+def _pair_counter(left: list[str], right: list[str]):
+    """Arrow batches of token arrays -> (i, j, c): how many of them hold the
+    words i < j of all, one of ``left`` and one of ``right``.  Words are numbered
+    in their order, so that numbers sort as words do."""
     import numpy as np
-    import pandas as pd
-
-    def fn(batches):
-        g = np.zeros((m, m), dtype=np.int64)
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            lens = pdf["idx"].map(len).to_numpy()
-            if lens.sum() == 0:
-                continue
-            rows = np.repeat(np.arange(len(pdf)), lens)
-            cols = np.concatenate([np.asarray(a, dtype=np.int64) for a in pdf["idx"] if len(a)])
-            x = np.zeros((len(pdf), m), dtype=np.int64)
-            x[rows, cols] = 1
-            g += x.T @ x
-        i, j = np.nonzero(np.triu(g, 1))
-        yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "c": g[i, j]})
-    return fn
-
-
-def cooccurrence(df: DataFrame, vocab_size: int = 50, top_k: int = 30, lang: str = "en",
-                 stop_words=None, id_col: str = "review_id") -> DataFrame:
-    """Our definition (the original class was removed): among the
-    ``vocab_size`` tokens found in the most reviews, count the reviews that
-    contain each unordered pair; return the ``top_k`` pairs.
-
-    Plan: the vocabulary is a bounded top-m (ordered limit) folded into one
-    row and broadcast; every review maps its distinct tokens to vocabulary
-    positions in place (no (review, word) shuffle), each task adds X^T X of
-    its indicator rows with numpy, and only m x m partial counts are
-    shuffled.  No pair rows are emitted per review.
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    words = sorted({*left, *right})
+    known = pa.array(words, pa.string())
+    number = {w: k for k, w in enumerate(words)}
+    of_left, of_right = (np.array([number[w] for w in side]) for side in (left, right))
+
+    def count(batches):
+        total = np.zeros((len(left), len(right)), np.int64)
+        place = np.full((2, len(words)), -1)
+        place[0, of_left], place[1, of_right] = np.arange(len(left)), np.arange(len(right))
+        step = max(1, CELLS // (len(left) + len(right)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.column(0).slice(at, step)
+                owner = np.repeat(np.arange(len(part)), pc.list_value_length(part).to_numpy(zero_copy_only=False))
+                word = pc.fill_null(pc.index_in(part.flatten(), known), -1).to_numpy(zero_copy_only=False)
+                sides = []
+                for k, side in enumerate((left, right)):
+                    x = np.zeros((len(part), len(side)), np.float32)
+                    to = np.where(word >= 0, place[k][word], -1)
+                    x[owner[to >= 0], to[to >= 0]] = 1
+                    sides.append(x)
+                total += (sides[0].T @ sides[1]).astype(np.int64)  # a part has few rows: exact in float32
+        i, j = np.nonzero(total)
+        a, b, c = of_left[i], of_right[j], total[i, j]
+        # inside the right block both orders of a pair are counted
+        keep = (a < b) | ((a > b) & (place[1][a] < 0))
+        lo, hi = np.minimum(a, b)[keep], np.maximum(a, b)[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(c[keep])], ["i", "j", "c"])
+
+    return words, count
+
+
+def cooccurrence(df: DataFrame, top_k: int = 30, lang: str | None = None, stop_words=None,
+                 token_col: str | None = None, block: int = BLOCK_WORDS, strip: int = STRIP_BLOCKS) -> DataFrame:
+    """word_a, word_b, cooccurrence: the ``top_k`` unordered pairs of tokens that
+    occur together in the most reviews, over all words (our definition; ties by
+    the words).
+
+    Threshold pruning.  The texts are tokenised once, to a table in the shared
+    folder.  The pairs of the ``block`` most frequent words are counted first;
+    the count of the ``top_k``-th is a lower bound, and a pair that reaches it
+    consists of words found in at least that many reviews.  Further blocks of
+    words are counted, each with all blocks before it, as long as their words
+    are that frequent; the bound rises on the way.  A task adds up X^T X of
+    its reviews' indicator rows, so no pair is emitted per review; the driver
+    holds the words of at most ``strip`` + 1 blocks.  Needs jobs of its own to
+    find the bound.
     """
-    d = df.where(F.col("review_content").isNotNull()).select("review_content")
-    toks = distinct_tokens(F.col("review_content"), lang, stop_words)
-    freq = d.select(F.explode(toks).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("_dfreq"))
-    top = freq.orderBy(F.col("_dfreq").desc(), F.col("word")).limit(vocab_size)
-    # one row holding the (at most vocab_size) words in rank order
-    vocab = top.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_dfreq")).alias("o"), F.col("word").alias("w")))),
-                                lambda s: s["w"]).alias("_vocab"))
-    # the vocabulary row is a scalar subquery: computed once, inlined per row
-    vocab_arr = vocab.select("_vocab").scalar()
-    per_doc = d.select(toks.alias("_t"), vocab_arr.alias("_vocab"))
-    # at most vocab_size words per review reach the lambda
-    idx = per_doc.select(F.transform(F.array_intersect("_t", "_vocab"),
-                                     lambda w: (F.array_position(F.col("_vocab"), w) - 1).cast("int")).alias("idx"))
-    part = idx.where(F.size("idx") >= 2).mapInPandas(_gram_partial(vocab_size), "i int, j int, c long")
-    tot = part.groupBy("i", "j").agg(F.sum("c").cast("long").alias("cooccurrence"))
-    named = tot.select("i", "j", "cooccurrence", vocab_arr.alias("_vocab")).select(
-        F.element_at("_vocab", F.col("i") + 1).alias("_a"), F.element_at("_vocab", F.col("j") + 1).alias("_b"),
-        "cooccurrence")
-    named = named.select(F.least("_a", "_b").alias("word_a"), F.greatest("_a", "_b").alias("word_b"), "cooccurrence")
-    return named.orderBy(F.col("cooccurrence").desc(), F.col("word_a"), F.col("word_b")).limit(top_k)
+    spark = df.sparkSession
+    d = df.where(F.col("review_content").isNotNull())
+    toks = distinct_tokens(F.col("review_content"), lang, stop_words, given=F.col(token_col) if token_col else None)
+    toks = materialize(d.select(toks.alias("t")).where(F.size("t") >= 2), "tokens")
+    freq = materialize(toks.select(F.explode("t").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    order = F.struct((-F.col("n")).alias("n"), "word")  # frequent words first
+
+    def words_of(after, upto=None, least: int = 1):
+        """At most ``block`` (n, word), in order, behind ``after``; with ``upto`` all up to it."""
+        rows = freq.where(F.col("n") >= least)
+        for bound, keep in ((after, lambda b: order > b), (upto, lambda b: order <= b)):
+            if bound is not None:
+                rows = rows.where(keep(F.struct(F.lit(-bound[0]).cast("long").alias("n"), F.lit(bound[1]).alias("word"))))
+        return [(r.n, r.word) for r in rows.orderBy(order).limit(block).collect()]
+
+    best = spark.createDataFrame([], "word_a string, word_b string, cooccurrence long")
+    least, ends = 1, []  # ends: the last word of each block
+    while now := words_of(ends[-1] if ends else None, least=least):
+        right = [w for _, w in now]
+        ends.append(now[-1])
+        borders = [None, *ends]
+        for first in range(0, len(ends), strip):
+            mine = range(first, min(first + strip, len(ends)))
+            left = [w for b in mine for _, w in (now if b == len(ends) - 1 else words_of(borders[b], borders[b + 1]))]
+            words, count = _pair_counter(left, right)
+            pairs = toks.mapInArrow(count, "i int, j int, c long").groupBy("i", "j").agg(F.sum("c").alias("cooccurrence"))
+            pairs = pairs.orderBy(F.col("cooccurrence").desc(), "i", "j").limit(top_k)
+            names = spark.createDataFrame(list(enumerate(words)), "k int, word string")  # some blocks of words
+            for side, k in (("word_a", "i"), ("word_b", "j")):
+                pairs = pairs.join(names.select(F.col("k").alias(k), F.col("word").alias(side)), k)
+            best = best.unionByName(pairs.select("word_a", "word_b", "cooccurrence"))
+            best = materialize(best.orderBy(F.col("cooccurrence").desc(), "word_a", "word_b").limit(top_k), "pairs")
+            n, bound = best.agg(F.count(F.lit(1)), F.min("cooccurrence")).first()
+            least = max(least, bound) if n == top_k else least
+    return best
 
 
 def cooccurrence_matrix(pairs: DataFrame, top_words: int = 14) -> DataFrame:

@@ -8,30 +8,23 @@ from a short lineage that survives lost executors.
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from critiq.functions.num import release_shared
+from critiq.functions.num import sharing
+from critiq.functions.tables import materialize
 from critiq.operators import alerts as al
 from critiq.operators import ml, prep, sequential as seq, tabular as tab, text as tx
-from critiq.session import checkpoint_dir
 from critiq.sinks import markdown_lines, write_report, write_text_lines
 from critiq.sources.readers import load
 
 MODULES = ("tabular", "sequential", "text", "strategy")
 
 
-def materialize(df: DataFrame, spark: SparkSession, name: str = "cleaned") -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back."""
-    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:8]}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def analyses(df: DataFrame, modules=MODULES, lexicon: dict | None = None, lang: str = "en",
+def analyses(df: DataFrame, modules=MODULES, lexicon: dict | None = None, lang: str | None = None,
              with_models: bool = True) -> dict:
-    """Lazy result tables by name (models are fitted when asked for)."""
+    """Lazy result tables by name (models are fitted when asked for).  ``lang``
+    None: every text operator and model picks the language row by row."""
     r: dict[str, DataFrame] = {}
     if "tabular" in modules:
         r["eda"] = tab.eda_summary(df)
@@ -59,24 +52,24 @@ def analyses(df: DataFrame, modules=MODULES, lexicon: dict | None = None, lang:
         r["training_set"] = tx.training_split(df)
         r["absa_rows"] = tx.aspect_rows(df) if "absa_aspects" in df.columns else None
         if with_models:
-            r["topics"] = ml.topic_model(df).topics
-            r["classifier_report"] = ml.sentiment_classifier(df).report
+            r["topics"] = ml.topic_model(df, lang=lang).topics
+            r["classifier_report"] = ml.sentiment_classifier(df, lang=lang).report
     if "strategy" in modules:
         r["alerts"] = al.alerts(df)
     return r
 
 
 def run(spark: SparkSession, source: str, out_dir: str, modules=MODULES, lexicon: dict | None = None,
-        lang: str = "en", with_models: bool = True, fmt: str = "parquet", **load_kwargs) -> DataFrame:
+        lang: str | None = None, with_models: bool = True, fmt: str = "parquet", **load_kwargs) -> DataFrame:
     """Run the whole analysis on ``source`` and write every table under
     ``out_dir``; returns the manifest (name, rows, columns)."""
     raw = load(spark, source, **load_kwargs)
-    clean = materialize(prep.preprocess(raw), spark)
-    res = analyses(clean, modules, lexicon, lang, with_models)
-    manifest = write_report(res, out_dir, fmt)
-    md = markdown_lines(res.get("eda"), res.get("ranking"), res.get("alerts"))
-    write_text_lines(md.orderBy("line_no").select("line").coalesce(1), os.path.join(out_dir, "report_md"))
-    # the manifest is built from driver-side counts, so the shared aggregates
-    # of this run can be dropped now
-    release_shared()
+    clean = materialize(prep.preprocess(raw), "cleaned")
+    # the manifest is built while writing, so the aggregates that this run
+    # shares between its plans can go at the end; those of other runs stay
+    with sharing():
+        res = analyses(clean, modules, lexicon, lang, with_models)
+        manifest = write_report(res, out_dir, fmt)
+        md = markdown_lines(res.get("eda"), res.get("ranking"), res.get("alerts"))
+        write_text_lines(md.orderBy("line_no").select("line").coalesce(1), os.path.join(out_dir, "report_md"))
     return manifest

@@ -5,7 +5,7 @@ from __future__ import annotations
 from critiq.functions.num import sql_rnd as R
 from critiq.operators import alerts as al
 from critiq.plans.registry import register
-from critiq.sources.fixtures import rv_events, rv_orders, with_views
+from critiq.sources.fixtures import ALERT_COLS, rv_events, rv_orders, with_views
 
 
 def alerts_sql(view: str) -> str:
@@ -26,7 +26,7 @@ def alerts_sql(view: str) -> str:
     return with_views(f""",
 ref AS (SELECT max(review_time) AS ref FROM {view} WHERE review_time IS NOT NULL),
 g AS (SELECT shop_id, count(*) AS n,
-        arg_min(shop_name, ((review_time, review_id), shop_name)) FILTER (WHERE shop_name IS NOT NULL) AS shop_name,
+        arg_min(shop_name, (review_time, shop_name)) FILTER (WHERE shop_name IS NOT NULL) AS shop_name,
         avg(review_score) AS score, {', '.join(cols)}
       FROM {view}, ref WHERE review_time IS NOT NULL AND shop_id IS NOT NULL GROUP BY shop_id HAVING count(*) >= 3),
 l AS (SELECT shop_id, shop_name, score, {lvl_case} AS level, {rate_case} AS rate, {days_case} AS days,
@@ -40,7 +40,7 @@ alerts AS (
 
 @register("alerts", alerts_sql("rv_orders") + "\nSELECT * FROM alerts")
 def q_alerts(spark, sf_dir):
-    return al.alerts(rv_orders(spark, sf_dir))
+    return al.alerts(rv_orders(spark, sf_dir, only=ALERT_COLS))
 
 
 @register("alerts_events", alerts_sql("rv_events") + "\nSELECT * FROM alerts")
@@ -51,7 +51,7 @@ def q_alerts_events(spark, sf_dir):
 @register("alert_levels", alerts_sql("rv_orders") +
           "\nSELECT level, CAST(count(*) AS BIGINT) AS shop_count FROM alerts GROUP BY level")
 def q_alert_levels(spark, sf_dir):
-    return al.alert_levels(al.alerts(rv_orders(spark, sf_dir)))
+    return al.alert_levels(al.alerts(rv_orders(spark, sf_dir, only=ALERT_COLS)))
 
 
 @register("alert_histogram", alerts_sql("rv_events") + """,

@@ -9,7 +9,7 @@ from critiq.operators import tabular as tab
 from critiq.plans.q_sequential import MONTHLY, rfm_sql
 from critiq.plans.q_tabular import CORR_COLS, _corr_sql, bayes_sql
 from critiq.plans.registry import register
-from critiq.sources.fixtures import rv_docs, rv_events, rv_orders, with_views
+from critiq.sources.fixtures import ALERT_COLS, RFM_COLS, TREND_COLS, rv_docs, rv_events, rv_orders, with_views
 
 
 @register("star_distribution", with_views(f""",
@@ -18,7 +18,7 @@ t AS (SELECT count(*) AS t FROM d)
 SELECT review_score, CAST(count(*) AS BIGINT) AS count, {R('CAST(count(*) AS DOUBLE) / min(t) * 100.0e0', 1)} AS pct
 FROM d, t GROUP BY review_score""", "rv_orders"))
 def q_star_distribution(spark, sf_dir):
-    return ex.value_distribution(rv_orders(spark, sf_dir), "review_score")
+    return ex.value_distribution(rv_orders(spark, sf_dir, only="review_score"), "review_score")
 
 
 @register("sentiment_distribution", with_views("""
@@ -43,14 +43,14 @@ def q_length_box(spark, sf_dir):
 SELECT city, CAST(count(*) AS BIGINT) AS count FROM rv_orders WHERE city IS NOT NULL
 GROUP BY city ORDER BY count DESC, city LIMIT 12""", "rv_orders"))
 def q_top_cities(spark, sf_dir):
-    return ex.top_values(rv_orders(spark, sf_dir), "city", 12)
+    return ex.top_values(rv_orders(spark, sf_dir, only="city"), "city", 12)
 
 
 @register("coverage", with_views("""
 SELECT CAST(count(DISTINCT shop_id) AS BIGINT) AS shops, CAST(count(DISTINCT city) AS BIGINT) AS cities,
        CAST(count(DISTINCT district) AS BIGINT) AS districts FROM rv_orders""", "rv_orders"))
 def q_coverage(spark, sf_dir):
-    return ex.coverage(rv_orders(spark, sf_dir))
+    return ex.coverage(rv_orders(spark, sf_dir, only="shop_id city district"))
 
 
 @register("top_ranking", bayes_sql("rv_orders", 10).replace(
@@ -58,7 +58,7 @@ def q_coverage(spark, sf_dir):
     "SELECT *, CAST(dense_rank() OVER (ORDER BY bayes_score DESC) AS INTEGER) AS bayes_rank FROM b "
     "ORDER BY bayes_rank, shop_id LIMIT 20"))
 def q_top_ranking(spark, sf_dir):
-    r = tab.bayesian_ranking(rv_orders(spark, sf_dir), min_reviews=10)
+    r = tab.bayesian_ranking(rv_orders(spark, sf_dir, only=ALERT_COLS + " city district category"), min_reviews=10)
     return r.orderBy("bayes_rank", "shop_id").limit(20)
 
 
@@ -69,7 +69,7 @@ sub AS (SELECT * FROM rk WHERE review_count >= 15)
 SELECT CAST(count(*) AS BIGINT) AS shops, {R('avg(avg_score)', 4)} AS mean_avg_score,
        {R('avg(neg_rate)', 4)} AS mean_neg_rate FROM sub""").replace("FROM g, mu)\n, rk", "FROM g, mu), rk"))
 def q_score_vs_negrate(spark, sf_dir):
-    return ex.score_vs_negrate(tab.bayesian_ranking(rv_orders(spark, sf_dir), min_reviews=5))
+    return ex.score_vs_negrate(tab.bayesian_ranking(rv_orders(spark, sf_dir, only=ALERT_COLS + " city district category"), min_reviews=5))
 
 
 def _lower_sql() -> str:
@@ -82,7 +82,7 @@ def _lower_sql() -> str:
 
 @register("correlation_lower", _lower_sql())
 def q_correlation_lower(spark, sf_dir):
-    return ex.lower_triangle(tab.correlation(rv_orders(spark, sf_dir), CORR_COLS), CORR_COLS)
+    return ex.lower_triangle(tab.correlation(rv_orders(spark, sf_dir, only=" ".join(CORR_COLS)), CORR_COLS), CORR_COLS)
 
 
 HOURLY = """h AS (SELECT CAST(hour(review_time) AS INTEGER) AS review_hour, CAST(count(review_id) AS BIGINT) AS count
@@ -112,7 +112,7 @@ FROM rv_orders WHERE city IS NOT NULL GROUP BY city)"""
 
 @register("city_summary", with_views(f", {CITY}\nSELECT * FROM cs", "rv_orders"))
 def q_city_summary(spark, sf_dir):
-    return ex.city_summary(rv_orders(spark, sf_dir))
+    return ex.city_summary(rv_orders(spark, sf_dir, only="review_id city review_score shop_id sentiment_label"))
 
 
 @register("city_quadrants", with_views(f""", {CITY},
@@ -123,7 +123,7 @@ SELECT city, review_count, avg_score, shop_count, neg_rate,
        WHEN avg_score >= ms THEN 'niche quality' ELSE 'weak' END AS quadrant
 FROM b, m""", "rv_orders"))
 def q_city_quadrants(spark, sf_dir):
-    return ex.city_quadrants(ex.city_summary(rv_orders(spark, sf_dir)))
+    return ex.city_quadrants(ex.city_summary(rv_orders(spark, sf_dir, only="review_id city review_score shop_id sentiment_label")))
 
 
 def _mm(c: str) -> str:
@@ -144,7 +144,7 @@ SELECT user_id, review_count, total_likes, shop_count, influence_score,
        WHEN influence_score >= q[3] THEN 'Active' ELSE 'Regular' END AS kol_tier
 FROM s, q""", "rv_orders"))
 def q_influence_rank(spark, sf_dir):
-    return ex.influence_rank(rv_orders(spark, sf_dir))
+    return ex.influence_rank(rv_orders(spark, sf_dir, only="review_id user_id shop_id like_count"))
 
 
 def _mm2(c: str) -> str:
@@ -161,20 +161,20 @@ SELECT city, review_count, avg_score, neg_rate, {R('vol', 4)} AS log_volume, sit
   CASE WHEN site_score >= q[3] THEN 'A' WHEN site_score >= q[2] THEN 'B' WHEN site_score >= q[1] THEN 'C' ELSE 'D' END AS grade
 FROM s, q""", "rv_orders"))
 def q_site_score(spark, sf_dir):
-    return ex.site_score(ex.city_summary(rv_orders(spark, sf_dir)))
+    return ex.site_score(ex.city_summary(rv_orders(spark, sf_dir, only="review_id city review_score shop_id sentiment_label")))
 
 
 @register("monthly_flagged", with_views(f", m AS ({MONTHLY.format(v='rv_orders').strip()})\n"
                                         "SELECT *, year_month >= '1996-01' AS anomaly_period FROM m", "rv_orders"))
 def q_monthly_flagged(spark, sf_dir):
-    return ex.flag_period(seq.monthly_trend(rv_orders(spark, sf_dir)), since="1996-01")
+    return ex.flag_period(seq.monthly_trend(rv_orders(spark, sf_dir, only=TREND_COLS)), since="1996-01")
 
 
 @register("segment_sample", with_views(rfm_sql("rv_orders") + """,
 rn AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY md5(user_id), user_id) AS k FROM rfm)
 SELECT * EXCLUDE (k) FROM rn WHERE k <= 600""", "rv_orders"))
 def q_segment_sample(spark, sf_dir):
-    return ex.segment_sample(seq.rfm_segmentation(rv_orders(spark, sf_dir)), 600)
+    return ex.segment_sample(seq.rfm_segmentation(rv_orders(spark, sf_dir, only=RFM_COLS)), 600)
 
 
 @register("segment_share", with_views(rfm_sql("rv_orders") + f"""
@@ -182,4 +182,4 @@ SELECT segment, CAST(count(*) AS BIGINT) AS user_count,
        {R('CAST(count(*) AS DOUBLE) / (SELECT CAST(count(*) AS DOUBLE) FROM rfm) * 100.0e0', 1)} AS pct
 FROM rfm GROUP BY segment""", "rv_orders"))
 def q_segment_share(spark, sf_dir):
-    return ex.segment_share(seq.rfm_segmentation(rv_orders(spark, sf_dir)))
+    return ex.segment_share(seq.rfm_segmentation(rv_orders(spark, sf_dir, only=RFM_COLS)))

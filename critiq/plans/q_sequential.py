@@ -5,7 +5,7 @@ from __future__ import annotations
 from critiq.functions.num import sql_rnd as R
 from critiq.operators import sequential as seq
 from critiq.plans.registry import register
-from critiq.sources.fixtures import rv_events, rv_orders, with_views
+from critiq.sources.fixtures import RFM_COLS, TREND_COLS, rv_events, rv_orders, with_views
 
 
 @register("hourly_pattern", with_views("""
@@ -23,7 +23,7 @@ FROM {v} WHERE review_time IS NOT NULL GROUP BY 1"""
 
 @register("monthly_trend", with_views(MONTHLY.format(v="rv_orders"), "rv_orders"))
 def q_monthly(spark, sf_dir):
-    return seq.monthly_trend(rv_orders(spark, sf_dir))
+    return seq.monthly_trend(rv_orders(spark, sf_dir, only=TREND_COLS))
 
 
 def burst_sql(view: str, window: int = 7, threshold: float = 2.0) -> str:
@@ -41,7 +41,7 @@ SELECT *, coalesce(z_score >= {float(threshold)!r}e0, false) AS alert FROM z""",
 
 @register("burst_detection", burst_sql("rv_orders"))
 def q_burst(spark, sf_dir):
-    return seq.burst_detection(rv_orders(spark, sf_dir))
+    return seq.burst_detection(rv_orders(spark, sf_dir, only=TREND_COLS))
 
 
 @register("burst_detection_events", burst_sql("rv_events"))
@@ -53,7 +53,7 @@ def q_burst_events(spark, sf_dir):
     "SELECT *, coalesce(z_score >= 2.0e0, false) AS alert FROM z",
     "SELECT *, true AS alert FROM z WHERE coalesce(z_score >= 2.0e0, false)"))
 def q_burst_days(spark, sf_dir):
-    b = seq.burst_detection(rv_orders(spark, sf_dir))
+    b = seq.burst_detection(rv_orders(spark, sf_dir, only=TREND_COLS))
     return b.where("alert")
 
 
@@ -69,7 +69,7 @@ c2 AS (SELECT year_month, count, avg_score, trend, count - coalesce(trend, mc) A
 
 @register("cma_decomposition", with_views(cma_sql("rv_orders") + "\nSELECT * FROM c2", "rv_orders"))
 def q_cma(spark, sf_dir):
-    return seq.trend_decomposition(rv_orders(spark, sf_dir), method="cma")
+    return seq.trend_decomposition(rv_orders(spark, sf_dir, only=TREND_COLS), method="cma")
 
 
 @register("cma_decomposition_events", with_views(cma_sql("rv_events") + "\nSELECT * FROM c2", "rv_events"))
@@ -92,23 +92,23 @@ SELECT strftime(CAST(last || '-01' AS DATE) + to_months(CAST(i AS INTEGER)), '%Y
 
 @register("trend_forecast", with_views(cma_sql("rv_orders") + FORECAST, "rv_orders"))
 def q_forecast(spark, sf_dir):
-    d = seq.trend_decomposition(rv_orders(spark, sf_dir), method="cma")
+    d = seq.trend_decomposition(rv_orders(spark, sf_dir, only=TREND_COLS), method="cma")
     return seq.forecast_trend(d, steps=6)
 
 
 @register("stl_decomposition")
 def q_stl(spark, sf_dir):
-    return seq.trend_decomposition(rv_orders(spark, sf_dir))
+    return seq.trend_decomposition(rv_orders(spark, sf_dir, only=TREND_COLS))
 
 
 @register("stl_by_city")
 def q_stl_city(spark, sf_dir):
-    return seq.trend_decomposition(rv_orders(spark, sf_dir), key="city")
+    return seq.trend_decomposition(rv_orders(spark, sf_dir, only=TREND_COLS + " city"), key="city")
 
 
 @register("stl_forecast")
 def q_stl_forecast(spark, sf_dir):
-    return seq.forecast_trend(seq.trend_decomposition(rv_orders(spark, sf_dir)), steps=6)
+    return seq.forecast_trend(seq.trend_decomposition(rv_orders(spark, sf_dir, only=TREND_COLS)), steps=6)
 
 
 def _qscore(x: str, e: str, reverse: bool) -> str:
@@ -140,7 +140,7 @@ rfm AS (SELECT user_id, R, F, {R('M', 2)} AS M, R_score, F_score, M_score, rfm_t
 
 @register("rfm_rule", with_views(rfm_sql("rv_orders") + "\nSELECT * FROM rfm", "rv_orders"))
 def q_rfm(spark, sf_dir):
-    return seq.rfm_segmentation(rv_orders(spark, sf_dir))
+    return seq.rfm_segmentation(rv_orders(spark, sf_dir, only=RFM_COLS))
 
 
 @register("rfm_rule_collapsed", with_views(rfm_sql("rv_events") + "\nSELECT * FROM rfm", "rv_events"))
@@ -153,4 +153,4 @@ SELECT segment, CAST(count(user_id) AS BIGINT) AS user_count, {R('avg(R_score)',
        {R('avg(F_score)', 2)} AS avg_F_score, {R('avg(M_score)', 2)} AS avg_M_score
 FROM rfm GROUP BY segment""", "rv_orders"))
 def q_rfm_means(spark, sf_dir):
-    return seq.rfm_segment_means(seq.rfm_segmentation(rv_orders(spark, sf_dir)))
+    return seq.rfm_segment_means(seq.rfm_segmentation(rv_orders(spark, sf_dir, only=RFM_COLS)))

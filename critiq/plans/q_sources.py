@@ -57,7 +57,7 @@ def q_raw_to_reviews(spark, sf_dir):
 
 
 SHOP_DIM_SQL = with_views(f""",
-k AS (SELECT *, (coalesce(TRY_CAST(date AS TIMESTAMP), TIMESTAMP '9999-12-31 00:00:00'), {_RID}, name IS NULL, coalesce(name, ''), categories IS NULL, coalesce(categories, ''), city IS NULL, coalesce(city, ''), state IS NULL, coalesce(state, ''), address IS NULL, coalesce(address, ''), stars_x IS NULL, coalesce(stars_x, -1.0e0), review_count IS NULL, coalesce(review_count, -1)) AS o
+k AS (SELECT *, (coalesce(TRY_CAST(date AS TIMESTAMP), TIMESTAMP '9999-12-31 00:00:00'), name IS NULL, coalesce(name, ''), categories IS NULL, coalesce(categories, ''), city IS NULL, coalesce(city, ''), state IS NULL, coalesce(state, ''), address IS NULL, coalesce(address, ''), stars_x IS NULL, coalesce(stars_x, -1.0e0), review_count IS NULL, coalesce(review_count, -1)) AS o
       FROM rv_raw WHERE business_id IS NOT NULL),
 g0 AS (SELECT business_id AS shop_id, arg_min(struct_pack(name, categories, city, state, address, stars_x, review_count), o) AS r
       FROM k GROUP BY business_id),
@@ -138,7 +138,7 @@ SELECT review_id, shop_id, review_score FROM rv_orders ORDER BY md5(review_id),
 @register("md5_sample", SAMPLE_SQL)
 def q_md5_sample(spark, sf_dir):
     from critiq.sources.readers import hash_sample
-    return hash_sample(rv_orders(spark, sf_dir).select("review_id", "shop_id", "review_score"), "review_id", 500)
+    return hash_sample(rv_orders(spark, sf_dir, only="review_id shop_id review_score"), "review_id", 500)
 
 
 @register("category_of", with_views(f"""

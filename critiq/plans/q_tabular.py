@@ -5,7 +5,7 @@ from __future__ import annotations
 from critiq.functions.num import sql_rnd as R
 from critiq.operators import tabular as tab
 from critiq.plans.registry import register
-from critiq.sources.fixtures import rv_events, rv_orders, with_views
+from critiq.sources.fixtures import ALERT_COLS, rv_events, rv_orders, with_views
 
 Z = tab.WILSON_Z
 Z2 = f"{Z * Z!r}e0"
@@ -13,7 +13,7 @@ ZL = f"{Z!r}e0"
 
 
 def _first(c: str) -> str:
-    return f"arg_min({c}, ((review_time, review_id), {c})) FILTER (WHERE {c} IS NOT NULL)"
+    return f"arg_min({c}, (review_time, {c})) FILTER (WHERE {c} IS NOT NULL)"
 
 
 def _shop_stats_sql(view: str, extras: list[str], min_reviews: int) -> str:
@@ -64,12 +64,12 @@ FROM w3"""
 
 @register("bayesian_ranking", bayes_sql("rv_orders"))
 def q_bayesian_ranking(spark, sf_dir):
-    return tab.bayesian_ranking(rv_orders(spark, sf_dir), min_reviews=5)
+    return tab.bayesian_ranking(rv_orders(spark, sf_dir, only=ALERT_COLS + " city district category"), min_reviews=5)
 
 
 @register("wilson_ranking", wilson_sql("rv_orders"))
 def q_wilson_ranking(spark, sf_dir):
-    return tab.wilson_ranking(rv_orders(spark, sf_dir), min_reviews=5)
+    return tab.wilson_ranking(rv_orders(spark, sf_dir, only=ALERT_COLS + " city category"), min_reviews=5)
 
 
 @register("wilson_ranking_events", wilson_sql("rv_events", extras=()))
@@ -94,7 +94,7 @@ FROM top, mm GROUP BY 1"""
 @register("rank_drift_hist", _drift_hist_sql())
 def q_rank_drift_hist(spark, sf_dir):
     from critiq.operators.explore import drift_histogram
-    return drift_histogram(tab.wilson_ranking(rv_orders(spark, sf_dir), min_reviews=10), bins=20)
+    return drift_histogram(tab.wilson_ranking(rv_orders(spark, sf_dir, only=ALERT_COLS + " city category"), min_reviews=10), bins=20)
 
 
 EDA_SQL = """
@@ -112,7 +112,7 @@ SELECT metric, value FROM (
 
 @register("eda_summary", with_views(EDA_SQL, "rv_orders"))
 def q_eda_summary(spark, sf_dir):
-    return tab.eda_summary(rv_orders(spark, sf_dir))
+    return tab.eda_summary(rv_orders(spark, sf_dir, only="shop_id user_id city review_score sentiment content_len"))
 
 
 def _corr_sql(view: str, cols: list[str]) -> str:
@@ -136,4 +136,4 @@ CORR_COLS = ["review_score", "like_count", "reply_count", "content_len", "sentim
 
 @register("correlation", with_views(_corr_sql("rv_orders", CORR_COLS), "rv_orders").replace("\n, one", ",\none", 1))
 def q_correlation(spark, sf_dir):
-    return tab.correlation(rv_orders(spark, sf_dir), CORR_COLS)
+    return tab.correlation(rv_orders(spark, sf_dir, only=" ".join(CORR_COLS)), CORR_COLS)

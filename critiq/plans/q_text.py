@@ -6,7 +6,7 @@ from critiq.functions.num import sql_rnd as R
 from critiq.functions.text import word_pattern
 from critiq.operators import text as tx
 from critiq.plans.registry import register
-from critiq.sources.fixtures import rv_docs, with_views
+from critiq.sources.fixtures import rv_docs, rv_mixed, with_views
 
 # The test lexicon (whole lower-case words) used by the checks;
 # the invented test prose contains none of the default restaurant keywords.
@@ -86,10 +86,11 @@ def q_word_frequency_neg(spark, sf_dir):
     return tx.word_frequency(rv_docs(spark, sf_dir), sentiment="negative", top_n=25)
 
 
-NEG_SIGNAL_SQL = with_views(f""",
-d AS (SELECT CAST(sentiment_label AS DOUBLE) AS l, review_content FROM rv_docs WHERE sentiment_label IN (1, -1)),
+def _neg_signal_sql(view: str, tokens: str) -> str:
+    return with_views(f""",
+d AS (SELECT CAST(sentiment_label AS DOUBLE) AS l, review_content FROM {view} WHERE sentiment_label IN (1, -1)),
 n AS (SELECT greatest(sum(CASE WHEN l = -1 THEN 1 ELSE 0 END), 1) AS nn, greatest(sum(CASE WHEN l = 1 THEN 1 ELSE 0 END), 1) AS np FROM d),
-t AS (SELECT l, unnest({tok_sql()}) AS word FROM d WHERE review_content IS NOT NULL),
+t AS (SELECT l, unnest({tokens}) AS word FROM d WHERE review_content IS NOT NULL),
 g AS (SELECT word, CAST(sum(CASE WHEN l = -1 THEN 1 ELSE 0 END) AS BIGINT) AS neg_count,
              sum(CASE WHEN l = 1 THEN 1 ELSE 0 END) AS pc FROM t GROUP BY word),
 c AS (SELECT * FROM g WHERE neg_count > 0 ORDER BY neg_count DESC, word LIMIT 45),
@@ -97,16 +98,16 @@ s AS (SELECT word, neg_count, {R('CAST(neg_count AS DOUBLE) / CAST(nn AS DOUBLE)
 b AS (SELECT * FROM s ORDER BY neg_score DESC, neg_count DESC, word LIMIT 15)
 SELECT word, neg_count, neg_score,
   CASE WHEN neg_score <= 0.0e0 THEN 'low' WHEN neg_score <= 0.02e0 THEN 'medium' WHEN neg_score <= 0.05e0 THEN 'high'
-       ELSE 'critical' END AS risk FROM b""", "rv_docs")
+       ELSE 'critical' END AS risk FROM b""", view)
 
 
-@register("neg_signal_words", NEG_SIGNAL_SQL)
+@register("neg_signal_words", _neg_signal_sql("rv_docs", tok_sql()))
 def q_neg_signal(spark, sf_dir):
     return tx.neg_signal_words(rv_docs(spark, sf_dir), top_n=15)
 
 
 SHOP_KW_SQL = with_views(f""",
-names AS (SELECT shop_id, arg_min(shop_name, (review_id, shop_name)) FILTER (WHERE shop_name IS NOT NULL) AS shop_name
+names AS (SELECT shop_id, min(shop_name) AS shop_name
           FROM rv_docs WHERE shop_id IS NOT NULL GROUP BY shop_id),
 t AS (SELECT shop_id, unnest({tok_sql()}) AS word FROM rv_docs WHERE shop_id IS NOT NULL AND review_content IS NOT NULL),
 g AS (SELECT shop_id, word, CAST(count(*) AS BIGINT) AS count FROM t GROUP BY 1, 2),
@@ -213,16 +214,14 @@ def q_tfidf(spark, sf_dir):
 
 
 COOC_CTE = f"""dt AS (SELECT DISTINCT review_id AS doc, unnest({tok_sql()}) AS word FROM rv_docs WHERE review_content IS NOT NULL),
-v AS (SELECT word, count(*) AS c FROM dt GROUP BY word ORDER BY c DESC, word LIMIT 50),
-h AS (SELECT dt.* FROM dt JOIN v USING (word)),
 pr AS (SELECT a.word AS word_a, b.word AS word_b, CAST(count(*) AS BIGINT) AS cooccurrence
-       FROM h a JOIN h b ON a.doc = b.doc AND a.word < b.word GROUP BY 1, 2
+       FROM dt a JOIN dt b ON a.doc = b.doc AND a.word < b.word GROUP BY 1, 2
        ORDER BY cooccurrence DESC, word_a, word_b LIMIT 30)"""
 
 
 @register("cooccurrence", with_views(f", {COOC_CTE}\nSELECT * FROM pr", "rv_docs"))
 def q_cooccurrence(spark, sf_dir):
-    return tx.cooccurrence(rv_docs(spark, sf_dir), vocab_size=50, top_k=30)
+    return tx.cooccurrence(rv_docs(spark, sf_dir), top_k=30)
 
 
 @register("cooccurrence_matrix", with_views(f""", {COOC_CTE},
@@ -233,7 +232,7 @@ bth AS (SELECT word_a AS row_word, word_b AS col_word, cooccurrence FROM pr
 SELECT row_word, col_word, CAST(sum(cooccurrence) AS BIGINT) AS cooccurrence FROM bth
 WHERE row_word IN (SELECT w FROM ws) AND col_word IN (SELECT w FROM ws) GROUP BY 1, 2""", "rv_docs"))
 def q_cooccurrence_matrix(spark, sf_dir):
-    return tx.cooccurrence_matrix(tx.cooccurrence(rv_docs(spark, sf_dir), vocab_size=50, top_k=30))
+    return tx.cooccurrence_matrix(tx.cooccurrence(rv_docs(spark, sf_dir), top_k=30))
 
 
 @register("language_guess", with_views("""
@@ -301,3 +300,89 @@ def q_classification_report(spark, sf_dir):
     _, t = etl.sentiment_of(stars)
     _, p = etl.sentiment_of(F.floor(F.col("stars_x") + F.lit(0.5)))
     return tx.classification_report(r.select(t.alias("label"), p.alias("prediction")))
+
+
+# ------------------------------------------------------------------ two languages in one table
+ZH_STOPS = ", ".join(f"'{w}'" for w in tx.ZH_STOP_WORDS)
+ZH_TOKENS = ("list_filter(string_split_regex(trim(regexp_replace(coalesce(review_content, ''), '[^一-龥a-zA-Z]', ' ', 'g')), ' +'), "
+             f"lambda w: length(w) >= 2 AND w NOT IN ({ZH_STOPS}))")
+IS_ZH = ("length(regexp_replace(coalesce(review_content, ''), '[^一-龥]', '', 'g')) "
+         "> CAST(length(coalesce(review_content, '')) AS DOUBLE) * 0.3e0")
+MIXED_TOKENS = f"CASE WHEN {IS_ZH} THEN {ZH_TOKENS} ELSE {tok_sql()} END"
+MIXED_LEXICON = {"en": TEST_LEXICON, "zh": tx.ZH_DIMENSIONS}
+
+
+def _frequency_sql(tokens: str) -> str:
+    return with_views(f""",
+t AS (SELECT unnest({tokens}) AS word FROM rv_mixed WHERE review_content IS NOT NULL)
+SELECT word, CAST(count(*) AS BIGINT) AS count FROM t GROUP BY word ORDER BY count DESC, word LIMIT 40""", "rv_mixed")
+
+
+@register("word_frequency_mixed", _frequency_sql(MIXED_TOKENS))
+def q_word_frequency_mixed(spark, sf_dir):
+    return tx.word_frequency(rv_mixed(spark, sf_dir), top_n=40)
+
+
+@register("word_frequency_zh", _frequency_sql(ZH_TOKENS))
+def q_word_frequency_zh(spark, sf_dir):
+    return tx.word_frequency(rv_mixed(spark, sf_dir), top_n=40, lang="zh")
+
+
+@register("word_frequency_given", _frequency_sql(
+    "list_filter(string_split_regex(lower(coalesce(review_content, '')), '[ \\n\\t.,]+'), lambda w: CASE WHEN "
+    f"{IS_ZH} THEN length(w) >= 2 AND w NOT IN ({ZH_STOPS}) ELSE length(w) >= 3 AND w NOT IN ({STOPS}) END)"))
+def q_word_frequency_given(spark, sf_dir):
+    """Tokens made by the caller (here by a plain split) in place of the tokenizer's."""
+    from pyspark.sql import functions as F
+    given = F.split(F.lower(F.coalesce(F.col("review_content"), F.lit(""))), "[ \n\t.,]+")
+    return tx.word_frequency(rv_mixed(spark, sf_dir).withColumn("own_tokens", given), top_n=40, token_col="own_tokens")
+
+
+@register("neg_signal_words_mixed", _neg_signal_sql("rv_mixed", MIXED_TOKENS))
+def q_neg_signal_mixed(spark, sf_dir):
+    return tx.neg_signal_words(rv_mixed(spark, sf_dir), top_n=15)
+
+
+@register("shop_keywords_mixed", with_views(f""",
+t AS (SELECT shop_id, shop_name, unnest({MIXED_TOKENS}) AS word FROM rv_mixed WHERE shop_id IS NOT NULL AND review_content IS NOT NULL),
+g AS (SELECT shop_id, min(shop_name) AS shop_name, word, CAST(count(*) AS BIGINT) AS count FROM t GROUP BY shop_id, word),
+r AS (SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY count DESC, word) AS k FROM g)
+SELECT shop_id, shop_name, word AS keyword, count FROM r WHERE k <= 8""", "rv_mixed"))
+def q_shop_keywords_mixed(spark, sf_dir):
+    return tx.shop_keywords(rv_mixed(spark, sf_dir), top_n=8)
+
+
+def _mixed_hits() -> str:
+    """CTE long(dimension, zh, hit, sentiment_label): a row per text and dimension of its language."""
+    parts = [f"SELECT '{d}' AS dimension, zh, regexp_matches(low, '{word_pattern(w)}') AS hit, sentiment_label FROM m WHERE NOT zh"
+             for d, w in TEST_LEXICON.items()]
+    parts += [f"SELECT '{d}', zh, regexp_matches(low, '{'|'.join(w)}'), sentiment_label FROM m WHERE zh" for d, w in tx.ZH_DIMENSIONS.items()]
+    return (f", m AS (SELECT lower(coalesce(review_content, '')) AS low, {IS_ZH} AS zh, sentiment_label FROM rv_mixed),\n"
+            "lg AS (" + "\nUNION ALL ".join(parts) + ")")
+
+
+@register("dimension_coverage_mixed", with_views(f"""{_mixed_hits()}
+SELECT dimension, CAST(sum(CAST(hit AS INT)) AS BIGINT) AS mentions,
+  {R('CAST(sum(CAST(hit AS INT)) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0e0', 1)} AS mention_pct,
+  {R('CAST(sum(CASE WHEN hit AND sentiment_label = -1 THEN 1 ELSE 0 END) AS DOUBLE) / CAST(greatest(sum(CAST(hit AS INT)), 1) AS DOUBLE) * 100.0e0', 1)} AS neg_in_dim_pct
+FROM lg GROUP BY dimension""", "rv_mixed"))
+def q_dimension_coverage_mixed(spark, sf_dir):
+    return tx.dimension_coverage(rv_mixed(spark, sf_dir), MIXED_LEXICON)
+
+
+@register("aspect_matrix_mixed", with_views(f"""{_mixed_hits()},
+s AS (SELECT dimension, sum(CAST(hit AS INT)) AS n, sum(CASE WHEN hit AND sentiment_label = 1 THEN 1 ELSE 0 END) AS p,
+  sum(CASE WHEN hit AND sentiment_label = 0 THEN 1 ELSE 0 END) AS z, sum(CASE WHEN hit AND sentiment_label = -1 THEN 1 ELSE 0 END) AS x FROM lg GROUP BY dimension)
+SELECT dimension, {R('CAST(p AS DOUBLE) / CAST(greatest(n, 1) AS DOUBLE) * 100.0e0', 1)} AS positive_pct,
+  {R('CAST(z AS DOUBLE) / CAST(greatest(n, 1) AS DOUBLE) * 100.0e0', 1)} AS neutral_pct,
+  {R('CAST(x AS DOUBLE) / CAST(greatest(n, 1) AS DOUBLE) * 100.0e0', 1)} AS negative_pct, CAST(n AS BIGINT) AS total_mentions FROM s""", "rv_mixed"))
+def q_aspect_matrix_mixed(spark, sf_dir):
+    return tx.aspect_matrix(rv_mixed(spark, sf_dir), MIXED_LEXICON)
+
+
+@register("cooccurrence_mixed", with_views(f""",
+dt AS (SELECT DISTINCT review_id AS doc, unnest({MIXED_TOKENS}) AS word FROM rv_mixed WHERE review_content IS NOT NULL)
+SELECT a.word AS word_a, b.word AS word_b, CAST(count(*) AS BIGINT) AS cooccurrence
+FROM dt a JOIN dt b ON a.doc = b.doc AND a.word < b.word GROUP BY 1, 2 ORDER BY cooccurrence DESC, word_a, word_b LIMIT 50""", "rv_mixed"))
+def q_cooccurrence_mixed(spark, sf_dir):
+    return tx.cooccurrence(rv_mixed(spark, sf_dir), top_k=50)

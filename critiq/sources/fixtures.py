@@ -42,59 +42,72 @@ NAME_SQL = ("CASE WHEN {l} = 1 THEN 'positive' WHEN {l} = 0 THEN 'neutral' "
 
 
 # ---------------------------------------------------------------- rv_orders
-def rv_orders(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
+def rv_orders(spark: SparkSession, sf_dir: str, with_text: bool = False, only: str | None = None) -> DataFrame:
     """lineitem x orders x supplier x part x nation x region (+ documents).
 
     Inner equi-joins on the TPC-H keys; Catalyst and AQE choose broadcast
     for the tiny dimensions (nation, region) from measured sizes, and a
     shuffle join for the large ones.  ``with_text`` adds the left join to
     ``documents`` on ``doc_id = l_partkey % 200``; leave it off unless text
-    is read, as it carries long strings through the shuffle.
+    is read, as it carries long strings through the shuffle.  ``only`` names
+    the columns that the caller reads: every join here is on a foreign key and
+    keeps each line item exactly once, so joins that none of them needs are
+    left out.
     """
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_discount", "l_tax", "l_shipdate")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    df = (li.join(o, li.l_orderkey == o.o_orderkey)
-          .join(s, li.l_suppkey == s.s_suppkey)
-          .join(p, li.l_partkey == p.p_partkey)
-          .join(n, s.s_nationkey == n.n_nationkey)
-          .join(r, n.n_regionkey == r.r_regionkey))
     score = (F.floor((F.col("l_quantity") - F.lit(1.0)) / F.lit(10.0)) + F.lit(1)).cast("double")
-    cols = [
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("review_id"),
-        F.col("l_suppkey").cast("string").alias("shop_id"),
-        F.col("s_name").alias("shop_name"),
-        F.col("o_custkey").cast("string").alias("user_id"),
-        F.col("n_name").alias("city"),
-        F.col("r_name").alias("district"),
-        F.col("p_type").alias("category"),
-        score.alias("review_score"),
-        F.col("l_shipdate").alias("review_time"),
-        F.floor(F.col("l_discount") * F.lit(100.0) + F.lit(0.5)).cast("int").alias("like_count"),
-        F.floor(F.col("l_tax") * F.lit(100.0) + F.lit(0.5)).cast("int").alias("reply_count"),
-        F.col("l_linenumber").cast("int").alias("aspect_count"),
-        F.col("l_partkey"),
-    ]
-    df = df.select(*cols)
-    df = df.withColumn("sentiment_label", label_from_score(F.col("review_score")))
-    df = df.withColumn("sentiment", sentiment_name(F.col("sentiment_label")))
-    # Only doc ids 0..199 can match ``l_partkey % 200``; doc_id is the key of
-    # documents, so this slice has at most 200 rows at any scale and is
-    # broadcast instead of shuffling lineitem for the join.
-    d = table(spark, sf_dir, "documents").where(F.col("doc_id") < 200)
-    d = d.select("doc_id", "n_chars", *(["text"] if with_text else []))
-    out = [c for c in df.columns if c != "l_partkey"]
-    if with_text:
-        out.append(F.col("text").alias("review_content"))
-    out.append(F.col("n_chars").cast("int").alias("content_len"))
-    df = df.join(F.broadcast(d), (F.col("l_partkey") % 200) == d.doc_id, "left").select(*out)
-    return df
-
+    cols = {
+        "review_id": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
+        "shop_id": F.col("l_suppkey").cast("string"),
+        "shop_name": F.col("s_name"),
+        "user_id": F.col("o_custkey").cast("string"),
+        "city": F.col("n_name"),
+        "district": F.col("r_name"),
+        "category": F.col("p_type"),
+        "review_score": score,
+        "review_time": F.col("l_shipdate"),
+        "like_count": F.floor(F.col("l_discount") * F.lit(100.0) + F.lit(0.5)).cast("int"),
+        "reply_count": F.floor(F.col("l_tax") * F.lit(100.0) + F.lit(0.5)).cast("int"),
+        "aspect_count": F.col("l_linenumber").cast("int"),
+        "sentiment_label": label_from_score(score),
+        "sentiment": sentiment_name(label_from_score(score)),
+        "review_content": F.col("text"),
+        "content_len": F.col("n_chars").cast("int"),
+    }
+    wanted = only.split() if only else [c for c in cols if with_text or c != "review_content"]
+    needs = set(wanted)
+    df = li
+    if needs & {"user_id"}:
+        o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+        df = df.join(o, df.l_orderkey == o.o_orderkey)
+    if needs & {"shop_name", "city", "district"}:
+        s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+        df = df.join(s, df.l_suppkey == s.s_suppkey)
+    if needs & {"category"}:
+        p = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+        df = df.join(p, df.l_partkey == p.p_partkey)
+    if needs & {"city", "district"}:
+        n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+        df = df.join(n, df.s_nationkey == n.n_nationkey)
+    if needs & {"district"}:
+        r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+        df = df.join(r, df.n_regionkey == r.r_regionkey)
+    if needs & {"review_content", "content_len"}:
+        # Only doc ids 0..199 can match ``l_partkey % 200``; doc_id is the key of
+        # documents, so this slice has at most 200 rows at any scale and is
+        # broadcast instead of shuffling lineitem for the join.
+        d = table(spark, sf_dir, "documents").where(F.col("doc_id") < 200)
+        d = d.select("doc_id", "n_chars", *(["text"] if "review_content" in needs else []))
+        df = df.join(F.broadcast(d), (F.col("l_partkey") % 200) == d.doc_id, "left")
+    return df.select(*[cols[c].alias(c) for c in wanted])
+
+
+# columns of rv_orders that groups of queries read
+ALERT_COLS = "review_id shop_id shop_name review_score review_time sentiment_label"
+TREND_COLS = "review_id review_score review_time sentiment_label"
+RFM_COLS = "review_id user_id review_score review_time"
 
 RV_ORDERS_SQL = f"""
 rv_orders AS (
@@ -231,6 +244,30 @@ rv_docs AS (
 )"""
 
 
+# ---------------------------------------------------------------- rv_mixed
+# The ideograph that stands for each letter in the texts of
+# rv_mixed that are to look Chinese; frequent letter pairs become dimension words.
+MIXED_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+MIXED_IDEOGRAPHS = "价情干格服便安道环礼业新净境好宜装务吃味鲜专静貌热修"
+
+
+def rv_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rv_docs in two languages: every third text is written in ideographs."""
+    df = rv_docs(spark, sf_dir)
+    zh = F.translate(F.lower(F.col("review_content")), MIXED_LETTERS, MIXED_IDEOGRAPHS)
+    text = F.when(F.col("review_id").cast("long") % 3 == 0, zh).otherwise(F.col("review_content"))
+    return df.select("review_id", "shop_id", "shop_name", text.alias("review_content"), "sentiment_label", "sentiment")
+
+
+RV_MIXED_SQL = f"""
+rv_mixed AS (
+  SELECT review_id, shop_id, shop_name,
+         CASE WHEN CAST(review_id AS BIGINT) % 3 = 0 THEN translate(lower(review_content), '{MIXED_LETTERS}', '{MIXED_IDEOGRAPHS}')
+              ELSE review_content END AS review_content, sentiment_label, sentiment
+  FROM rv_docs
+)"""
+
+
 # ---------------------------------------------------------------- rv_messy
 # The damaged spellings written into rv_messy.
 MESSY_SCORES = {0: "", 1: "abc", 2: "9", 3: "-2"}            # event_id % 11, 4 -> null
@@ -305,10 +342,10 @@ rv_messy AS (
 RV_MESSY_SQL = _messy_sql()
 
 VIEW_SQL = {"rv_orders": RV_ORDERS_SQL, "rv_events": RV_EVENTS_SQL,
-            "rv_docs": RV_DOCS_SQL, "rv_messy": RV_MESSY_SQL}
-VIEW_DEPS = {"rv_messy": ["rv_events"]}
+            "rv_docs": RV_DOCS_SQL, "rv_messy": RV_MESSY_SQL, "rv_mixed": RV_MIXED_SQL}
+VIEW_DEPS = {"rv_messy": ["rv_events"], "rv_mixed": ["rv_docs"]}
 BUILDERS = {"rv_orders": rv_orders, "rv_events": rv_events,
-            "rv_docs": rv_docs, "rv_messy": rv_messy}
+            "rv_docs": rv_docs, "rv_messy": rv_messy, "rv_mixed": rv_mixed}
 
 
 def with_views(sql: str, *views: str) -> str:

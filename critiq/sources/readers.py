@@ -8,21 +8,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
 from pyspark.sql import types as T
 
+from critiq.functions.num import with_scalars
+from critiq.operators.common import hash_cuts, hash_key
 from critiq.sources.schema import align_columns
 
 JSON_WRAPPERS = ("reviews", "data")   # fixed values: keys tried, in order
 
 
 def from_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             multiline: bool = False, align: bool = True, null_value: str | None = None) -> DataFrame:
+             multiline: bool = True, align: bool = True, null_value: str | None = None) -> DataFrame:
     """Header CSV, UTF-8 with or without BOM, quoted fields with line breaks.
     Empty fields read as null (as a pandas reader does) unless ``null_value``
     names an explicit null marker, in which case "" stays an empty string.
 
-    ``multiline`` allows line breaks in quoted fields, at the price that a
-    file no longer splits over tasks.
+    Line breaks in quoted fields belong to the text, so a file is read by one
+    task; ``multiline=False``, for files known to have none, lets large files
+    split over tasks.
     """
     r = (spark.read.option("header", True).option("multiLine", multiline)
          .option("escape", '"').option("encoding", "UTF-8"))
@@ -37,8 +41,9 @@ def from_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
 
 def from_csv_lenient(spark: SparkSession, path: str, required=("text", "stars_y"),
                      schema: T.StructType | None = None, null_value: str | None = None,
-                     multiline: bool = False) -> DataFrame:
-    """Skip malformed lines and rows missing a required field."""
+                     multiline: bool = True) -> DataFrame:
+    """Skip malformed lines and rows missing a required field (``multiline``
+    as in ``from_csv``)."""
     r = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
     r = r.option("mode", "DROPMALFORMED")
     if null_value is not None:
@@ -146,8 +151,14 @@ def load(spark: SparkSession, source: str, **kwargs) -> DataFrame:
 
 def hash_sample(df: DataFrame, id_col: str, n: int) -> DataFrame:
     """A reproducible sample of ``n`` rows from the whole table: the rows
-    with the smallest md5 of their id (a bounded top-n, no full sort)."""
-    return df.orderBy(F.md5(F.col(id_col).cast("string")), F.col(id_col)).limit(n)
+    with the smallest md5 of their id.  The n-th smallest is found from
+    counts (``hash_cuts``), and the sample is a filter: no sort, and no task
+    holds the sample, whatever ``n``.  Rows that share an id stay together, so
+    a repeated id at the border may add its other rows."""
+    if n < 1:
+        return df.limit(0)
+    cuts = hash_cuts(df, id_col, [F.lit(n)])
+    return with_scalars(df, cuts).where(hash_key(id_col) <= F.col("cuts")[0]).select(*df.columns)
 
 
 def fraction_sample(df: DataFrame, fraction: float, id_col: str) -> DataFrame:

@@ -10,18 +10,10 @@ def score(df: DataFrame, fitted) -> DataFrame:
     """Apply the fitted feature chain and model (batch or streaming input).
 
     ``fitted`` is ``SentimentModel.model`` from
-    ``operators.ml.sentiment_classifier``: (grams, vocabulary, idf scale,
-    logistic regression).  All stages are row-local, so a stream needs no
-    state.
+    ``operators.ml.sentiment_classifier``: (feature chain, logistic
+    regression).  All stages are row-local and run in the JVM, so a stream
+    needs no state and no Python worker.
     """
-    from pyspark.ml.feature import ElementwiseProduct, Normalizer
-
-    from critiq.operators.ml import _sublinear
-    fm, cv, scale, model = fitted
-    x = df.withColumn("_t", F.coalesce(F.col("review_content"), F.lit("")))
-    v = cv.transform(fm.transform(x).withColumn("_grams", F.concat("_uni", "_bi")))
-    v = v.withColumn("_stf", _sublinear(F.col("_tf")))
-    v = ElementwiseProduct(scalingVec=scale, inputCol="_stf", outputCol="_tfidf").transform(v)
-    v = Normalizer(p=2.0, inputCol="_tfidf", outputCol="features").transform(v)
-    out = model.transform(v)
+    vectors, model = fitted
+    out = model.transform(vectors.transform(df.withColumn("_t", F.col("review_content"))))
     return out.select(*df.columns, (F.col("prediction") - 1).cast("int").alias("predicted_label"))

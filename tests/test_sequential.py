@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from critiq.operators import sequential as seq
 from critiq.operators.stl import stl
@@ -40,11 +41,35 @@ def test_exact_quantiles(spark):
     values = [0.1, 0.1, 0.3, 0.7, 0.7, 0.7, 5.0, 1e9, None]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = exact_quantiles(df, "x", probs, "q", buckets=3).first().q
+    got = exact_quantiles(df, "x", probs, "q", zoom=3).first().q
     assert np.allclose(got, np.quantile([v for v in values if v is not None], probs))
     assert exact_quantiles(df.limit(0), "x", [0.5], "q").first().q == [None]
 
 
+def test_exact_quantiles_of_odd_values(spark):
+    from critiq.functions.num import exact_quantiles
+    rng = np.random.default_rng(4)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+    cases = [rng.normal(size=500), np.append(rng.normal(3, 1, 400), [1e300, -1e300, 1e-300, 0.0, -0.0]),
+             np.exp(rng.normal(0, 60, 300)), 1 + np.arange(300) * 2.0 ** -52, np.full(9, 2.5), -np.arange(100.0), [7.25]]
+    for values in cases:
+        values = [float(v) for v in values]
+        df = spark.createDataFrame([(v,) for v in values * 2], "x double")
+        for zoom in (5, 1 << 21):
+            got = exact_quantiles(df, "x", probs, "q", zoom=zoom).first().q
+            assert np.allclose(got, np.quantile(values * 2, probs), rtol=1e-12, atol=0)
+
+
+def test_an_outlier_leaves_small_buckets(spark):
+    """With one value of 1e300 the others still spread over many buckets."""
+    from critiq.functions.num import _magnitude
+    df = spark.range(20_000).select((F.col("id") / 4000.0).alias("x")).union(spark.createDataFrame([(1e300,)], "x double"))
+    sizes = df.groupBy(_magnitude(F.col("x")).alias("b")).count()
+    assert sizes.agg(F.max("count")).first()[0] < 20  # ln(2) / 1024 of a value's size at most
+    got = df.groupBy(_magnitude(F.col("x")).alias("b")).agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("b").collect()
+    assert all(a.hi < b.lo for a, b in zip(got, got[1:]))
+
+
 def test_rfm_collapsed_edges(spark):
     rows = [(f"r{i}", f"u{i}", datetime(2024, 1, 1), 5.0, 1, "s", "S") for i in range(8)]
     df = spark.createDataFrame(rows, "review_id string, user_id string, review_time timestamp, review_score double, sentiment_label int, shop_id string, shop_name string")

@@ -34,10 +34,24 @@ def test_csv_with_bom_and_multiline(spark, tmp_out):
     p = os.path.join(tmp_out, "r.csv")
     with open(p, "w", encoding="utf-8-sig") as f:
         f.write('review_id,review_content,review_score\n1,"line one\nline ""two""",4\n2,plain,5\n')
-    df = load(spark, p, multiline=True)
+    df = load(spark, p)  # line breaks in quoted fields belong to the text unless the caller says otherwise
     assert df.columns[: len(STANDARD_NAMES)] == STANDARD_NAMES
     rows = {r.review_id: r for r in df.collect()}
+    assert len(rows) == 2 and rows["2"].review_content == "plain"
     assert rows["1"].review_content == 'line one\nline "two"'
+    flat = os.path.join(tmp_out, "flat.csv")
+    with open(flat, "w") as f:
+        f.write("review_id,review_content,review_score\n1,one,4\n2,two,5\n")
+    assert load(spark, flat, multiline=False).count() == 2
+
+
+def test_lenient_csv_keeps_texts_with_line_breaks(spark, tmp_out):
+    from critiq.sources.readers import from_csv_lenient
+    p = os.path.join(tmp_out, "lines.csv")
+    with open(p, "w") as f:
+        f.write('text,stars_y,useful\n"first\nsecond, third",4.0,1\nfine,3.0,2\nbad row,notanumber,x\n')
+    schema = spark.createDataFrame([], "text string, stars_y double, useful int").schema
+    assert sorted(r.text for r in from_csv_lenient(spark, p, schema=schema).collect()) == ["fine", "first\nsecond, third"]
 
 
 def test_json_wrappers(spark, tmp_out):
@@ -53,8 +67,8 @@ def test_json_wrappers(spark, tmp_out):
 
 def test_hash_sample_is_deterministic(spark):
     df = spark.range(1000).selectExpr("CAST(id AS STRING) AS review_id")
-    a = [r.review_id for r in hash_sample(df, "review_id", 10).collect()]
-    b = [r.review_id for r in hash_sample(df.repartition(7), "review_id", 10).collect()]
+    a = sorted(r.review_id for r in hash_sample(df, "review_id", 10).collect())
+    b = sorted(r.review_id for r in hash_sample(df.repartition(7), "review_id", 10).collect())
     assert a == b and len(a) == 10
 
 

@@ -1,8 +1,11 @@
 """Text operators on hand-made documents."""
 
+import hashlib
+import random
+import re
 from collections import Counter
 
-import re
+from pyspark.sql import functions as F
 
 from critiq.operators import text as tx
 
@@ -77,20 +80,58 @@ def test_tfidf_norm(spark):
     assert ((norms - 1).abs() < 1e-9).all()
 
 
-def test_cooccurrence_brute_force(spark):
-    df = _df(spark)
-    out = {(r.word_a, r.word_b): r.cooccurrence for r in tx.cooccurrence(df, vocab_size=50, top_k=1000).collect()}
+def _pairs(docs):
     exp = Counter()
-    for d in DOCS:
-        ws = sorted(set(_tok(d[3])))
-        for i in range(len(ws)):
-            for j in range(i + 1, len(ws)):
-                exp[(ws[i], ws[j])] += 1
-    assert out == dict(exp)
+    for ws in docs:
+        ws = sorted(set(ws))
+        exp.update((a, b) for i, a in enumerate(ws) for b in ws[i + 1:])
+    return exp
+
+
+def test_cooccurrence_brute_force(spark):
+    out = {(r.word_a, r.word_b): r.cooccurrence for r in tx.cooccurrence(_df(spark), top_k=1000).collect()}
+    assert out == dict(_pairs(_tok(d[3]) for d in DOCS))
+    assert tx.cooccurrence(_df(spark).limit(0), top_k=5).collect() == []
+
+
+def test_cooccurrence_over_all_words_in_blocks(spark):
+    """Rare words that always meet are found behind frequent words that seldom do, whatever the blocks."""
+    rng = random.Random(3)
+    docs = [[f"common{rng.randint(0, 25):02d}".replace("0", "o").replace("1", "l") + "abcdefghij"[rng.randint(0, 9)] for _ in range(3)] for _ in range(300)]
+    docs += [["zebra", "quagga", "okapi"]] * 40 + [["lonely"]] * 9 + [[]]
+    df = spark.createDataFrame([(str(k), " ".join(d)) for k, d in enumerate(docs)], "review_id string, review_content string")
+    want = sorted(_pairs(_tok(" ".join(d)) for d in docs).items(), key=lambda x: (-x[1], x[0]))
+    for top_k, block, strip in ((3, 4, 1), (3, 512, 16), (12, 7, 2), (60, 16, 3)):
+        got = tx.cooccurrence(df.repartition(3), top_k=top_k, block=block, strip=strip)
+        assert [((r.word_a, r.word_b), r.cooccurrence) for r in got.orderBy(F.desc("cooccurrence"), "word_a", "word_b").collect()] == want[:top_k]
+
+
+def test_mixed_languages(spark):
+    rows = [("1", "s", "S", "味道 很好 服务 服务 热情", 1), ("2", "s", "S", "The service was slow and the food cold", -1), ("3", "s", "S", None, 0), ("4", "s", "S", "味道 一般 ok", -1)]
+    df = spark.createDataFrame(rows, "review_id string, shop_id string, shop_name string, review_content string, sentiment_label int")
+    words = {r.word: r["count"] for r in tx.word_frequency(df).collect()}
+    assert words == {"味道": 2, "很好": 1, "服务": 2, "热情": 1, "一般": 1, "ok": 1, "service": 1, "slow": 1, "food": 1, "cold": 1}
+    cover = {r.dimension: (r.mentions, r.mention_pct) for r in tx.dimension_coverage(df).collect()}
+    assert cover["Food"] == (1, 50.0) and cover["Service"] == (1, 50.0)  # of the two texts that count as en
+    assert cover["口味"] == (2, 100.0) and cover["服务"] == (1, 50.0)
+    assert set(cover) == {*tx.EN_DIMENSIONS, *tx.ZH_DIMENSIONS}
+    only = {r.dimension for r in tx.dimension_coverage(df.where("review_id = '2'")).collect()}
+    assert only == set(tx.EN_DIMENSIONS)  # as a table of one language gives
+    pairs = {(r.word_a, r.word_b) for r in tx.cooccurrence(df, top_k=100).collect()}
+    assert ("味道", "很好") in pairs and ("food", "slow") in pairs
+    assert {r.keyword for r in tx.shop_keywords(df, top_n=2).collect()} == {"味道", "服务"}
+
+
+def test_tokens_made_by_the_caller(spark):
+    df = spark.createDataFrame([("1", "s", "S", "味道很好", ["味道", "很好", "的"], 1), ("2", "s", "S", "good food", ["good_food", "an"], -1), ("3", "s", "S", "x", None, 1)],
+                               "review_id string, shop_id string, shop_name string, review_content string, own array<string>, sentiment_label int")
+    assert {r.word for r in tx.word_frequency(df, token_col="own").collect()} == {"味道", "很好", "good_food"}
+    assert {r.keyword for r in tx.shop_keywords(df, token_col="own").collect()} == {"味道", "很好", "good_food"}
+    assert {r.word for r in tx.neg_signal_words(df, token_col="own").collect()} == {"good_food"}
+    assert [(r.word_a, r.word_b) for r in tx.cooccurrence(df, token_col="own").collect()] == [("味道", "很好")]
 
 
 def test_zh_tokens_and_language(spark):
-    from pyspark.sql import functions as F
     df = spark.createDataFrame([("味道 很好，服务 热情 的 ok",), ("plain english words",)], "t string")
     toks = [r[0] for r in df.select(tx.tokens(F.col("t"), "zh")).collect()]
     assert toks[0] == ["味道", "很好", "服务", "热情", "ok"]
@@ -104,14 +145,51 @@ def test_zh_dimension_substring(spark):
     assert out["口味"] == 1 and out["环境"] == 1 and out["服务"] == 0
 
 
-def test_global_index_and_exact_split(spark):
-    from critiq.operators.common import global_index
-    df = spark.range(0, 5000).selectExpr("CAST(id AS STRING) AS k", "md5(CAST(id AS STRING)) AS h")
-    from pyspark.sql import functions as F
-    out = global_index(df.repartition(7), ["h", "k"], F.conv(F.substring("h", 1, 2), 16, 10).cast("int")).toPandas().sort_values("_index")
-    assert out._index.tolist() == list(range(5000))
-    assert out.h.tolist() == sorted(out.h.tolist())
+def test_hash_cuts_and_exact_split(spark):
+    from critiq.operators.common import hash_cuts
+    ids = [str(i) for i in range(3000)]
+    order = sorted(ids, key=lambda i: (hashlib.md5(i.encode()).hexdigest(), i))
+    df = spark.createDataFrame([(i,) for i in ids], "k string").repartition(7)
+    ranks = [1, 2, 700, 2999, 3000, 9999, 0]
+    cuts = hash_cuts(df, "k", [F.lit(r) for r in ranks]).first().cuts
+    assert [c and c.id for c in cuts] == [order[0], order[1], order[699], order[2998], order[2999], order[2999], None]
+    assert hash_cuts(df.limit(0), "k", [F.lit(3)]).first().cuts == [None]
     rows = [(str(i), "x" * 25, [1, 0, -1][i % 3], "s", "p") for i in range(101)]
     d = spark.createDataFrame(rows, "review_id string, review_content string, sentiment_label int, shop_id string, platform string")
     sp = tx.training_split(d, exact=True).groupBy("split").count().toPandas().set_index("split")["count"]
     assert (sp["train"], sp["val"], sp["test"]) == (int(101 * 0.7), int(101 * 0.15), 101 - 70 - 15)
+    none = tx.training_split(d, train=0.0, val=0.0, exact=True)
+    assert {r.split for r in none.select("split").distinct().collect()} == {"test"}
+
+
+def test_hash_sample_of_any_size(spark):
+    from critiq.sources.readers import hash_sample
+    ids = [str(i) for i in range(500)] + [None]
+    df = spark.createDataFrame([(i,) for i in ids], "k string").repartition(5)
+    order = sorted(ids, key=lambda i: (hashlib.md5(i.encode()).hexdigest() if i else "0" * 32, i or ""))
+    for n in (0, 1, 17, 400, 501, 1000):
+        assert {r.k for r in hash_sample(df, "k", n).collect()} == set(order[:n])
+        assert hash_sample(df, "k", n).count() == min(n, 501)
+
+
+def test_exact_split_shuffles_no_text(spark):
+    rows = [(str(i), "x" * 25, 1, "s", "p") for i in range(50)]
+    d = spark.createDataFrame(rows, "review_id string, review_content string, sentiment_label int, shop_id string, platform string")
+    top = tx.training_split(d, exact=True)._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+    assert "Exchange" not in top
+
+
+def test_tfidf_with_heavy_terms(spark):
+    """A term of every document is broadcast, not joined; both ways give the same weights."""
+    import math
+    docs = [["every"] * (k % 3 + 1) + [f"rare{'abcdefghij'[k % 10]}", "some" if k % 2 else "other"] for k in range(40)]
+    df = spark.createDataFrame([(str(k), " ".join(d)) for k, d in enumerate(docs)], "review_id string, review_content string")
+    seen = Counter(t for d in docs for t in set(d))
+    want = {}
+    for k, d in enumerate(docs):
+        w = {t: (1 + math.log(c)) * (math.log(41 / (1 + seen[t])) + 1) for t, c in Counter(d).items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        want.update({(str(k), t): round(x / norm, 6) for t, x in w.items()})
+    for share in (0.0, 0.3, 2.0):
+        got = {(r.review_id, r.term): r.tfidf for r in tx.tfidf_terms(df, heavy_share=share).collect()}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
