@@ -297,7 +297,7 @@ class Merger(Cache):
     def learn(self, texts: list[list[str]]) -> None:
         """Remember the short slices of some texts, merged together."""
         self.make_room()
-        new = [p for p in set().union(*texts).difference(self) if len(p) <= CACHED_CHARS]
+        new = [p for p in set().union(*texts) if p not in self and len(p) <= CACHED_CHARS]
         easy: list[tuple[str, bytes]] = []
         hard: dict[bool, list[tuple[str, bytes]]] = {False: [], True: []}
         for p in new:

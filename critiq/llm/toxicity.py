@@ -15,6 +15,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,12 @@ WORD = re.compile(r"\w+")
 def subwords(word: str) -> list[int]:
     """Buckets of the word and of its n-grams of 3 to 5 characters, with marks for its ends."""
     w = f"<{word}>"
-    grams = {w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)} | {w}
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams]
+    data = w.encode("utf-8", "surrogatepass")
+    if len(data) == len(w):  # a character is a byte
+        grams = {data[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)} | {data}
+    else:
+        grams = {w[i : i + n].encode("utf-8", "surrogatepass") for n in (3, 4, 5) for i in range(len(w) - n + 1)} | {data}
+    return [zlib.crc32(g) % BUCKETS for g in grams]
 
 
 def words(text: str | None) -> list[str]:
@@ -57,16 +62,22 @@ class Model:
     value: np.ndarray  # of each bucket: its vector times the difference of the softmax's columns
     bias: float
 
-    def word(self, word: str) -> float:
-        at = subwords(word)
-        return float(self.value[at].mean())
+    def values(self, words: list[str]) -> list[float]:
+        """Mean value of the subwords of each word."""
+        if not words:
+            return []
+        grams = [subwords(w) for w in words]
+        sizes = np.array([len(g) for g in grams])
+        flat = self.value[np.fromiter(chain.from_iterable(grams), np.int64, sizes.sum())]
+        return (np.add.reduceat(flat, np.cumsum(sizes) - sizes) / sizes).tolist()
 
     def score(self, text: str | None, cache: dict[str, float]) -> float:
         """Chance of label 1; a text without words has the bias alone."""
         tokens = words(text)
         logit = self.bias
         if tokens:
-            cache.update((w, self.word(w)) for w in set(tokens).difference(cache))
+            new = [w for w in dict.fromkeys(tokens) if w not in cache]
+            cache.update(zip(new, self.values(new)))
             logit += float(window_means(np.fromiter(map(cache.__getitem__, tokens), np.float64, len(tokens))).max())
         return float(1 / (1 + np.exp(-np.clip(logit, -50, 50))))
 
