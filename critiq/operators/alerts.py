@@ -53,10 +53,18 @@ def alerts(df: DataFrame, levels=ALERT_LEVELS, actions=ALERT_ACTIONS) -> DataFra
         sums[f"_n_{lvl}"] = F.when(inside, F.col("_n")).otherwise(F.lit(0))
         sums[f"_x_{lvl}"] = F.when(inside, F.col("_neg")).otherwise(F.lit(0))
     g = grouped_with_first(t, ["shop_id"], ["shop_name"], sums).where(F.col("_n") >= MIN_SHOP_REVIEWS)
+    return tiers(g, levels, actions).where(F.col("level").isNotNull())
+
+
+def tiers(g: DataFrame, levels=ALERT_LEVELS, actions=ALERT_ACTIONS, keep: tuple = ()) -> DataFrame:
+    """The alert row of every shop from its window counts: ``_n_P0``, ``_x_P0``
+    (reviews and negative ones in the tier's window) and so on, and the sum
+    ``_s`` and number ``_c`` of its scores.  The first tier of ``levels`` that
+    fires counts; level is null where none does."""
     g = g.withColumn("_score", F.try_divide(F.col("_s"), F.col("_c")))
     level = rate = days_c = sev = None
     for i, (lvl, days, thr, name) in enumerate(levels):
-        r = F.col(f"_x_{lvl}") / F.col(f"_n_{lvl}")
+        r = F.try_divide(F.col(f"_x_{lvl}"), F.col(f"_n_{lvl}"))
         fire = (F.col(f"_n_{lvl}") >= MIN_WINDOW_REVIEWS) & (r >= F.lit(thr))
         if level is None:
             level, rate, days_c, sev = (F.when(fire, F.lit(name)), F.when(fire, r),
@@ -69,14 +77,13 @@ def alerts(df: DataFrame, levels=ALERT_LEVELS, actions=ALERT_ACTIONS) -> DataFra
         a = actions.get(lvl, "Monitor")
         action = F.when(F.col("level") == name, F.lit(a)) if action is None else action.when(F.col("level") == name, F.lit(a))
     g = g.select("shop_id", "shop_name", "_score", level.alias("level"), rate.alias("_rate"),
-                 days_c.alias("_days"), sev.cast("int").alias("severity"))
-    g = g.where(F.col("level").isNotNull())
+                 days_c.alias("_days"), sev.cast("int").alias("severity"), *keep)
     pct = F.bround(F.col("_rate") * F.lit(100.0), 0).cast("long").cast("string")
     return g.select(
         "level", "shop_id", "shop_name", rnd(F.col("_score"), 2).alias("score"),
         rnd(F.col("_rate") * F.lit(100.0), 1).alias("neg_rate"),
         F.concat(F.col("_days").cast("string"), F.lit("d negative rate "), pct, F.lit("% >= threshold")).alias("message"),
-        action.alias("action"), "severity")
+        action.alias("action"), "severity", *keep)
 
 
 def alert_levels(al: DataFrame) -> DataFrame:

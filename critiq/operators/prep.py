@@ -95,9 +95,12 @@ def parse_score_text(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ PRE-4
 def clean_text(df: DataFrame) -> DataFrame:
+    """The cleaned text is generated (a one-element explode) and not just
+    projected: a later filter on it, such as the shortest length, is then not
+    pushed below and does not run the whole clean-up a second time."""
     if not has(df, "review_content"):
         return df
-    return df.withColumn("review_content", _clean(F.col("review_content")))
+    return df.withColumn("review_content", F.explode(F.array(_clean(F.col("review_content")))))
 
 
 # ------------------------------------------------------------------ PRE-5..8
