@@ -108,14 +108,11 @@ def stl_grouped(monthly: DataFrame, key: str | None = None, period: int = 12) ->
 
     schema = (f"{k} {key_type}, year_month string, count long, avg_score double, "
               "trend double, seasonal double, residual double, method string")
-    # The month table is tiny, so AQE would coalesce it into one or two
-    # tasks, but each series costs real CPU: spread the series over the cores
-    # with an explicit key partitioning (not coalesced, and it already
-    # satisfies the grouping, so no second exchange).
-    try:
-        parts = max(1, src.sparkSession.sparkContext.defaultParallelism)
-    except Exception:  # noqa: BLE001 - no SparkContext handle (Spark Connect)
-        parts = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    # The month table is tiny, so adaptive execution would gather it in one or
+    # two tasks, but each series costs real CPU: the session's shuffle partitions
+    # are asked for by number, which it leaves as they are, and which also
+    # serve the grouping (no second exchange).
+    parts = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     src = src.select(k, "year_month", "count", "avg_score").repartition(parts, k)
     out = src.groupBy(k).applyInPandas(fn, schema)
     return out if key else out.drop(k)
