@@ -23,6 +23,7 @@ from critiq.llm.common import components, cut
 BLOCK = 6000  # vectors of a block, in the mean
 STRIP = 128  # rows of a tile compared at once
 STEPS = (12, 24, 40)  # leading dimensions after which hopeless pairs are dropped
+PAIRS = 1 << 14  # pairs compared at once
 SLACK = 1e-6  # over the rounding of float sums; the confirmation is exact
 
 
@@ -77,13 +78,52 @@ def near_in_tile(x: np.ndarray, y: np.ndarray, threshold: float, steps: tuple[in
     at = cuts[1]
     lead = x[:, :at].astype(np.float32) @ y[:, :at].astype(np.float32).T
     lead += tail(x, at)[:, None] * tail(y, at)[None]
-    i, j = np.nonzero(lead >= threshold - 10 * SLACK)
-    dot = np.einsum("ij,ij->i", x[i, :at], y[j, :at])
-    for a, b in zip(cuts[1:], cuts[2:]):
-        dot += np.einsum("ij,ij->i", x[i, a:b], y[j, a:b])
-        keep = dot + tail(x, b)[i] * tail(y, b)[j] >= threshold - SLACK
-        i, j, dot = i[keep], j[keep], dot[keep]
-    return i, j
+    hopeful = np.nonzero(lead >= threshold - 10 * SLACK)
+    tails = {k: (tail(x, k), tail(y, k)) for k in cuts[2:]}
+    kept: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64),) * 2]
+    for k in range(0, len(hopeful[0]), PAIRS):
+        i, j = (v[k : k + PAIRS] for v in hopeful)
+        dot = np.einsum("ij,ij->i", x[i, :at], y[j, :at])
+        for a, b in zip(cuts[1:], cuts[2:]):
+            dot += np.einsum("ij,ij->i", x[i, a:b], y[j, a:b])
+            keep = dot + tails[b][0][i] * tails[b][1][j] >= threshold - SLACK
+            i, j, dot = i[keep], j[keep], dot[keep]
+        kept.append((i, j))
+    i, j = zip(*kept)
+    return np.concatenate(i), np.concatenate(j)
+
+
+def tile_links(x: np.ndarray, copies: np.ndarray, axes: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(links, u, v): for each row of x the copies of the rows it links to, and links u - v that join parts not joined before.
+
+    a, b: the rows of the tile's two blocks, the same ones if ``same``. Links are counted and parts joined strip by
+    strip: the pairs of STRIP rows are the most that is held, however many vectors are near each other.
+    """
+    turned = _norm(x) @ axes
+    links, part = np.zeros(len(x)), np.arange(len(x))
+    u: list[int] = []
+    v: list[int] = []
+    for at in range(0, len(a), STRIP):
+        strip = a[at : at + STRIP]
+        i, j = near_in_tile(turned[strip], turned[b], threshold)
+        p, q = strip[i], b[j]
+        if same:
+            p, q = p[p < q], q[p < q]
+        exact = cosines(x, p, q) >= threshold
+        p, q = p[exact], q[exact]
+        links += np.bincount(p, copies[q], len(x)) + np.bincount(q, copies[p], len(x))
+        order = np.argsort(p, kind="stable")
+        p, q = p[order], q[order]
+        firsts = np.flatnonzero(np.diff(p, prepend=-1))
+        for first, last in zip(firsts.tolist(), [*firsts[1:].tolist(), len(p)]):
+            row, near = int(p[first]), q[first:last]
+            near = near[part[near] != part[row]]
+            if len(near):
+                met, one = np.unique(part[near], return_index=True)
+                u += [row] * len(one)
+                v += near[one].tolist()
+                part[np.isin(part, met)] = part[row]
+    return links.astype(np.int64), np.array(u, np.int64), np.array(v, np.int64)
 
 
 def embedding_groups(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -130,27 +170,13 @@ def _tiles(classes: DataFrame, n: int, dim: int, threshold: float) -> DataFrame:
 
     def tile(t: pa.Table) -> pa.Table:
         ids, copies, second = t.column("rep").to_numpy(), t.column("copies").to_numpy(), t.column("second").to_numpy()
-        raw = _norm(_matrix(t.column("v")))
-        turned = raw @ axes.value
         same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
         a, b = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(~second), np.flatnonzero(second))
-        p, q = [], []
-        for at in range(0, len(a), STRIP):
-            i, j = near_in_tile(turned[a[at : at + STRIP]], turned[b], threshold)
-            p.append(a[at : at + STRIP][i])
-            q.append(b[j])
-        p, q = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (p, q))
-        keep = (p < q) if same else np.ones(len(p), bool)
-        p, q = p[keep], q[keep]
-        x = _matrix(t.column("v"))
-        exact = cosines(x, p, q) >= threshold
-        p, q = p[exact], q[exact]
-        links = np.bincount(p, copies[q], len(ids)) + np.bincount(q, copies[p], len(ids))
+        links, u, v = tile_links(_matrix(t.column("v")), copies, axes.value, a, b, same, threshold)
         some = np.flatnonzero(links)
-        u, v = forest(len(ids), p, q)
         return pa.table({
             "id": pa.array(np.concatenate((ids[some], ids[u])), pa.int64()),
-            "links": pa.array(np.concatenate((links[some], np.zeros(len(u)))).astype(np.int64)),
+            "links": pa.array(np.concatenate((links[some], np.zeros(len(u), np.int64)))),
             "other": pa.array([None] * len(some) + ids[v].tolist(), pa.int64()),
         })
 
@@ -159,27 +185,8 @@ def _tiles(classes: DataFrame, n: int, dim: int, threshold: float) -> DataFrame:
 
 def cosines(x: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     out = np.empty(len(p))
-    for at in range(0, len(p), 1 << 16):
-        a, b = x[p[at : at + (1 << 16)]], x[q[at : at + (1 << 16)]]
+    for at in range(0, len(p), PAIRS):
+        a, b = x[p[at : at + PAIRS]], x[q[at : at + PAIRS]]
         a, b = a / np.abs(a).max(axis=1, keepdims=True), b / np.abs(b).max(axis=1, keepdims=True)
         out[at : at + len(a)] = (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
     return out
-
-
-def forest(n: int, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that join parts not joined before."""
-    root, u, v = list(range(n)), [], []
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    for a, b in zip(p.tolist(), q.tolist()):
-        x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            u.append(a)
-            v.append(b)
-    return np.array(u, np.int64), np.array(v, np.int64)

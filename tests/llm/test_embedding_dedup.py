@@ -1,9 +1,11 @@
 """Embedding near-duplicates against brute force."""
 
+import tracemalloc
+
 import numpy as np
 
 from critiq.llm import embedding_dedup
-from critiq.llm.embedding_dedup import embedding_groups, near_in_tile
+from critiq.llm.embedding_dedup import embedding_groups, near_in_tile, tile_links
 
 KIND = "vec_id long, embedding array<float>, label int, links string"
 
@@ -57,3 +59,20 @@ def test_bounds_lose_no_pair():
     i, j = near_in_tile(x, x, 0.9, steps=(3, 10, 30))
     assert set(zip(i.tolist(), j.tolist())) >= set(zip(*(v.tolist() for v in np.nonzero(x @ x.T >= 0.9))))
     assert len(i) < 1000
+
+
+def test_a_tile_of_near_vectors_is_counted_in_bounded_memory():
+    """6,000 vectors that are all near each other: 18 million pairs, of which a strip's are held."""
+    rng = np.random.default_rng(6)
+    n, dim = 6000, 32
+    x = rng.normal(size=dim) + rng.normal(size=(n, dim)) * 0.05
+    copies = rng.integers(1, 4, n)
+    tracemalloc.start()
+    links, u, v = tile_links(x, copies, np.eye(dim), np.arange(n), np.arange(n), True, 0.95)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    assert (links == copies.sum() - copies).all() and len(u) == n - 1
+    a, b = np.arange(0, n, 2), np.arange(1, n, 2)
+    links, u, v = tile_links(x[:400], copies[:400], np.eye(dim), a[:200], b[:200], False, 0.95)
+    assert (links[a[:200]] == copies[b[:200]].sum()).all() and len(u) == 399
