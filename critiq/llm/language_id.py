@@ -8,17 +8,24 @@ rest), and a temperature fitted on texts kept apart from training calibrates the
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from critiq.llm.memory import released
+
 FEATURES = 1 << 15
 ORDERS = 4
 PER_LANGUAGE = 400  # texts of each language in the training sample, at most
+LANGUAGES = 100  # languages learned, at most: those with the most texts
+DRAWS = 1_000_000_000
 SAMPLE_CHARS = 20_000  # longer texts aren't drawn for training
 PIECE = 1 << 18  # code points hashed at once
 UNKNOWN = "und"
@@ -42,6 +49,13 @@ def counts(text: str) -> np.ndarray:
     return total
 
 
+def sparse_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The features that a text has, and their numbers, in six bytes each."""
+    dense = counts(text)
+    at = np.flatnonzero(dense)
+    return at.astype(np.uint16), dense[at].astype(np.float32)
+
+
 def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
@@ -77,18 +91,22 @@ def fit(texts: list[str], langs: list[str], passes: int = 6, alpha: float = 2.0,
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES, 0)), np.zeros(0), 1.0)
-    y = np.array([names.index(v) for v in langs])
-    rows = [counts(t) for t in texts]
+    number = {v: k for k, v in enumerate(names)}
+    y = np.array([number[v] for v in langs])
+    rows = [sparse_counts(t) for t in texts]
     order = np.random.default_rng(seed).permutation(len(rows))
     apart = order[::5] if len(rows) >= 10 * len(names) else order[:0]
     train = order[np.isin(order, apart, invert=True)]
-    seen = np.sum([rows[i] > 0 for i in train], axis=0)
+    seen = np.zeros(FEATURES)
+    for i in train:
+        seen[rows[i][0]] += 1
     idf = np.log((1 + len(train)) / (1 + seen)) + 1
-    sparse = []
-    for r in rows:
-        at = np.flatnonzero(r)
-        v = r[at] * idf[at]
-        sparse.append((np.append(at, FEATURES), np.append(v / max(np.sqrt(v @ v), 1e-12), 1.0)))  # the last feature is the bias
+
+    def unit(i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Features and values of a text; the last feature is the bias."""
+        at, v = rows[i][0].astype(np.int64), rows[i][1] * idf[rows[i][0]]
+        return np.append(at, FEATURES), np.append(v / max(np.sqrt(v @ v), 1e-12), 1.0)
+
     z, n = np.zeros((FEATURES + 1, len(names))), np.zeros((FEATURES + 1, len(names)))
 
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -96,7 +114,7 @@ def fit(texts: list[str], langs: list[str], passes: int = 6, alpha: float = 2.0,
 
     for k in range(passes):
         for i in np.random.default_rng(seed + k).permutation(train):
-            at, v = sparse[i]
+            at, v = unit(i)
             w = weights(z[at], n[at])
             p = softmax(v @ w)
             p[y[i]] -= 1
@@ -107,33 +125,70 @@ def fit(texts: list[str], langs: list[str], passes: int = 6, alpha: float = 2.0,
     w = weights(z, n)
     temperature = 1.0
     if len(apart):
-        logits = np.stack([sparse[i][1] @ w[sparse[i][0]] for i in apart])
+        logits = np.stack([v @ w[at] for at, v in map(unit, apart)])
         grid = np.geomspace(0.05, 10, 80)
         temperature = float(min(grid, key=lambda t: -np.log(softmax(logits / t)[np.arange(len(apart)), y[apart]] + 1e-12).sum()))
     return Model(names, idf, w[:FEATURES], w[FEATURES], temperature)
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
-    """(id, text, lang): of each language the texts of least hash, among those of 1 to SAMPLE_CHARS characters.
+    """(id, text, lang): somewhat more than ``per_language`` texts of each of the LANGUAGES most frequent languages,
+    among those of 1 to SAMPLE_CHARS characters.
 
-    A hash bucket narrows each language before ranking, so no language is sorted whole in one task.
+    Drawn by a hash cut-off that follows from a language's number of texts, row by row: nothing is ranked or joined.
+    Rows alike in id, text and language are drawn as one.
     """
-    from pyspark.sql import Window
-
-    known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = known.filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.length("text").between(1, SAMPLE_CHARS))
-    keys = known.select("id", "lang", F.xxhash64("id").alias("h"))
-    part = Window.partitionBy("lang", F.pmod(F.shiftrightunsigned("h", 20), F.lit(256))).orderBy("h", "id")
-    whole = Window.partitionBy("lang").orderBy("h", "id")
-    few = keys.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= per_language).drop("r")
-    few = few.withColumn("r", F.row_number().over(whole)).filter(F.col("r") <= per_language).select("id", "lang")
-    return known.join(F.broadcast(few), ["id", "lang"])
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not sizes:
+        return known.limit(0)
+    wanted = 1.25 * per_language + 50
+    cutoff = F.create_map(*[c for r in sizes for c in (F.lit(r["lang"]), F.lit(int(DRAWS * min(1.0, wanted / r["n"]))))])
+    drawn = known.filter(F.pmod(F.xxhash64("id", "text"), F.lit(DRAWS)) < F.coalesce(cutoff[F.col("lang")], F.lit(0)))
+    return drawn.distinct()
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on at most ``per_language`` texts of each language, drawn by a hash of the id."""
-    rows = sorted(training_sample(docs, id_col, text_col, lang_col, per_language).select("id", "text", "lang").toArrow().to_pylist(), key=lambda r: (r["id"], r["text"]))
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    """Fit on at most ``per_language`` texts of each of the LANGUAGES most frequent languages, drawn by a hash.
+
+    The sample, bounded by LANGUAGES * per_language * SAMPLE_CHARS characters, meets in one task, which keeps
+    sparse counts alone; the driver gets the model.
+    """
+
+    @released
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = sorted((zlib.crc32(f"{r['id']}".encode()), r["id"], r["text"], r["lang"]) for batch in batches for r in batch.to_pylist())
+        taken, chosen = Counter(), []
+        for _, _, text, lang in sample:
+            taken[lang] += 1
+            if taken[lang] <= per_language:
+                chosen.append((text, lang))
+        model = fit([t for t, _ in chosen], [v for _, v in chosen])
+        f, k = np.nonzero(model.weights)
+        parts = [
+            ("language", np.arange(len(model.languages)), None, None, model.languages),
+            ("idf", np.arange(FEATURES), None, model.idf, None),
+            ("weight", f, k, model.weights[f, k], None),
+            ("bias", np.arange(len(model.bias)), None, model.bias, None),
+            ("temperature", np.zeros(1, np.int64), None, np.array([model.temperature]), None),
+        ]
+        for kind, a, b, value, name in parts:
+            n = len(a)
+            column = lambda x, t: pa.array([None] * n if x is None else x, t)  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), column(a, pa.int64()), column(b, pa.int64()), column(value, pa.float64()), column(name, pa.string())], ["kind", "a", "b", "value", "name"])
+
+    got = training_sample(docs, id_col, text_col, lang_col, per_language).repartition(1).mapInArrow(rows, "kind string, a long, b long, value double, name string").toArrow()
+    if not got.num_rows:  # an empty sample may start no task
+        return fit([], [])
+    part = {kind: got.filter(pa.compute.equal(got.column("kind"), kind)) for kind in ("language", "idf", "weight", "bias", "temperature")}
+    number = lambda kind, c="value": part[kind].column(c).to_numpy()
+    names = dict(zip(number("language", "a").tolist(), part["language"].column("name").to_pylist()))
+    out = Model([names[k] for k in range(len(names))], np.zeros(FEATURES), np.zeros((FEATURES, len(names))), np.zeros(len(names)), float(number("temperature")[0]))
+    out.idf[number("idf", "a")] = number("idf")
+    out.weights[number("weight", "a"), number("weight", "b").astype(np.int64)] = number("weight")
+    out.bias[number("bias", "a")] = number("bias")
+    return out
 
 
 def languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,6 +199,7 @@ def languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @released
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [shared.value.predict(t.as_py()) for t in batch.column(1)]

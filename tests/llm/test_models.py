@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -99,3 +100,89 @@ def test_counts_of_pieces_add_up(monkeypatch):
     monkeypatch.setattr(language_id, "PIECE", 37)
     assert np.array_equal(whole, language_id.counts(text))
     assert whole.sum() == sum(len(text) - n + 1 for n in range(1, 5))
+
+
+def plain_features(text):
+    """Hashed n-grams of a text, one by one, in whole numbers of 32 bits."""
+    low, seen = (1 << 32) - 1, {}
+    points = [ord(c) for c in text.lower()]
+    for k in range(len(points)):
+        h = 0
+        for n in range(1, 5):
+            if k + n > len(points):
+                break
+            h = (h * 0x01000193 & low) ^ (points[k + n - 1] * 0x9E3779B1 & low)
+            m = ((h ^ h >> 15) * 0x85EBCA6B & low) >> 17
+            seen[m] = seen.get(m, 0) + 1
+    return seen
+
+
+def test_language_query_equals_a_plain_reading_of_its_model(spark):
+    """The registered query's predictions, from the model's weights by loops over each text's n-grams."""
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    model = language_id.train(docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 4 != 2"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in QUERIES["op6_language_id"](spark, SF01).collect()}
+    rows = docs.filter("length(text) < 1500").orderBy("doc_id").limit(60).collect()
+    assert len(rows) == 60
+    for r in rows:
+        x = {f: n * model.idf[f] for f, n in plain_features(r.text).items()}
+        size = sum(v * v for v in x.values()) ** 0.5
+        logits = [(sum(v * model.weights[f, k] for f, v in x.items()) / size + model.bias[k]) / model.temperature for k in range(len(model.languages))]
+        p = np.exp(np.array(logits) - max(logits))
+        best = int(np.argmax(p))
+        assert got[r.doc_id][0] == model.languages[best] and abs(got[r.doc_id][1] - p[best] / p.sum()) < 1e-9
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 3)
+    rows = [(k, f"text number {k} of the big one", "big") for k in range(4000)] + [(k, f"text {k}", lang) for lang in ("mid", "low") for k in range(60)]
+    rows += [(k, "rare text", "rare") for k in range(9)] + [(1, "the same row", "mid")] * 500 + [(None, "x", "mid"), (5, "x", None), (6, "", "mid")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sizes = Counter(r.lang for r in language_id.training_sample(docs, "doc_id", "text", "lang", 100).collect())
+    assert set(sizes) == {"big", "mid", "low"} and 120 < sizes["big"] < 240 and sizes["low"] == 60 and sizes["mid"] <= 61
+
+
+def test_twenty_languages_in_little_memory():
+    import tracemalloc
+
+    rng = random.Random(9)
+    texts, langs = [], []
+    for k in range(20):
+        letters = "".join(chr(0x400 + 11 * k + j) for j in range(14))
+        texts += [" ".join("".join(rng.choices(letters, k=6)) for _ in range(150)) for _ in range(40)]
+        langs += [f"l{k:02d}"] * 40
+    tracemalloc.start()
+    model = language_id.fit(texts, langs, passes=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and len(model.languages) == 20
+    assert all(model.predict(texts[40 * k])[0] == f"l{k:02d}" for k in range(20))
+
+
+def plain_score(model, text):
+    """Chance of label 1, window by window and subword by subword."""
+    import math
+    import re
+
+    words = re.findall(r"\w+", (text or "").lower())
+    logit = model.bias
+    if words:
+        value = []
+        for w in words:
+            m = f"<{w}>"
+            grams = {m[i : i + n] for n in (3, 4, 5) for i in range(len(m) - n + 1)} | {m}
+            value.append(sum(model.value[zlib.crc32(g.encode()) % toxicity.BUCKETS] for g in grams) / len(grams))
+        w = toxicity.WINDOW
+        starts = [0] if len(words) <= w else [*range(0, len(words) - w, w // 2), len(words) - w]
+        logit += max(sum(value[s : s + w]) / len(value[s : s + w]) for s in starts)
+    return 1 / (1 + math.exp(-max(-50, min(50, logit))))
+
+
+def test_toxicity_query_equals_a_plain_reading_of_its_model(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    labels = spark.read.parquet(f"{SF01}/labels.parquet")
+    model = toxicity.train(docs, labels.filter("crc32(cast(cast(doc_id as string) as binary)) % 3 != 1"))
+    got = {r.doc_id: r.score for r in QUERIES["op1_toxicity"](spark, SF01).collect()}
+    rows = docs.orderBy("doc_id").limit(150).collect()
+    assert max(abs(got[r.doc_id] - plain_score(model, r.text)) for r in rows) < 1e-9
+    assert sum(got[r.doc_id] >= 0.7 for r in rows) > 0
