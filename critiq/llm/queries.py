@@ -131,9 +131,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from critiq.llm.pii import pseudonymise
+    from critiq.llm.pii import distinct_key, pseudonymise
 
-    docs = pseudonymise(table(spark, sf_dir, "documents"), key="critiq")
+    docs = table(spark, sf_dir, "documents")
+    docs = pseudonymise(docs, key=distinct_key(docs, "critiq"))
     return docs.select("doc_id", F.size("pii").cast("long").alias("n_entities"), F.array_sort(F.array_distinct("pii.kind")).alias("kinds"), "text")
 
 

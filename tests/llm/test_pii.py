@@ -5,7 +5,7 @@ import re
 import pytest
 
 from critiq.llm import pii
-from critiq.llm.pii import Cycle, collisions, entities, iban_ok, luhn, pseudonymise, replace, surrogate
+from critiq.llm.pii import Cycle, canonical, collisions, distinct_key, entities, iban_ok, luhn, pseudonymise, replace, surrogate
 
 KEY = b"k" * 32
 
@@ -69,3 +69,67 @@ def test_frame_and_collisions(spark):
     new = {r.doc_id: r.text for r in got.collect() if r.doc_id is not None}
     assert all(t not in "".join(new.values()) for t in ("x1@m1.", "x49@", "4000000000000001,"))
     assert pseudonymise(docs.limit(0), "secret").count() == 0
+
+
+@pytest.mark.parametrize("text", ["+44 20 7946 0958", "06 12 34 56 78", "+34 612 34 56 78", "+49 30 12345678", "030 12345678", "+16145558001", "+33 (0)1 42 68 53 00", "020 7946 0958"])
+def test_phones_of_many_countries(text):
+    assert kinds(f"Call {text}, or wait.") == [(text, "phone")]
+    got = surrogate("phone", text, KEY)
+    assert re.sub(r"\d", "0", got) == re.sub(r"\d", "0", text) and got != text
+    assert got[:2] == text[:2] or text[0] != "+"
+
+
+def test_what_is_no_number():
+    for text in ("On 2024 123 4567 people came", "on 01-02-2024 and 01 02 2024", "0.1234 5678", "from 0 to 100", "v0 10 20", "12:30:45", "std::vector a::b ::", "1:2:3:4:5:6:7", "0123"):
+        assert kinds(text) == [], text
+
+
+def test_ipv6():
+    text = "from 2001:db8:0:0:8a2e:370:7334:1, fe80::1ff:fe23:4567:890a and 2A00:1450:4001::200E."
+    assert [k for _, k in kinds(text)] == ["ip"] * 3
+    new, spans = replace(text, KEY)
+    assert new != text and not any(text[s:e] in new for s, e, _, _ in spans) and spans[1][3].startswith("fe80:")
+    assert surrogate("ip", "2001:DB8::1:2", KEY).lower() == surrogate("ip", "2001:db8:0:0:0:0:1:2", KEY)
+
+
+def test_people_without_titles_and_again():
+    text = "Contact Mary Smith. Smith left after Dr John Brown; Brown's dog and Mr Smith's car, said Mary."
+    got = [t for t, k in kinds(text)]
+    assert got == ["Mary Smith", "Smith", "Dr John Brown", "Brown", "Mr Smith", "Mary"]
+    new, spans = replace(text, KEY)
+    image = {text[s:e]: n for s, e, _, n in spans}
+    given, family = image["Mary Smith"].split()
+    assert image["Smith"] == family and image["Mr Smith"] == f"Mr {family}" and image["Mary"] == given and given in pii.FEMALE
+    assert f"Mr {family}'s car" in new and f"{image['Brown']}'s dog" in new
+    assert [t for t, _ in kinds("Dr Smith Mr Smith Jones")] == ["Dr Smith", "Mr Smith Jones"]
+    assert [t for t, _ in kinds("Mr O'Brien’s and Frau D’Angelo")] == ["Mr O'Brien", "Frau D’Angelo"]
+    assert kinds("Summer came. The Rose grew in May") == []
+
+
+def test_spellings_of_a_number_stay_one():
+    for kind, spellings in (("card", ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"]), ("iban", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"]), ("phone", ["+44 20 7946 0958", "+442079460958", "+44 (20) 7946-0958"])):
+        images = {canonical(kind, surrogate(kind, s, KEY)) for s in spellings}
+        assert len(images) == 1 and canonical(kind, spellings[0]) not in images
+        assert len({canonical(kind, s) for s in spellings}) == 1
+
+
+def test_a_surrogate_is_never_its_entity():
+    for text in ("李@例子.com", "ა@ბ.ge", "_@__.com", "ñ@ñ.es", "ø-ø@ø.no"):
+        (entity, kind), = kinds(f"to {text} now")
+        got = surrogate(kind, entity, KEY)
+        assert entity == text and got != text and got.count("@") == 1 and got.endswith(text[text.rindex("."):])
+    images = [surrogate("email", f"{a}{b}@例子.com", KEY) for a in "李王张刘" for b in "李王张刘"]
+    assert len(set(images)) == 16
+
+
+def test_distinct_key_moves_on(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a@b.example.com and c@d.example.com"), (2, None)], "doc_id long, text string")
+    assert distinct_key(docs, "k") == "k"
+    tried = []
+
+    def clash(docs, key, text_col="text"):
+        tried.append(key)
+        return docs if len(tried) < 3 else docs.limit(0)
+
+    monkeypatch.setattr(pii, "collisions", clash)
+    assert distinct_key(docs, "k") == "k|2" and tried == ["k", "k|1", "k|2"]
