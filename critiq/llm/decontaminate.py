@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 MASKS = ("111101111", "111011101", "111110111")
 SPAN = 9
 WINDOW = 20
-BROADCAST_SEEDS = 2_000_000  # benchmark seeds (about 100 bytes each) up to which they are broadcast
+BROADCAST_BYTES = 64_000_000  # of the benchmark's seeds (SEED_BYTES each) and token arrays, up to which they are broadcast
+SEED_BYTES = 40
 
 
 # scripts without spaces between words; Bopomofo and Hangul are left as they are, their words are spaced
@@ -31,10 +32,10 @@ UNSPACED = "".join(rf"\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Tha
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits, and each letter of scripts without spaces (an empty token stands where the text begins or ends otherwise)."""
+    """Lower-cased runs of letters and digits, and each letter of scripts without spaces."""
     low = F.lower(text)
     apart = F.regexp_replace(low, rf"(?<=[{UNSPACED}&&[\p{{L}}\p{{N}}]])(?=[\p{{L}}\p{{N}}])|(?<=[\p{{L}}\p{{N}}])(?=[{UNSPACED}&&[\p{{L}}\p{{N}}]])", " ")
-    return F.split(F.when(low.rlike(f"[{UNSPACED}]"), apart).otherwise(low), r"[^\p{L}\p{N}]+")
+    return F.array_remove(F.split(F.when(low.rlike(f"[{UNSPACED}]"), apart).otherwise(low), r"[^\p{L}\p{N}]+"), "")
 
 
 def seeds(words: str, pos: str) -> Column:
@@ -44,19 +45,24 @@ def seeds(words: str, pos: str) -> Column:
 
 
 def seeded(rows: DataFrame) -> DataFrame:
-    """rows with (id, words), once for each position and mask: (id, words, pos, seed)."""
+    """rows with (id, words), once for each position and mask: (id, words, pos, seed); select what is needed of it."""
     at = rows.select("id", "words", F.posexplode_outer("words").alias("pos", "w")).filter(F.col("pos") <= F.size("words") - SPAN)
     return at.select("id", "words", "pos", F.explode(seeds("words", "pos")).alias("seed"))
 
 
+def _size(words: str) -> Column:
+    """Bytes of a token array, about: a token's bytes and twice eight for its place."""
+    return F.octet_length(F.array_join(words, "")) + 16 * F.size(words)
+
+
 def whole_copies(texts: DataFrame, items: DataFrame) -> DataFrame | None:
     """(id, item, share = 1) of the items of 1 to SPAN - 1 tokens that texts repeat word for word; None without such items."""
-    short = items.select(F.col("id").alias("item"), F.array_remove("words", "").alias("item_words")).filter(F.size("item_words").between(1, SPAN - 1))
-    got = short.groupBy(F.size("item_words").alias("n")).agg(F.count("*").alias("c")).collect()  # at most SPAN - 1 rows
+    short = items.select(F.col("id").alias("item"), F.col("words").alias("item_words")).filter(F.size("item_words").between(1, SPAN - 1))
+    got = short.groupBy(F.size("item_words").alias("n")).agg(F.count("*").alias("c"), F.sum(_size("item_words")).alias("b")).collect()  # at most SPAN - 1 rows
     if not got:
         return None
     short = short.select("item", "item_words", F.xxhash64("item_words").alias("hash"))
-    if sum(r.c for r in got) <= BROADCAST_SEEDS:
+    if sum(r.b + SEED_BYTES * r.c for r in got) <= BROADCAST_BYTES:
         short = F.broadcast(short)
     runs = [F.when(F.col("pos") <= F.size("words") - r.n, F.slice("words", F.col("pos") + 1, r.n)) for r in got]
     at = texts.select("id", "words", F.posexplode("words").alias("pos", "w"))
@@ -91,6 +97,32 @@ def best_share(laid: DataFrame) -> DataFrame:
     return marked.select("id", "item", (F.greatest(*masks) / F.col("w")).alias("share"))
 
 
+def _told_apart(rows: DataFrame, name: str) -> DataFrame:
+    """rows with a struct (id, which) as their id: repeated ids with other tokens stay apart. Hashed once a row, before
+    any explode."""
+    return rows.select(F.struct("id", F.xxhash64("words").alias("which")).alias("id"), "words").select("id", F.col("words").alias(name))
+
+
+def seed_hits(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, words, pos, item, item_words, at): where a document's seed meets an item's.
+
+    Items' seeds are broadcast without their tokens, and each item's tokens once beside them, if both together
+    are BROADCAST_BYTES at most; the documents are then read in place. A larger benchmark is joined by its
+    seeds, both sides as rows of fixed size, and the tokens are fetched for what has met.
+    """
+    items = items.filter(F.size("words") >= SPAN)
+    n, size = items.agg(F.sum((F.size("words") - SPAN + 1) * len(MASKS)), F.sum(_size("words") + SEED_BYTES)).first()
+    own = seeded(_told_apart(items, "words")).select("seed", F.col("id").alias("item"), F.col("pos").alias("at"))
+    listed = _told_apart(items, "item_words").withColumnRenamed("id", "item").distinct()
+    if (n or 0) * SEED_BYTES + (size or 0) <= BROADCAST_BYTES:
+        met = seeded(texts).join(F.broadcast(own), "seed").join(F.broadcast(listed), "item")
+    else:
+        known = _told_apart(texts, "words")
+        met = seeded(known).select("seed", "id", "pos").join(own, "seed").select("id", "pos", "item", "at").distinct()
+        met = met.join(known.distinct(), "id").join(listed, "item").withColumn("id", F.col("id.id"))
+    return met.select("id", "words", "pos", F.col("item.id").alias("item"), "item_words", "at")
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id_col, item_col, share): the items found in each document, with the best window's share of equal tokens.
 
@@ -98,15 +130,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.75, i
     token, null and empty ones included, hit nothing. Null ids are left out.
     """
     items = benchmark.select(F.col(item_col).alias("id"), tokens(F.col(item_text_col).cast("string")).alias("words")).filter("id is not null")
-    listed = items
-    items = seeded(items).select("seed", F.col("id").alias("item"), F.col("pos").alias("at"), F.col("words").alias("item_words"))
-    n = items.count()
-    if n <= BROADCAST_SEEDS:
-        items = F.broadcast(items)  # beyond that Spark joins by shuffle
     texts = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col).cast("string")).alias("words")).filter("id is not null")
-    hits = seeded(texts).join(items, "seed")
+    hits = seed_hits(texts, items)
     shares = best_share(laid_over(hits))
-    if (copies := whole_copies(texts, listed)) is not None:
+    if (copies := whole_copies(texts, items)) is not None:
         shares = shares.unionByName(copies)
     found = shares.groupBy("id", "item").agg(F.max("share").alias("share")).filter(F.col("share") >= least_share)
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "share")

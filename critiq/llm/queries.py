@@ -64,8 +64,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+') AS w FROM documents),
-b AS (SELECT item_id, string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+') AS v FROM benchmark),
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x != '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x != '') AS v FROM benchmark),
 masks(k, gap) AS (VALUES (0, [4]), (1, [3, 7]), (2, [5])),
 ds AS (SELECT doc_id, w, p, k, array_to_string([CASE WHEN list_contains(gap, j) THEN '' ELSE w[p + j + 1] END for j in range(0, 9)], ' ') AS s
   FROM (SELECT doc_id, w, unnest(range(0, len(w) - 8)) AS p FROM d), masks),
