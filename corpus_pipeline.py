@@ -91,15 +91,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Entities get surrogates; n_chars follows the new text.
+    """Entities get surrogates, no two the same; n_chars follows the new text.
 
     Null texts stay null, with a null n_chars; empty ones stay empty. Rows are changed one by one, whatever their ids. An
     empty table gives an empty result. Other columns, whatever their names, are kept as they are.
     """
-    from critiq.llm.pii import pseudonymise
+    from critiq.llm.pii import distinct_key, pseudonymise
 
     rows, name = plainly_named(docs)
-    out = pseudonymise(rows, KEY, text_col=name["text"])
+    out = pseudonymise(rows, distinct_key(rows, KEY, name["text"]), text_col=name["text"])
     length = F.length(name["text"]).cast(docs.schema["n_chars"].dataType)
     return out.withColumn(name["n_chars"], length).select(*name.values()).toDF(*docs.columns)
 
