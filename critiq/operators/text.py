@@ -174,14 +174,15 @@ def _dimension_hits(df: DataFrame, lexicon: dict | None, lang: str | None, extra
     text, langs = F.col("review_content"), LANGS if lang is None else (lang,)
     dims = {name: _dims(name, lexicon) for name in langs}
     names = list(dict.fromkeys(d for name in langs for d in dims[name]))
-    src = df.select("review_content", (detect_lang(text) if lang is None else F.lit(lang)).alias("_lang"), *extra)
-    rest = [c for c in src.columns if c not in ("review_content", "_lang")]
+    # lower-cased once: inside the branches below it would be done again for every dimension
+    src = df.select(F.lower(F.coalesce(text, F.lit(""))).alias("_low"), (detect_lang(text) if lang is None else F.lit(lang)).alias("_lang"), *extra)
+    rest = [c for c in src.columns if c not in ("_low", "_lang")]
     hits = []
     for i, d in enumerate(names):
         hit = F.lit(False)
         for name in reversed(langs):
             if d in dims[name]:
-                own = dimension_hit(text, dims[name][d], name)
+                own = F.col("_low").rlike(word_pattern(dims[name][d]) if name == "en" else "|".join(dims[name][d]))
                 hit = own if lang is not None else F.when(F.col("_lang") == name, own).otherwise(hit)
             elif lang is None:
                 hit = F.when(F.col("_lang") == name, F.lit(False)).otherwise(hit)
