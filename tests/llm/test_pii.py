@@ -133,3 +133,38 @@ def test_distinct_key_moves_on(spark, monkeypatch):
 
     monkeypatch.setattr(pii, "collisions", clash)
     assert distinct_key(docs, "k") == "k|2" and tried == ["k", "k|1", "k|2"]
+
+
+def test_query_over_all_documents_by_plain_reading(spark):
+    """What the registered query changes and keeps, entity by entity, found by plain patterns of their own."""
+    from critiq.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    old = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in QUERIES["op8_pii"](spark, sf).collect()}
+    assert got.keys() == old.keys()
+    mail = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
+    quad = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])")
+    card = re.compile(r"(?<![\dA-Fa-f-])\d{16}(?![\dA-Fa-f])")
+    image: dict[str, set[str]] = {}
+    source: dict[str, set[str]] = {}
+    for doc_id, text in old.items():
+        new = got[doc_id].text
+        if not got[doc_id].n_entities:
+            assert new == text
+            continue
+        assert new != text and len(new.split("\n")) == len(text.split("\n"))
+        for pattern in (mail, quad, card):
+            before, after = pattern.findall(text), pattern.findall(new)
+            if pattern is quad:
+                before = [x for x in before if all(int(p) < 256 for p in x.split("."))]
+                after = [x for x in after if all(int(p) < 256 for p in x.split("."))]
+            assert len(before) == len(after)
+            for a, b in zip(before, after):
+                a = a.lower() if pattern is mail else a
+                assert a != b
+                image.setdefault(a, set()).add(b)
+                source.setdefault(b, set()).add(a)
+    assert len(image) > 50
+    assert all(len(b) == 1 for b in image.values()), "an entity has one surrogate in all documents"
+    assert all(len(a) == 1 for a in source.values()), "a surrogate stands for one entity"
