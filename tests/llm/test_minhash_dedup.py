@@ -121,3 +121,13 @@ def test_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, **{i: 100 for i in range(100, 140)}, 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Texts of many pieces link by their whole sets; what differs only far behind is seen."""
+    words = [f"w{k % 90_001}x{k // 7}" for k in range(150_000)]
+    some = [w if k % 1500 else "changed" for k, w in enumerate(words)]
+    tail = [w if k < 100_000 else f"other{k}" for k, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(some)), (3, " ".join(tail)), (4, "\n\t".join(words).upper()), (5, "x " * 500_000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (149_996, 1), 2: (149_996, 1), 3: (149_996, 3), 4: (149_996, 1), 5: (1, 5)}
