@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from critiq.llm.common import lean_batches
 from critiq.llm.memory import Cache, released
 
 PIECE = 1 << 19  # code points scanned at once; the state carries over between the pieces of a long text
@@ -352,7 +353,7 @@ def _encode(docs: DataFrame, rank_path: str, id_col: str, text_col: str, offsets
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, ids binary" + ", offsets binary" * offsets + ", decoded binary" * decoded
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(rows, schema)
+    return lean_batches(docs).select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(rows, schema)
 
 
 def bpe_encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 250_000
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 20_000_000  # of rows with fixed-size columns (100 bytes at most), and of their text
 
 
@@ -41,6 +42,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def lean_batches(df: DataFrame) -> DataFrame:
+    """df, whose texts are about to go through Python: its session then makes Arrow batches of BATCH_ROWS rows, unless
+    a number of rows is set for it. A batch is held on both sides of the worker's pipe, there and back."""
+    conf = df.sparkSession.conf
+    if BATCH_SETTING not in conf.getAll:
+        conf.set(BATCH_SETTING, BATCH_ROWS)
+    return df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores appended until no column of df is called so (Spark ignores case)."""
     taken = {c.lower() for c in df.columns}

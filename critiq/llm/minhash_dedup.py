@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from critiq.llm.common import components, cut
+from critiq.llm.common import components, cut, lean_batches
 from critiq.llm.memory import released
 from critiq.llm.shingles import U64, mix, set_key, shingle_sets, signature
 
@@ -58,7 +58,7 @@ def shingle_table(docs: DataFrame, width: int, id_col: str, text_col: str, coord
                 sig.append(signature(x, coordinates).tobytes() if len(x) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], ["id", "n", "key", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(rows, "id long, n long, key binary, sig binary")
+    return lean_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(rows, "id long, n long, key binary, sig binary")
 
 
 def _signatures(column: pa.Array, coordinates: int) -> tuple[np.ndarray, np.ndarray]:

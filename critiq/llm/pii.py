@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from critiq.llm.common import lean_batches
 from critiq.llm.memory import released
 
 # Given names by gender, titles by gender.
@@ -390,7 +391,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], [*names, "pii"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString() if c != text_col else 'string'}" for c in names)
-    texts = docs.select(*(F.col(f"`{c}`") if c != text_col else F.col(f"`{c}`").cast("string").alias(c) for c in names))
+    texts = lean_batches(docs).select(*(F.col(f"`{c}`") if c != text_col else F.col(f"`{c}`").cast("string").alias(c) for c in names))
     return texts.mapInArrow(rows, f"{schema}, pii array<struct<start: bigint, end: bigint, kind: string, surrogate: string>>")
 
 
@@ -415,7 +416,7 @@ def collisions(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
                     known.clear()
             yield pa.RecordBatch.from_pydict({k: pa.array([f[j] for f in found], pa.string()) for j, k in enumerate(("kind", "surrogate", "entity"))})
 
-    pairs = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(rows, "kind string, surrogate string, entity string").distinct()
+    pairs = lean_batches(docs).select(F.col(text_col).cast("string").alias("t")).mapInArrow(rows, "kind string, surrogate string, entity string").distinct()
     return pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("entities")).filter("entities > 1")
 
 

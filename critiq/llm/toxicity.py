@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from critiq.llm.common import lean_batches
 from critiq.llm.memory import Cache, released
 
 BUCKETS = 1 << 18
@@ -212,4 +213,4 @@ def toxicity_scores(docs: DataFrame, model: Model, text_col: str = "text", score
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*names, score_col])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(rows, f"{schema}, `{score_col}` double")
+    return lean_batches(docs).select(*(F.col(f"`{c}`") for c in names)).mapInArrow(rows, f"{schema}, `{score_col}` double")
