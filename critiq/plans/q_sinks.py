@@ -44,7 +44,7 @@ WITH lines(sec, k, line) AS (
   SELECT * FROM (VALUES {values})
   UNION ALL SELECT 1, list_position([{metrics}], metric) + 1, '- **' || metric || '**: ' || {num} FROM ({with_views(EDA_SQL, "rv_orders")})
   UNION ALL SELECT 2, row_number() OVER (ORDER BY bayes_rank, shop_id) + 3, '| ' || concat_ws(' | ', {cells}) || ' |'
-    FROM (SELECT * FROM ({bayes_sql("rv_orders")}) ORDER BY bayes_rank, shop_id LIMIT 10)
+    FROM (SELECT * FROM ({bayes_sql("rv_orders", by_id=False)}) ORDER BY bayes_rank, shop_id LIMIT 10)
   UNION ALL SELECT 3, row_number() OVER (ORDER BY severity, shop_id) + 1,
       '- **[' || level || ']** ' || coalesce(shop_name, '') || ': ' || message || ' → ' || action
     FROM (SELECT * FROM ({alerts_sql("rv_orders")} SELECT * FROM alerts) ORDER BY severity, shop_id LIMIT 10))

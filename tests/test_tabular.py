@@ -87,3 +87,18 @@ def test_correlation_constant_column_is_null(spark):
     exp = np.corrcoef([r[0] for r in rows], [r[2] for r in rows])[0, 1]
     assert abs(out[("review_score", "reply_count")] - round(exp, 3)) < 1e-9
     assert out[("review_score", "review_score")] == 1.0
+
+
+def test_first_attributes_by_time_and_review_id(spark):
+    t = datetime(2024, 1, 1)
+    rows = [("r2", "S1", "One", 4.0, 1, t, "B", "bar", 1), ("r1", "S1", "One", 4.0, 1, t, "C", None, 1),
+            ("r3", "S1", "One", 4.0, 1, t, "A", "cafe", 1), ("r0", "S1", "One", 4.0, 1, datetime(2024, 1, 2), "D", "aaa", 1)]
+    for ranking in (tab.bayesian_ranking, tab.wilson_ranking):
+        out = ranking(_reviews(spark, rows), min_reviews=1).collect()
+        assert [(r.review_count, r.city, r.category) for r in out] == [(4, "C", "bar")]
+
+
+def test_ranking_sql_orders_by_review_id():
+    from critiq.plans.catalog import ORACLES
+    for name in ("bayesian_ranking", "wilson_ranking", "top_ranking"):
+        assert "arg_min(category, ((review_time, review_id), category))" in ORACLES[name]
