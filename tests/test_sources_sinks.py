@@ -1,5 +1,6 @@
 """Readers, ETL, sinks and the batch job."""
 
+import hashlib
 import json
 import os
 
@@ -128,3 +129,14 @@ def test_dispatch_errors_and_fraction_sample(spark):
     ids_a = sorted(r.review_id for r in a.collect())
     assert ids_a == sorted(r.review_id for r in b.collect())
     assert 1600 < len(ids_a) < 2400
+
+
+def test_shop_dimension_takes_the_first_review_by_time_and_id(spark):
+    rows = [("b", "N", f"c{u}", "Food", f"a{u}", d, u, 4.0, 7) for u, d in
+            [("u1", "2020-01-01 00:00:00"), ("u2", "2020-01-01 00:00:00"), ("u3", "2020-01-01 00:00:00"), ("u4", "2020-01-02 00:00:00"), ("u5", "bad")]]
+    raw = spark.createDataFrame(rows, "business_id string, name string, city string, categories string, address string, date string, "
+                                      "user_id string, stars_x double, review_count int").selectExpr("*", "'S' AS state")
+    key = {u: hashlib.md5(f"b|{u}|2020-01-01 00:00:00".encode()).hexdigest() for u in ("u1", "u2", "u3")}
+    first = min(key, key=key.get)
+    assert first != "u1"  # the least attributes are those of another review
+    assert [(r.shop_id, r.city, r.address) for r in etl.shop_dimension(raw).collect()] == [("b", f"c{first}", f"a{first}")]
