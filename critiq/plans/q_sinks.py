@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from critiq.functions.tables import materialize
 from critiq.operators import alerts as al
 from critiq.operators import tabular as tab
 from critiq.operators import text as tx
@@ -51,9 +52,13 @@ WITH lines(sec, k, line) AS (
 SELECT CAST(row_number() OVER (ORDER BY sec, k) - 1 AS INTEGER) AS line_no, line FROM lines"""
 
 
+REPORT_COLS = "review_id shop_id shop_name user_id city review_score review_time sentiment_label sentiment content_len"
+
+
 @register("markdown_lines", _markdown_sql())
 def q_markdown_lines(spark, sf_dir):
-    df = rv_orders(spark, sf_dir)
+    # three operators read the joined reviews six times: joined once, with the columns they read
+    df = materialize(rv_orders(spark, sf_dir).select(REPORT_COLS.split()), "reviews")
     return markdown_lines(tab.eda_summary(df), tab.bayesian_ranking(df), al.alerts(df))
 
 

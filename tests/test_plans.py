@@ -91,3 +91,8 @@ def test_shared_keeps_adaptive_execution(spark):
     assert not g.is_cached
     assert other.is_cached  # a block drops its own tables only
     other.unpersist()
+
+
+def test_report_joins_the_reviews_once(spark):
+    p = _plan(ent.queries()["markdown_lines"](spark, SF))
+    assert "lineitem.parquet" not in p and "/reviews-" in p
