@@ -451,34 +451,42 @@ def tfidf_terms(df: DataFrame, id_col: str = "review_id", min_df: int = 1, digit
     """Relational TF-IDF: sublinear tf (1 + ln tf) times smoothed idf
     (ln((1 + n) / (1 + df)) + 1), L2-normalised per document.
 
-    The texts are tokenised once: every branch below reads the same (doc, term)
-    counts and reuses their shuffle.  Terms in more than ``heavy_share`` of the
-    documents get their idf by a broadcast: there are at most (mean number of
-    different terms in a document) / heavy_share of them, and without them no
-    term of the shuffle join has more rows than heavy_share of the documents.
-    The norm is a window sum over the document, not a join.
+    The texts are dealt by document once, and every branch below reuses that
+    shuffle: the counts per (document, term) and all sums over a document then
+    need none.  Terms in more than ``heavy_share`` of the documents get their idf
+    by a broadcast: there are at most (mean number of different terms in a
+    document) / heavy_share of them.  Only the rows of the other terms move, to
+    their idf and back; no term of that join has more rows than heavy_share of
+    the documents.  The norm is made of the two parts' sums of squares.
     """
     # the id filter is explicit so that every branch below has the same
     # canonical plan (a join would otherwise add it to one branch only and
     # defeat exchange reuse)
     d = df.where(F.col("review_content").isNotNull() & F.col(id_col).isNotNull())
-    t = d.select(F.col(id_col).alias("doc"),
-                 F.explode(F.regexp_extract_all(F.lower(F.col("review_content")), F.lit(TFIDF_TOKEN), 0)).alias("term"))
+    # a given number of partitions: texts grow as they are split, so tasks
+    # merged by the size of the texts would have to spill
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = d.select(F.col(id_col).alias("doc"), "review_content").repartition(parts, "doc")
+    t = texts.select("doc", F.explode(F.regexp_extract_all(F.lower(F.col("review_content")), F.lit(TFIDF_TOKEN), 0)).alias("term"))
     tf = t.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-    # the tf > 0 test keeps the tf column alive (Catalyst cannot fold it to a
-    # plain count), so this branch shares the (doc, term) aggregate and its
-    # exchange with the weight branches: one tokenisation, one token shuffle
-    dfreq = (tf.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).cast("long").alias("df"))
-               .where(F.col("df") >= min_df))
+    dfreq = tf.groupBy("term").agg(F.count("tf").alias("df")).where(F.col("df") >= min_df)
     n = d.agg(F.count(F.lit(1)).alias("_n"))
     idf = with_scalars(dfreq, n).select(
         "term", (F.col("df") > F.lit(heavy_share) * F.col("_n")).alias("_heavy"),
         (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
     heavy = F.broadcast(idf.where("_heavy").drop("_heavy"))
-    w = tf.join(heavy, "term").unionByName(tf.join(heavy, "term", "left_anti").join(idf.where("not _heavy").drop("_heavy"), "term"))
-    w = w.select("doc", "term", ((F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
-    return w.select(F.col("doc").alias(id_col), "term", rnd(F.col("w") / norm, digits).alias("tfidf"))
+    weight = ((F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w")
+    often = tf.join(heavy, "term").select("doc", "term", weight)
+    rare = tf.join(heavy, "term", "left_anti").join(idf.where("not _heavy").drop("_heavy"), "term").select("doc", "term", weight)
+    square = F.sum(F.col("w") * F.col("w"))
+
+    def normed(part: DataFrame, other: DataFrame) -> DataFrame:
+        rest = other.groupBy("doc").agg(square.alias("_rest"))
+        own = part.withColumn("_own", square.over(Window.partitionBy("doc")))
+        norm = F.sqrt(F.col("_own") + F.coalesce(F.col("_rest"), F.lit(0.0)))
+        return own.join(rest, "doc", "left").select(F.col("doc").alias(id_col), "term", rnd(F.col("w") / norm, digits).alias("tfidf"))
+
+    return normed(often, rare).unionByName(normed(rare, often))
 
 
 # ------------------------------------------------------------------ NBK-11/12

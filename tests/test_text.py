@@ -193,3 +193,13 @@ def test_tfidf_with_heavy_terms(spark):
     for share in (0.0, 0.3, 2.0):
         got = {(r.review_id, r.term): r.tfidf for r in tx.tfidf_terms(df, heavy_share=share).collect()}
         assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_tfidf_deals_texts_by_document(spark):
+    import re
+    rows = [(str(i), "shared words and " + "word" * (i % 7 + 1)) for i in range(300)]
+    out = tx.tfidf_terms(spark.createDataFrame(rows, "review_id string, review_content string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(doc#\d+, term#\d+", plan)  # counts per document and term stay where the text is
+    norm = out.groupBy("review_id").agg({"tfidf": "count"}).collect()
+    assert len(norm) == 300 and all(r[1] == 4 for r in norm)
